@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from authspan.llm import lines, mixing, quality, secrets, simhash, urls
+from authspan.llm import embeddings, lines, mixing, pieces, quality, secrets, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dups(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("agrees")
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dups(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_warc": op3_warc,
+    "op4_embeddings": op4_embeddings,
+    "op5_pieces": op5_pieces,
     "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
