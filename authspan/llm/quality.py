@@ -31,7 +31,9 @@ class QualityRules:
 def _repeat_words(words: Column, window: int) -> Column:
     """Words inside windows found twice or more in the text, from sorted window hashes."""
     w = F.lit(window)
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - w + 1), lambda i: F.xxhash64(F.slice(words, i, w)))
+    # hashes of word hashes: slice() would copy the words for every window
+    of_window = lambda h, i: F.xxhash64(*(F.get(h, i + k) for k in range(window)))
+    hashes = let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: of_window(h, i)))
 
     def covered(pairs: Column) -> Column:
         same = lambda p, q: p["h"] == q["h"]
@@ -52,19 +54,24 @@ def with_signals(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataF
     """docs with the five signals and base_failed. Replaces columns of those names."""
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    out = docs.withColumn("_words", words_of(text))
-    out = out.withColumns(
+
+    def of_words(words: Column) -> Column:
+        n, repeats = F.size(words).cast("long"), _repeat_words(words, rules.window)
+        chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        return let(repeats, lambda r: F.struct(n.alias("n_words"), chars.alias("word_chars"), r.alias("n_repeat_words"), ((n < rules.min_words) | (100 * r > rules.max_repeat_pct * n)).alias("base_failed")))
+
+    # one self-contained expression: a filter on it, pushed to the scan, still cuts the words once a row
+    found = docs.withColumn("_s", let(words_of(text), of_words))
+    return found.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+            "n_words": F.col("_s.n_words"),
+            "word_chars": F.col("_s.word_chars"),
             "n_symbols": (F.size(F.split(text, r"[#*$%&|<>]", -1)) - 1).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words"), rules.window),
+            "n_repeat_words": F.col("_s.n_repeat_words"),
+            "base_failed": F.col("_s.base_failed"),
         }
-    ).drop("_words")
-    few = F.col("n_words") < rules.min_words
-    repeats = 100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")
-    return out.withColumn("base_failed", few | repeats)
+    ).drop("_s")
 
 
 def host_verdicts(signals: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
