@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authspan.llm.common import WORD, Scratch, text_of
+from authspan.llm.common import WORD, Scratch, let, text_of
 
 MIN_LINES = 2
 
@@ -22,24 +22,28 @@ def _names(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
 
 
-def _longer(names: str, step: int) -> Column:
+def _longer(names: Column, step: int) -> Column:
     """Names of the prefixes that are step lines longer: pairs of names, step apart."""
-    n = F.size(names) - F.lit(step)
-    pair = lambda i, c: (F.get(F.col(names), i)[c], F.get(F.col(names), i + step)[c])
-    both = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*pair(i, "a")).alias("a"), F.xxhash64(F.lit(1), *pair(i, "b")).alias("b")))
-    return F.when(n > 0, both).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+    def pairs(held: Column) -> Column:
+        n = F.size(held) - F.lit(step)
+        pair = lambda i, c: (F.get(held, i)[c], F.get(held, i + step)[c])
+        both = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*pair(i, "a")).alias("a"), F.xxhash64(F.lit(1), *pair(i, "b")).alias("b")))
+        return F.when(n > 0, both).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+    return let(names, pairs)
 
 
 def suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, key, i, a, b): the name of the min_lines lines from the i-th line with a word on."""
     lines = F.filter(F.split(text_of(), "\n", -1), lambda x: x.rlike(WORD))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), _names(lines).alias("names"))
-    k = 1
+    names, k = _names(lines), 1
     while k < min_lines:
         step = min(k, min_lines - k)
-        rows = rows.withColumn("names", _longer("names", step))
-        k += step
-    return rows.select("doc_id", "key", F.posexplode("names").alias("i", "n")).select("doc_id", "key", "i", "n.a", "n.b")
+        names, k = _longer(names, step), k + step
+    # the outer form: the plain one would add a filter that computes the names once more
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode_outer(names).alias("i", "n"))
+    return rows.where("i is not null").select("doc_id", "key", "i", "n.a", "n.b")
 
 
 def repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
