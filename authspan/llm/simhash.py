@@ -102,7 +102,8 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     tree, parent, out = BKTree(), [], []
     for i, v in enumerate(values):
         parent.append(i)
-        for j in tree.within(v, radius):
+        for hit in tree.within(v, radius):
+            j = hit
             while parent[j] != j:
                 parent[j] = parent[parent[j]]
                 j = parent[j]
@@ -112,7 +113,7 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
                     root = parent[root]
                 if root != j:
                     parent[root] = j
-                    out.append((values[j], v))
+                    out.append((values[hit], v))
         tree.add(v)
     return out
 

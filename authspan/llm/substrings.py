@@ -271,9 +271,11 @@ def _expand_grams(least: int):
         t = np.concatenate([np.full(len(x), t) for x, t in found]) if found else np.zeros(0, dtype=np.int64)
         by = np.lexsort((t, row))
         row, t = row[by], t[by]
-        opens = np.concatenate(([True], (row[1:] != row[:-1]) | (t[1:] != t[:-1] + 1))) if len(row) else np.zeros(0, dtype=bool)
-        first = np.flatnonzero(opens)
-        last = np.append(first[1:], len(row)) - 1
+        opens = np.ones(len(row), dtype=bool)
+        opens[1:] = (row[1:] != row[:-1]) | (t[1:] != t[:-1] + 1)
+        closes = np.ones(len(row), dtype=bool)
+        closes[:-1] = opens[1:]
+        first, last = np.flatnonzero(opens), np.flatnonzero(closes)
         own = row[first]
         start, end = place[own] - t[last], place[own] - t[first] + least
         return pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(start), pa.array(end - start)], ["key", "start", "size"])
