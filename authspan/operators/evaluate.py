@@ -55,15 +55,15 @@ def score_curve(rows: DataFrame, *by: str) -> DataFrame:
 def ranked_metrics(rows: DataFrame, *by: str) -> DataFrame:
     """roc_auc (ties count half) and average_precision (a step sum); null with one class."""
     c = score_curve(rows, *by)
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.max("all_p") * F.max("all_n"))
-    ap = F.sum(F.col("p") / F.col("all_p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    area = F.try_divide(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)), F.max("all_p") * F.max("all_n"))
+    ap = F.sum(F.try_divide(F.col("p"), F.col("all_p")) * F.col("tp") / (F.col("tp") + F.col("fp")))
     both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
     return c.groupBy(*by).agg(F.when(both, area).alias("roc_auc"), F.when(both, ap).alias("average_precision"))
 
 
 def precision_recall(rows: DataFrame) -> DataFrame:
     c = score_curve(rows)
-    return c.select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("all_p")).alias("recall"))
+    return c.select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp"), F.col("all_p")).alias("recall"))
 
 
 def operating_threshold(train: DataFrame, share: float = 0.99) -> DataFrame:
@@ -94,7 +94,7 @@ def time_to_detect(rows: DataFrame, attacks: DataFrame) -> DataFrame:
     lag = (F.unix_micros("found") - F.unix_micros(F.col("start_time").cast("timestamp"))) / 3.6e9
     a = attacks.join(first, "attack_id", "left").withColumn("lag", F.greatest(lag, F.lit(0.0)))
     a = a.withColumn("lag", F.when(F.col("found").isNotNull(), F.col("lag")))
-    return a.agg(F.avg("lag").alias("mttd_hours"), (F.count("found") / F.count(F.lit(1))).alias("coverage"), F.count(F.lit(1)).alias("campaigns"))
+    return a.agg(F.avg("lag").alias("mttd_hours"), F.try_divide(F.count("found"), F.count(F.lit(1))).alias("coverage"), F.count(F.lit(1)).alias("campaigns"))
 
 
 def class_report(rows: DataFrame) -> DataFrame:
@@ -106,10 +106,10 @@ def class_report(rows: DataFrame) -> DataFrame:
     per = actual.join(said, "label", "full_outer").na.fill(0, ["tp", "support", "said"])
     per = per.select("label", "support", _ratio(F.col("tp"), F.col("said")).alias("precision"), _ratio(F.col("tp"), F.col("support")).alias("recall"), _ratio(2.0 * F.col("tp"), F.col("said") + F.col("support")).alias("f1"), "tp")
     mean = lambda c: F.avg(c).alias(c)
-    weighted = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c)
+    weighted = lambda c: F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c)
     rates = ["precision", "recall", "f1"]
     total = F.sum("support").alias("support")
-    accuracy = per.agg(F.lit("accuracy").alias("label"), total, *((F.sum("tp") / F.sum("support")).alias(c) for c in rates))
+    accuracy = per.agg(F.lit("accuracy").alias("label"), total, *(F.try_divide(F.sum("tp"), F.sum("support")).alias(c) for c in rates))
     macro = per.agg(F.lit("macro avg").alias("label"), total, *map(mean, rates))
     weight = per.agg(F.lit("weighted avg").alias("label"), total, *map(weighted, rates))
     return per.drop("tp").unionByName(accuracy).unionByName(macro).unionByName(weight)
@@ -126,7 +126,7 @@ def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     """One row: ece and brier."""
-    b = calibration(rows, bins).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n")).alias("ece"))
+    b = calibration(rows, bins).agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))), F.sum("n")).alias("ece"))
     brier = rows.agg(F.avg(F.pow(F.col("score") - F.col("is_attack").cast("double"), F.lit(2.0))).alias("brier"))
     return b.join(F.broadcast(brier))
 

@@ -155,7 +155,7 @@ def rated_attacks(log: Log) -> DataFrame:
 , e AS (SELECT *, {ok("user_id")} AS ok FROM ev)
 , s AS (SELECT *, CASE WHEN lag(device_id) OVER o <> device_id THEN 1 ELSE 0 END AS sw, lag(geo_lat) OVER o AS la, lag(geo_lon) OVER o AS lo, lag(ts) OVER o AS t0, lag(ok) OVER o AS ok0
   FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ok))
-, m AS (SELECT record_id, list_reduce(list_prepend(0.0, list(CASE WHEN auth_result = 'failure' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY ok ROWS BETWEEN 399 PRECEDING AND CURRENT ROW)), lambda a, x: 0.9 * a + 0.1 * x) AS ema
+, m AS (SELECT record_id, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST(CASE WHEN auth_result = 'failure' THEN 1 ELSE 0 END AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY ok ROWS BETWEEN 399 PRECEDING AND CURRENT ROW)), lambda a, x: 0.9 * a + 0.1 * x) AS ema
   FROM s WHERE event_type = 'login_attempt' AND auth_result IS NOT NULL)
 , t AS (SELECT s.*, m.ema FROM s LEFT JOIN m USING (record_id))
 , f AS (SELECT record_id, user_id, geo_lat, geo_lon,
@@ -175,9 +175,9 @@ def behaviour_features(log: Log) -> DataFrame:
 
 @query(f"""
 , e AS (SELECT *, {ok("user_id")} AS ok, CAST(is_off_hours AS DOUBLE) AS x FROM ev)
-, u AS (SELECT record_id, user_id, ts, x, list_reduce(list_prepend(0.0, list(x) OVER (PARTITION BY user_id ORDER BY ok ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING)), lambda a, b: 0.9 * a + 0.1 * b) AS own,
+, u AS (SELECT record_id, user_id, ts, x, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(x) OVER (PARTITION BY user_id ORDER BY ok ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING)), lambda a, b: 0.9 * a + 0.1 * b) AS own,
   row_number() OVER (PARTITION BY user_id ORDER BY ok) = 1 AS fresh FROM e)
-, d AS (SELECT u.*, department, list_reduce(list_prepend(0.0, list(x) OVER (PARTITION BY department ORDER BY ts, record_id ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING)), lambda a, b: 0.9 * a + 0.1 * b) AS theirs,
+, d AS (SELECT u.*, department, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(x) OVER (PARTITION BY department ORDER BY ts, record_id ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING)), lambda a, b: 0.9 * a + 0.1 * b) AS theirs,
   coalesce(sum(CAST(fresh AS INT)) OVER (PARTITION BY department ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS members FROM u JOIN us USING (user_id))
 SELECT record_id, round(CASE WHEN members >= 5 THEN abs(coalesce(own, 0) - coalesce(theirs, 0)) ELSE 0 END, 6) AS peer_group_deviation FROM d""")
 def peer_deviation(log: Log) -> DataFrame:
