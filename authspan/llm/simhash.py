@@ -25,12 +25,15 @@ RADIUS = 3
 SHINGLE = 3
 #: Most members of a BK-tree's tile.
 SHARD = 512
+#: 64-bit words of the fingerprints of similar().
+WORDS = 4
 #: Texts are counted in slices of so many shingles, which bounds the bit matrix.
 SLICE = 65536
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of one text; zero if it has no word."""
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, words64: int = 1) -> int:
+    """The SimHash of one text in 64 * words64 bits; zero if it has no word. Bits after the first 64
+    come from the shingle's hash mixed again."""
     words = (text or b"").lower().split()  # bytes: lower() changes A-Z only, split() cuts at the six ASCII spaces
     if not words:
         return 0
@@ -39,15 +42,23 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     n = len(words) - k + 1
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros(64 * words64, dtype=np.int64)
     for at in range(0, n, SLICE):
         to = min(n, at + SLICE)
         pairs = zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist(), strict=True)
         hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in pairs], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        if words64 > 1:
+            hashes = np.stack([hashes, *(_mixed(hashes, k) for k in range(1, words64))], axis=1).astype("<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * words64), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    set_bits = np.flatnonzero(2 * counts > n).tolist()
-    return sum(1 << b for b in set_bits)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+
+
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -98,7 +109,7 @@ class BKTree:
 
 
 def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the values of one shard."""
+    """A spanning forest of the links among the values of one shard, as pairs of positions."""
     tree, parent, out = BKTree(), [], []
     for i, v in enumerate(values):
         parent.append(i)
@@ -113,15 +124,11 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
                     root = parent[root]
                 if root != j:
                     parent[root] = j
-                    out.append((values[hit], v))
+                    out.append((hit, i))
         tree.add(v)
     return out
 
 
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, dtype=np.uint64).view(np.int64)
-
-
 def _link_shards(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None  # the last group, which may go on in the next batch
@@ -129,26 +136,29 @@ def _link_shards(radius: int):
             now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            key, lo, hi, fp = now
+            key, lo, hi = now[:3]
             if not len(key):
                 continue
             cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             last = int(cut[-1]) if len(cut) else 0
             held = tuple(x[last:] for x in now)
-            yield from groups(fp[:last], np.concatenate(([0], cut)))
+            yield from groups([x[:last] for x in now[3:]], np.concatenate(([0], cut)))
         if held is not None:
-            yield from groups(held[3], np.array([0, len(held[3])]))
+            yield from groups(list(held[3:]), np.array([0, len(held[3])]))
 
-    def groups(fp: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def groups(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, parts = columns[0], [c.view(np.uint64) for c in columns[1:]]
         a: list[int] = []
         b: list[int] = []
         sizes = np.diff(bounds)
         for i in np.flatnonzero(sizes > 1).tolist():
-            for x, y in forest(fp[bounds[i] : bounds[i + 1]].view(np.uint64).tolist(), radius):
-                a.append(x)
-                b.append(y)
+            at, to = int(bounds[i]), int(bounds[i + 1])
+            values = [sum(w << 64 * k for k, w in enumerate(ws)) for ws in zip(*(p[at:to].tolist() for p in parts), strict=True)]
+            for x, y in forest(values, radius):
+                a.append(at + x)
+                b.append(at + y)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(_signed(b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     return run
 
@@ -172,17 +182,23 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     """Spanning links (a, b) of the distinct fingerprints fps (fp: long) at most radius (<= 3) bits apart."""
     if radius > 3:
         raise ValueError("the shards prove radius 3 at most")
-    rows = fps.select("fp", F.explode(shard_keys()).alias("key"))
+    rows = fps.select(F.explode(shard_keys()).alias("key"), F.col("fp").alias("id"), "fp")
+    return _linked(rows, radius, shard)
+
+
+def _linked(rows: DataFrame, radius: int, shard: int) -> DataFrame:
+    """Spanning links (a, b: ids) within the shards of rows (key, id, and the fingerprint's words)."""
+    words = rows.columns[2:]
     hot = rows.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int")
     dealt = (
         rows.join(hot, "key", "left")
         .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", *words)
     )
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInArrow(_link_shards(radius), "a long, b long")
 
@@ -208,13 +224,64 @@ def near_dups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each near-duplicate component: that with the smallest doc_id.
+def _views(n: int, near: float, recall: float, seed: int) -> np.ndarray:
+    """Bit positions of each view, a row each: enough bits that a shard holds about 8 of n unrelated
+    fingerprints, enough views that a pair that agrees in a share near of its bits meets in one."""
+    bits = max(1, int(np.ceil(np.log2(max(2.0, n / 8)))))
+    views = int(np.ceil(np.log(1 - recall) / np.log(1 - near**bits)))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(max(1, views))])
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, shard: int = SHARD, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) like near_dups, for texts whose shingle sets have a Jaccard similarity.
+
+    Three bits of 64 tell near-identical texts only. Here fingerprints have 256 bits, and link where
+    their distance says that the similarity is reached, with one standard error (about 0.05) to spare.
+    Shards agree in sampled bits; a pair at the similarity meets in one of them with chance recall,
+    and a closer pair more surely. Nulls, blanks, repeats and empty tables: as in near_dups.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    words = [f"f{k}" for k in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join(fingerprint(t.as_py(), shingle, WORDS).to_bytes(8 * WORDS, "little") for t in batch.column(1))
+            x = np.frombuffer(raw, dtype="<i8").reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k].copy()) for k in range(WORDS))], ["doc_id", *words])
+
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    fps = scratch.save(slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words)).withColumn("id", F.xxhash64(*words)), "fps")
+    distinct = scratch.save(fps.groupBy("id", *words).agg(F.min("doc_id").alias("least")), "distinct")
+
+    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(64 * WORDS * angle + np.sqrt(64 * WORDS * angle * (1 - angle)))
+    views = _views(distinct.count(), 1 - angle, recall, seed)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype("<i8")
+            bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for v, at in enumerate(views):
+                key = (bits[:, at] << np.arange(len(at))).sum(axis=1) + (v << 48)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "id", *words])
+
+    rows = distinct.select("id", *words).mapInArrow(deal, "key long, id long, " + ", ".join(f"{w} long" for w in words))
+    comp = components(scratch, _linked(rows, radius, shard), "links").toDF("id", "root")
+    rooted = scratch.save(distinct.select("id", "least").join(comp, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("id", "component_id")
+    return fps.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs with one row of each component of similar(): that with the smallest doc_id.
 
     doc_id names a document; of rows that repeat an id, one stays. A component of null ids keeps one row.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = scratch.save(near_dups(docs, radius, shingle), "found")
+    found = scratch.save(similar(docs, similarity, shingle), "found")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id"))
     out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
     repeated = found.groupBy("doc_id").count().where("count > 1")

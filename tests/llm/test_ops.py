@@ -114,12 +114,28 @@ def test_bk_tree_matches_scan():
 
 def test_keep_one(spark, docs):
     out = simhash.keep_one(docs)
-    found = simhash.near_dups(docs)
-    groups = found.select("component_id").distinct().count()
+    groups = simhash.similar(docs).select("component_id").distinct().count()
     assert out.count() == groups and out.columns == docs.columns
     assert simhash.keep_one(empty(spark)).isEmpty() and simhash.near_dups(empty(spark)).isEmpty()
 
 
+def test_similar_finds_jaccard_neighbours(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    rows, near = [], []
+    for g in range(40):
+        base = [word() for _ in range(400)]
+        rows.append((10 * g, " ".join(base)))
+        for k, changes in ((1, 3), (2, 40)):  # about 0.93 and 0.4 of five-word shingles in common
+            copy = list(base)
+            for at in rng.sample(range(0, 400, 8), changes):
+                copy[at] = word()
+            rows.append((10 * g + k, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), shard=16).collect()}
+    assert sum(got[10 * g + 1] == 10 * g for g in range(40)) >= 39
+    assert all(got[10 * g + 2] == 10 * g + 2 and got[10 * g] == 10 * g for g in range(40))
+
+
 def test_components_on_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(5, 5)]
     got = {r.node: r.root for r in components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "x").collect()}

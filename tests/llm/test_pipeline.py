@@ -21,7 +21,7 @@ def test_stages(spark, tmp_path):
         if name == "quality_rules":
             assert counts[name] == quality.judge(before).where("kept").count()
         if name == "near_dedup":
-            assert counts[name] == simhash.near_dups(before).select("component_id").distinct().count()
+            assert counts[name] == simhash.similar(before).select("component_id").distinct().count()
         if name == "mix":
             assert counts[name] == mixing.mix(before).agg({"times": "sum"}).first()[0]
         if name == "sentencepiece":
