@@ -4,8 +4,8 @@ Full suffix sorting of a corpus is out of reach, so the suffixes are those that
 An anchor is the GRAM-byte string with the smallest hash among those in a window of min_bytes; two
 equal strings of min_bytes hold the same anchor at the same place, so no repeat is lost.
 
-1. Tasks emit each anchor with the hash of all that a min_bytes string around it can reach. Rows
-   are dealt by gram; neighbours in (gram, context) order tell everything about most of them: equal
+1. Tasks emit each anchor with the hash of all that a min_bytes string around it can reach, equal
+   ones of a batch combined. Rows are dealt by gram; neighbours in (gram, context) order tell everything about most of them: equal
    contexts are repeats over their whole length, and a gram seen once is none.
 2. What is left are contexts that share a gram but differ somewhere. Their bytes are fetched, and
    dealt by gram. There the repeats are found by threshold-bounded interval expansion: intervals of
@@ -123,6 +123,26 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 28, (packed >> 14) & 0x3FFF, packed & 0x3FFF
 
 
+#: What an anchor's row is: seen once in its batch; one of several with that context, which stands
+#: for them from here on; and one of several, whose repeat is settled.
+ONCE, STANDS, SETTLED = 0, 1, 2
+
+
+def _combined(gram: np.ndarray, context: np.ndarray, key: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+    """A batch's anchors, combined before the shuffle: equal contexts in it are repeats already, so they
+    are dealt anywhere, and one row stands for them in their gram. A common passage costs its gram a
+    row a batch."""
+    with np.errstate(over="ignore"):
+        _, first, of, n = np.unique(gram ^ (context * BASE), return_index=True, return_inverse=True, return_counts=True)
+        several = n[of] > 1
+        kind = np.where(several, SETTLED, ONCE)
+        stands = first[n > 1]
+        anywhere = _finish(key.view(np.uint64) * BASE ^ packed.view(np.uint64))
+    cells = (np.where(several, anywhere, gram).view(np.int64), context.view(np.int64), key, packed, kind)
+    more = (gram[stands].view(np.int64), context[stands].view(np.int64), key[stands], packed[stands], np.full(len(stands), STANDS))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(cells, more, strict=True)], ["gram", "context", "key", "packed", "kind"])
+
+
 def _emit_anchors(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +162,9 @@ def _emit_anchors(least: int):
                     ends = np.cumsum(sizes)
                     g, c, t, p, before, size = anchors(np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8), ends - sizes, ends, least)
                     parts.append((g, c, t + a, p, before, size))
-                for g, c, t, p, before, size in parts:
-                    if len(g):
-                        columns = (g.view(np.int64), c.view(np.int64), keys[t], _pack(p, before, size))
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "context", "key", "packed"])
+                g, c, t, p, before, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if len(g):
+                    yield _combined(g, c, keys[t], _pack(p, before, size))
 
     return run
 
@@ -165,9 +184,11 @@ def _judge_anchors(least: int):
         gram, same = np.concatenate(([False], gram, [False])), np.concatenate(([False], same, [False]))
         at = np.arange(x.shape[1]) + (before is not None)
         gp, gn, sp, sn = gram[at], gram[at + 1], same[at], same[at + 1]
-        copies = sp | sn
         wide = (x[3] >> 14 & 0x3FFF) + (x[3] & 0x3FFF) >= least
-        for mask, flag in ((copies & wide, False), (((gp & ~sp) | (gn & ~sn)) & wide, True)):
+        settled = x[4] == SETTLED
+        copies = settled | ((x[4] == ONCE) & (sp | sn))
+        differs = ((gp & ~sp) | (gn & ~sn)) & ~settled
+        for mask, flag in ((copies & wide, False), (differs & wide, True)):
             if mask.any():
                 part = x[:, mask]
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[2]), pa.array(part[3]), pa.array(np.full(part.shape[1], flag))], ["gram", "key", "packed", "open"])
@@ -364,7 +385,7 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT) -> DataFr
     key = F.col("doc_id") if unclear.isEmpty() else F.xxhash64("doc_id", "text")  # rows with equal keys have equal texts
     named = named.withColumn("key", key)
 
-    emitted = named.where(F.octet_length("text") >= min_bytes).select("key", "text").mapInArrow(_emit_anchors(min_bytes), "gram long, context long, key long, packed long")
+    emitted = named.where(F.octet_length("text") >= min_bytes).select("key", "text").mapInArrow(_emit_anchors(min_bytes), "gram long, context long, key long, packed long, kind long")
     dealt = emitted.repartition(n, "gram").sortWithinPartitions("gram", "context")
     judged = scratch.save(dealt.mapInArrow(_judge_anchors(min_bytes), "gram long, key long, packed long, open boolean"), "judged")
     place, before, size = F.shiftright("packed", 28), F.shiftright("packed", 14).bitwiseAND(F.lit(0x3FFF)), F.col("packed").bitwiseAND(F.lit(0x3FFF))
