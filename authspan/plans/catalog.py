@@ -83,10 +83,11 @@ def failed_bursts(log: Log) -> DataFrame:
 , e AS (SELECT *, {ok("user_id")} AS ok FROM ev WHERE event_type = 'login_attempt' AND auth_result = 'success')
 , p AS (SELECT *, lag(ts) OVER o AS t0, lag(geo_lat) OVER o AS la, lag(geo_lon) OVER o AS lo FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ok))
 , q AS (SELECT record_id, user_id, (epoch_us(ts) - epoch_us(t0)) / 6e7 AS minutes, {km("la", "lo", "geo_lat", "geo_lon")} AS km FROM p)
-SELECT record_id, user_id, round(minutes, 6) AS minutes, round(km, 6) AS km, round(km / greatest(minutes / 60, 1.0 / 60), 6) AS kmh
+SELECT record_id, user_id, round(minutes, 6) AS minutes, round(km, 3) AS km, round(km / greatest(minutes / 60, 1.0 / 60), 3) AS kmh
 FROM q WHERE minutes BETWEEN 0 AND 10080 AND km BETWEEN 500 AND 30000""")
 def impossible_travel(log: Log) -> DataFrame:
-    return r6(detectors.impossible_travel(log.events, 0, 7 * 1440, 500, 30_000, 0), "minutes", "km", "kmh")
+    out = r6(detectors.impossible_travel(log.events, 0, 7 * 1440, 500, 30_000, 0), "minutes")
+    return out.withColumns({c: F.round(c, 3) for c in ("km", "kmh")})  # the engines' sines differ in the last bit
 
 
 @query("""
@@ -165,12 +166,13 @@ def rated_attacks(log: Log) -> DataFrame:
   coalesce(sum(CASE WHEN event_type = 'login_attempt' AND auth_result = 'failure' THEN 1.0 ELSE 0 END) OVER w / nullif(sum(CASE WHEN event_type = 'login_attempt' THEN 1.0 ELSE 0 END) OVER w, 0), 0) AS failed,
   coalesce(last_value(ema IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ema0
   FROM t WINDOW {past("user_id")})
-SELECT record_id, round(velocity, 6) AS velocity_kmh, round(ent, 6) AS login_location_entropy, round(CAST(switch AS DOUBLE), 6) AS device_switch_rate, round(CAST(failed AS DOUBLE), 6) AS failed_login_ratio,
-  round(ema0, 6) AS ema_failure_rate, round(coalesce({km("home_lat", "home_lon", "geo_lat", "geo_lon")}, 0), 6) AS geo_distance_from_home_km
+SELECT record_id, round(velocity, 3) AS velocity_kmh, round(ent, 6) AS login_location_entropy, round(CAST(switch AS DOUBLE), 6) AS device_switch_rate, round(CAST(failed AS DOUBLE), 6) AS failed_login_ratio,
+  round(ema0, 6) AS ema_failure_rate, round(coalesce({km("home_lat", "home_lon", "geo_lat", "geo_lon")}, 0), 3) AS geo_distance_from_home_km
 FROM f LEFT JOIN us USING (user_id)""")
 def behaviour_features(log: Log) -> DataFrame:
     out = behaviour.behaviour(log.events, log.users, DAYS)
-    return r6(out, *[c for c in out.columns if c != "record_id"])
+    far = ("velocity_kmh", "geo_distance_from_home_km")
+    return r6(out, *[c for c in out.columns if c not in ("record_id", *far)]).withColumns({c: F.round(c, 3) for c in far})
 
 
 @query(f"""
@@ -335,7 +337,7 @@ def bookkeeping_ids(log: Log) -> DataFrame:
 
 
 @query(f"""
-SELECT ev.record_id, round({km("home_lat", "home_lon", "geo_lat", "geo_lon")}, 6) AS away_km,
+SELECT ev.record_id, round({km("home_lat", "home_lon", "geo_lat", "geo_lon")}, 3) AS away_km,
   CASE WHEN s <= e THEN NOT hour(ts) BETWEEN s AND e ELSE NOT (hour(ts) >= s OR hour(ts) <= e) END AS off_shift, NOT hour(ts) BETWEEN 7 AND 19 AS off_default, isodow(ts) >= 6 AS weekend,
   CAST(list_position(['standard', 'elevated', 'admin', 'domain_admin'], privilege_level) AS BIGINT) AS privilege, CAST(round_even(score * 10000, 0) AS BIGINT) AS fixed,
   coalesce(attack_type, 'benign') AS label, {TIER} AS tier
@@ -344,7 +346,7 @@ def scalar_functions(log: Log) -> DataFrame:
     e = log.events.where("resource_accessed is not null").join(log.users, "user_id", "left").join(log.labels.select("record_id", "attack_type"), "record_id")
     start, end = F.col("user_id") % 24, F.col("user_id") * 7 % 24
     return e.select(
-        "record_id", F.round(C.haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("geo_lat"), F.col("geo_lon")), 6).alias("away_km"),
+        "record_id", F.round(C.haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("geo_lat"), F.col("geo_lon")), 3).alias("away_km"),
         C.off_shift(F.hour("ts"), start, end).alias("off_shift"), C.off_hours(F.col("ts")).alias("off_default"), C.weekend(F.col("ts")).alias("weekend"),
         C.privilege_rank(F.col("privilege_level")).cast("long").alias("privilege"), C.fixed_point(F.col("score")).alias("fixed"),
         F.coalesce("attack_type", F.lit("benign")).alias("label"), C.lookup(C.TIERS, F.col("resource_accessed")).alias("tier"),
