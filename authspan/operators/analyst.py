@@ -222,3 +222,21 @@ def techniques(rows: DataFrame) -> DataFrame:
 
 def severity_by_department(rows: DataFrame) -> DataFrame:
     return rows.groupBy("department").pivot("severity", ["low", "medium", "high", "critical"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def driver_table(parts: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """parts (record_id, feature, contribution) with the observed value, the mean of the user's other events
+    (null for a single one), the direction, and the sum of the record's contributions."""
+    long = rows.select("record_id", "user_id", *names).unpivot(["record_id", "user_id"], names, "feature", "observed")
+    per = long.groupBy("user_id", "feature").agg(F.sum("observed").alias("s"), F.count("observed").alias("n"))
+    seen = long.join(parts.select("record_id").distinct(), "record_id", "left_semi").join(per, ["user_id", "feature"])
+    norm = F.try_divide(F.col("s") - F.col("observed"), F.col("n") - 1)
+    total = F.sum("contribution").over(Window.partitionBy("record_id"))
+    out = parts.join(seen, ["record_id", "feature"]).withColumns({"norm": norm, "direction": F.when(F.col("contribution") >= 0, "up").otherwise("down"), "total": total})
+    return out.select("record_id", "feature", "observed", "norm", "contribution", "direction", "total")
+
+
+def event_techniques(rows: DataFrame, *record_ids: int) -> DataFrame:
+    """Tactic and techniques of single events, a row per technique."""
+    picked = rows.where(F.col("record_id").isin(*record_ids)) if record_ids else rows
+    return picked.where("technique_ids is not null").select("record_id", "tactic", F.explode(C.split_list(F.col("technique_ids"))).alias("technique"))

@@ -564,6 +564,18 @@ def contribution_weights(log: Log) -> DataFrame:
     return r6(explain.global_weights(parts), "weight")
 
 
+@query("""
+, f AS (SELECT record_id, user_id, CAST(score AS DOUBLE) AS score, geo_lat FROM ev)
+, n AS (SELECT *, (sum(score) OVER u - score) / nullif(count(*) OVER u - 1, 0) AS ns, (sum(geo_lat) OVER u - geo_lat) / nullif(count(*) OVER u - 1, 0) AS ng FROM f WINDOW u AS (PARTITION BY user_id))
+, c AS (SELECT record_id, 'score' AS feature, score AS observed, ns AS norm, score - 0.4 AS contribution FROM n WHERE score >= 0.7 UNION ALL SELECT record_id, 'geo_lat', geo_lat, ng, (geo_lat - 5) / 100 FROM n WHERE score >= 0.7)
+SELECT record_id, feature, round(observed, 6) AS observed, round(norm, 5) AS norm, round(contribution, 6) AS contribution, CASE WHEN contribution >= 0 THEN 'up' ELSE 'down' END AS direction,
+  round(sum(contribution) OVER (PARTITION BY record_id), 6) AS total FROM c""")
+def driver_table(log: Log) -> DataFrame:
+    rows = log.events.withColumn("score", F.col("score").cast("double"))
+    parts = explain.contributions(rows.where("score >= 0.7"), ["score", "geo_lat"], {"score": 0.4, "geo_lat": 5.0}, F.col("score") + F.col("geo_lat") / 100)
+    return r6(analyst.driver_table(parts, rows, ["score", "geo_lat"]), "observed", "contribution", "total").withColumn("norm", F.round("norm", 5))
+
+
 @query()
 def flagged_explanations(log: Log) -> DataFrame:
     """Leave-one-out contributions of a seeded sample of flagged events, with sentences."""
@@ -734,6 +746,11 @@ def technique_matrix(log: Log) -> DataFrame:
     return analyst.techniques(wide(log))
 
 
+@query(f", {WIDE} SELECT record_id, tactic, trim(unnest(string_split(technique_ids, ','))) AS technique FROM de WHERE technique_ids IS NOT NULL")
+def event_techniques(log: Log) -> DataFrame:
+    return analyst.event_techniques(wide(log))
+
+
 @query(f""", {WIDE} SELECT attack_type, severity, tactic, count(*) AS n FROM de WHERE is_attack GROUP BY attack_type, severity, tactic""")
 def type_by_severity(log: Log) -> DataFrame:
     return wide(log).where("is_attack").groupBy("attack_type", "severity", "tactic").agg(F.count(F.lit(1)).alias("n"))

@@ -1,10 +1,12 @@
 """Streams give what the batch operators give, also after a restart."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from authspan.operators import detectors
 from authspan.sources.adapter import Log
-from authspan.streaming import alerts
+from authspan.operators import behaviour, graph
+from authspan.streaming import alerts, features
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +45,12 @@ def test_live_totals(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/s")
     stream.writeStream.foreachBatch(totals).option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start().awaitTermination()
     assert totals.processed == rows.count() and totals.alerts == alerts.live_alerts(rows, 0.5).count()
+
+
+def test_stream_behaviour_equals_batch(spark, tmp_path):
+    alerts.run_available(features.stream_behaviour(in_files(spark, tmp_path), 7), f"{tmp_path}/out", f"{tmp_path}/check")
+    log = Log(spark, DATA)
+    want = behaviour.behaviour(log.events, log.users, 7).drop("geo_distance_from_home_km").join(graph.device_set_delta(log.events), "record_id")
+    names = sorted(want.columns)
+    got = spark.read.parquet(f"{tmp_path}/out").select(names).toPandas().sort_values("record_id").reset_index(drop=True)
+    assert np.allclose(got[names], want.select(names).toPandas().sort_values("record_id").reset_index(drop=True)[names], atol=1e-9)
