@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from authspan.llm import embeddings, lines, mixing, pieces, quality, secrets, simhash, substrings, urls, warc
+from authspan.llm import embeddings, lines, mixing, oracles, pieces, quality, secrets, simhash, substrings, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,10 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op6_lines": lines.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_substrings": oracles.SUBSTRINGS,
+    "op3_warc": oracles.WARC,
+    "op4_embeddings": oracles.EMBEDDINGS,
+    "op6_lines": lines.ORACLE,
+    "op10_quality": quality.ORACLE,
+}
