@@ -143,5 +143,6 @@ def mixed(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixed")
     times = scratch.save(mix(docs, rules).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0"), "times")
     named: Iterable[str] = docs.columns
-    joined = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # times grow with documents, so the join is the same shuffle at every size
+    joined = docs.join(times.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*named)

@@ -283,6 +283,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     found = scratch.save(similar(docs, similarity, shingle), "found")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id"))
-    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
+    # kept ids grow with documents, so the join is the same shuffle at every size
+    out = docs.join(kept.distinct().hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
     repeated = found.groupBy("doc_id").count().where("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
