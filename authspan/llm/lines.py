@@ -6,6 +6,7 @@ suffix k lines on, so a document's names double within its row and only the last
 Suffixes of equal name form an interval with a longest common prefix of that many lines; doubling
 stops at min_lines, where every interval of two or more suffixes is a repeated run, and overlapping
 ones join into the maximal runs. Names are 128 bits, so equal names mean equal lines.
+A line of over long_words words is a passage by itself: the same naming with one line finds its repeats.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from authspan.llm.common import WORD, Scratch, let, text_of
 
 MIN_LINES = 2
+#: A line of more words than this is a repeat by itself, where asked for.
+LONG_WORDS = 50
 
 
 def _names(lines: Column) -> Column:
@@ -34,46 +37,64 @@ def _longer(names: Column, step: int) -> Column:
     return let(names, pairs)
 
 
-def suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, key, i, a, b): the name of the min_lines lines from the i-th line with a word on."""
+def _runs(lines: Column, min_lines: int, long_words: int | None) -> Column:
+    """(i, w, a, b): the name of the w lines from the i-th on, w being min_lines, and 1 for long lines."""
+
+    def named(held: Column, one: Column) -> Column:
+        names, k = one, 1
+        while k < min_lines:
+            step = min(k, min_lines - k)
+            names, k = _longer(names, step), k + step
+        runs = F.transform(names, lambda n, i: F.struct(i.alias("i"), F.lit(min_lines).alias("w"), n["a"].alias("a"), n["b"].alias("b")))
+        if long_words is None or min_lines == 1:
+            return runs
+        # so many words have as many characters and separators; the cheap test goes first
+        long = lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words)
+        name = lambda i, c: F.get(one, i)[c].alias(c)
+        alone = F.transform(held, lambda x, i: F.when(long(x), F.struct(i.alias("i"), F.lit(1).alias("w"), name(i, "a"), name(i, "b"))))
+        return F.concat(runs, F.filter(alone, lambda r: r.isNotNull()))
+
+    return let(lines, lambda held: let(_names(held), lambda one: named(held, one)))
+
+
+def suffixes(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """(doc_id, key, i, w, a, b): the name of the w lines from the i-th line with a word on."""
     lines = F.filter(F.split(text_of(), "\n", -1), lambda x: x.rlike(WORD))
-    names, k = _names(lines), 1
-    while k < min_lines:
-        step = min(k, min_lines - k)
-        names, k = _longer(names, step), k + step
     # the outer form: the plain one would add a filter that computes the names once more
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode_outer(names).alias("i", "n"))
-    return rows.where("i is not null").select("doc_id", "key", "i", "n.a", "n.b")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.explode_outer(_runs(lines, min_lines, long_words)).alias("r"))
+    return rows.where("r is not null").select("doc_id", "key", "r.*")
 
 
-def repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, key, starts): where later copies of runs of min_lines lines start, per document.
+def repeats(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """(doc_id, key, starts: array of (i, w)): where later copies of runs of w lines start, per document.
 
     The first copy is that with the smallest (doc_id, position), a null doc_id before others.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    every = scratch.save(suffixes(docs, min_lines), "suffixes")
+    every = scratch.save(suffixes(docs, min_lines, long_words), "suffixes")
     first = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "i")).alias("first")).where("n > 1").drop("n")
     later = every.join(first, ["a", "b"]).where(~F.struct("doc_id", "key", "i").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("i")).alias("starts"))  # one document's lines at most
+    return later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("i", "w"))).alias("starts"))  # one document's lines at most
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with later copies of repeated line runs cut out of text, and n_lines, n_deleted, n_runs.
 
+    A run counts from min_lines lines on and, if long_words is given, also from one line of over
+    long_words words on; shorter lines that repeat alone stay.
     A line is what stands between newlines; lines without a word are kept, and runs reach across
     them. Every distinct line keeps its first occurrence. Null text stays null, with no lines.
     Repeated rows (same doc_id and text) are one document: they lose the same lines. n_runs counts
     maximal deleted runs. Existing columns of those names are replaced.
     """
-    spans = repeats(docs, min_lines).toDF("_id", "_key", "_starts")
+    spans = repeats(docs, min_lines, long_words).toDF("_id", "_key", "_starts")
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     joined = joined.withColumn("_lines", F.split(text_of(), "\n", -1))
     place = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("_place", place)
-    starts = F.coalesce("_starts", F.array().cast("array<int>"))
-    gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (min_lines - 1)))))
+    starts = F.coalesce("_starts", F.array().cast("array<struct<i:int,w:int>>"))
+    gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s["i"], s["i"] + s["w"] - 1))))
     joined = joined.withColumn("_gone", F.sort_array(gone))
     at = F.transform("_gone", lambda i: F.get("_place", i))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), at)

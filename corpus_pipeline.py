@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut out; every document stays, and n_chars follows its text."""
-    out = lines.dedup(docs).select(*docs.columns)
+    """Later copies of repeated line runs, and of single lines of over 50 words, are cut out; every document stays, and n_chars follows its text."""
+    out = lines.dedup(docs, long_words=lines.LONG_WORDS).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

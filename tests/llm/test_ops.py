@@ -302,6 +302,15 @@ def test_lines(spark, m):
     assert lines.dedup(empty(spark)).isEmpty()
 
 
+def test_pipeline_cuts_long_single_lines(spark):
+    import corpus_pipeline
+
+    long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd"), (3, long), (4, f"{short}\ne"), (5, f"{long}\n\n{long}")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {1: rows[0][1], 2: "c\nd", 3: "", 4: rows[3][1], 5: ""}
+
+
 # 7
 
 
