@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authspan.llm.common import Scratch, components
+from authspan.llm.common import Scratch, components, row_key
 
 RADIUS = 3
 SHINGLE = 3
@@ -31,27 +32,48 @@ WORDS = 4
 SLICE = 65536
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, words64: int = 1) -> int:
-    """The SimHash of one text in 64 * words64 bits; zero if it has no word. Bits after the first 64
-    come from the shingle's hash mixed again."""
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of one text in 64 bits; zero if it has no word. Repeated shingles count as often as they stand."""
+    hashes = _hashes(text, shingle)
+    return int.from_bytes(_majority(hashes[:, None]), "little") if len(hashes) else 0
+
+
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order; none if it has no word."""
+    return np.unique(_hashes(text, shingle))
+
+
+def sketch(distinct: np.ndarray) -> bytes:
+    """The SimHash of a shingle set in 64 * WORDS bits. Bits after the first 64 come from the hashes mixed again."""
+    return _majority(np.stack([distinct, *(_mixed(distinct, k) for k in range(1, WORDS))], axis=1)) if len(distinct) else bytes(8 * WORDS)
+
+
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
     words = (text or b"").lower().split()  # bytes: lower() changes A-Z only, split() cuts at the six ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     n = len(words) - k + 1
+    pairs = zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in pairs), dtype="<u8", count=n)
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """The bits that over half of the rows have set."""
+    n, words64 = hashes.shape
     counts = np.zeros(64 * words64, dtype=np.int64)
     for at in range(0, n, SLICE):
-        to = min(n, at + SLICE)
-        pairs = zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist(), strict=True)
-        hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in pairs], dtype="<u8")
-        if words64 > 1:
-            hashes = np.stack([hashes, *(_mixed(hashes, k) for k in range(1, words64))], axis=1).astype("<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * words64), axis=1, bitorder="little")
+        part = np.ascontiguousarray(hashes[at : at + SLICE], dtype="<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8 * words64), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return np.packbits(2 * counts > n, bitorder="little").tobytes()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -129,7 +151,28 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _link_shards(radius: int):
+def nearest(values: list[int], radius: int) -> list[tuple[int, int, int, int]]:
+    """A spanning forest like forest(), each link by the nearest member: (position, position, distance, tree)."""
+    tree, parent, out = BKTree(), [], []
+
+    def root(j: int) -> int:
+        while parent[j] != j:
+            parent[j] = parent[parent[j]]
+            j = parent[j]
+        return j
+
+    for i, v in enumerate(values):
+        parent.append(i)
+        for d, hit in sorted(((values[j] ^ v).bit_count(), j) for j in tree.within(v, radius)):
+            a, b = root(hit), root(i)
+            if a != b:
+                parent[b] = a
+                out.append((hit, i, d))
+        tree.add(v)
+    return [(x, y, d, root(x)) for x, y, d in out]
+
+
+def _link_shards(radius: int, trees: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None  # the last group, which may go on in the next batch
         for batch in batches:
@@ -142,9 +185,23 @@ def _link_shards(radius: int):
             cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             last = int(cut[-1]) if len(cut) else 0
             held = tuple(x[last:] for x in now)
-            yield from groups([x[:last] for x in now[3:]], np.concatenate(([0], cut)))
+            yield from (tagged if trees else groups)([x[:last] for x in now[3 * (not trees) :]], np.concatenate(([0], cut)))
         if held is not None:
-            yield from groups(list(held[3:]), np.array([0, len(held[3])]))
+            yield from (tagged if trees else groups)(list(held[3 * (not trees) :]), np.array([0, len(held[3])]))
+
+    def tagged(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, lo, hi, ids = columns[:4]
+        parts = [c.view(np.uint64) for c in columns[4:]]
+        found: list[tuple[int, int, int, int]] = []
+        for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            at, to = int(bounds[i]), int(bounds[i + 1])
+            values = [sum(w << 64 * k for k, w in enumerate(ws)) for ws in zip(*(p[at:to].tolist() for p in parts), strict=True)]
+            name = b"%d %d %d " % (key[at], lo[at], hi[at])
+            for x, y, d, tree in nearest(values, radius):
+                p, q = sorted((int(ids[at + x]), int(ids[at + y])))
+                found.append((_signed(xxhash.xxh64_intdigest(name + b"%d" % ids[at + tree])), p, q, d))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["tag", "a", "b", "d"])
 
     def groups(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, parts = columns[0], [c.view(np.uint64) for c in columns[1:]]
@@ -186,8 +243,10 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     return _linked(rows, radius, shard)
 
 
-def _linked(rows: DataFrame, radius: int, shard: int) -> DataFrame:
-    """Spanning links (a, b: ids) within the shards of rows (key, id, and the fingerprint's words)."""
+def _linked(rows: DataFrame, radius: int, shard: int, trees: bool = False) -> DataFrame:
+    """Spanning links (a, b: ids) within the shards of rows (key, id, and the fingerprint's words).
+
+    With trees: (tag, a, b, d), a tag for each tree of nearest links, and their distances."""
     words = rows.columns[2:]
     hot = rows.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int")
@@ -200,7 +259,7 @@ def _linked(rows: DataFrame, radius: int, shard: int) -> DataFrame:
     )
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(_link_shards(radius), "a long, b long")
+    return dealt.mapInArrow(_link_shards(radius, trees), "tag long, a long, b long, d long" if trees else "a long, b long")
 
 
 def near_dups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -233,31 +292,91 @@ def _views(n: int, near: float, recall: float, seed: int) -> np.ndarray:
     return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(max(1, views))])
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, shard: int = SHARD, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) like near_dups, for texts whose shingle sets have a Jaccard similarity.
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        blobs = [press.compress(t or b"") for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["key", "blob"])
 
-    Three bits of 64 tell near-identical texts only. Here fingerprints have 256 bits, and link where
-    their distance says that the similarity is reached, with one standard error (about 0.05) to spare.
-    Shards agree in sampled bits; a pair at the similarity meets in one of them with chance recall,
-    and a closer pair more surely. Nulls, blanks, repeats and empty tables: as in near_dups.
+
+def _judge(similarity: float, shingle: int):
+    """Pairs (a, b, ta, tb: squeezed texts), each with whether its shingle sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        held: list[tuple[int | None, np.ndarray | None]] = [(None, None), (None, None)]
+        for batch in batches:
+            out = []
+            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for side, (name, blob) in enumerate(((a, ta), (b, tb))):
+                    if held[side][0] != name:
+                        held[side] = (name, shingle_set(press.decompress(blob), shingle))
+                x, y = held[0][1], held[1][1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "ok"])
+
+    return run
+
+
+def _across(radius: int):
+    """Rows (tag, id, root, words) in tag order: all pairs of a tag within the radius that have different roots."""
+
+    def pairs(ids: np.ndarray, roots: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(len(ids) - 1):
+            near = (np.bitwise_count(x[i + 1 :] ^ x[i]).sum(axis=1) <= radius) & (roots[i + 1 :] != roots[i])
+            other = ids[i + 1 :][near]
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = [0, *(np.flatnonzero(now[0][1:] != now[0][:-1]) + 1).tolist()]
+            held = [c[cut[-1] :] for c in now]
+            for at, to in zip(cut, cut[1:]):
+                yield from pairs(now[1][at:to], now[2][at:to], np.stack([c[at:to].view(np.uint64) for c in now[3:]], axis=1))
+        if held is not None:
+            yield from pairs(held[1], held[2], np.stack([c.view(np.uint64) for c in held[3:]], axis=1))
+
+    return run
+
+
+def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, shard: int = SHARD, seed: int = 42) -> DataFrame:
+    """(doc_id, key, root) for each row: key names its doc_id and text, root its component.
+
+    A class is the texts of one shingle set. Candidates are classes whose 256-bit fingerprints are
+    three standard errors or less beyond the distance expected at the similarity. Each is judged by
+    the exact Jaccard similarity of its shingle sets before it links. So that a large group costs no
+    square of its size, trees of nearest links are judged first, each class's nearest one before the
+    others; all pairs are judged only in trees with a link that failed, and between components.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = [f"f{k}" for k in range(WORDS)]
+    typed = ", ".join(f"{w} long" for w in words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(fingerprint(t.as_py(), shingle, WORDS).to_bytes(8 * WORDS, "little") for t in batch.column(1))
-            x = np.frombuffer(raw, dtype="<i8").reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k].copy()) for k in range(WORDS))], ["doc_id", *words])
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            ids = [_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets]
+            x = np.frombuffer(b"".join(map(sketch, sets)), dtype="<i8").reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.int64()), *(pa.array(x[:, k].copy()) for k in range(WORDS))], ["doc_id", "key", "id", *words])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    fps = scratch.save(slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words)).withColumn("id", F.xxhash64(*words)), "fps")
-    distinct = scratch.save(fps.groupBy("id", *words).agg(F.min("doc_id").alias("least")), "distinct")
+    slim = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("key"), F.col("text").cast("string").cast("binary"))
+    fps = scratch.save(slim.mapInArrow(run, f"doc_id long, key long, id long, {typed}"), "fps")
+    distinct = scratch.save(fps.groupBy("id", *words).agg(F.min("key").alias("key")), "distinct")
 
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(64 * WORDS * angle + np.sqrt(64 * WORDS * angle * (1 - angle)))
-    views = _views(distinct.count(), 1 - angle, recall, seed)
+    spread = float(np.sqrt(angle * (1 - angle) / (64 * WORDS)))
+    radius = int(64 * WORDS * (angle + 3 * spread))
+    views = _views(distinct.count(), 1 - angle - spread, recall, seed)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,23 +386,74 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
                 key = (bits[:, at] << np.arange(len(at))).sum(axis=1) + (v << 48)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "id", *words])
 
-    rows = distinct.select("id", *words).mapInArrow(deal, "key long, id long, " + ", ".join(f"{w} long" for w in words))
-    comp = components(scratch, _linked(rows, radius, shard), "links").toDF("id", "root")
-    rooted = scratch.save(distinct.select("id", "least").join(comp, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("id", "component_id")
-    return fps.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+    rows = distinct.select("id", *words).mapInArrow(deal, f"key long, id long, {typed}")
+    edges = scratch.save(_linked(rows, radius, shard, trees=True), "edges")
+
+    ends = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
+    wanted = distinct.select("id", "key").join(ends, "id")
+    texts = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").cast("string").cast("binary")).mapInArrow(_squeeze, "key long, blob binary")
+    blobs = scratch.save(texts.join(wanted.hint("merge"), "key").select("id", "blob").dropDuplicates(["id"]), "blobs")
+
+    def judged(pairs: DataFrame, tag: str) -> DataFrame:
+        full = pairs.join(blobs.toDF("a", "ta").hint("merge"), "a").join(blobs.toDF("b", "tb").hint("merge"), "b")
+        return scratch.save(full.select("a", "b", "ta", "tb").mapInArrow(_judge(similarity, shingle), "a long, b long, ok boolean"), tag)
+
+    def roots(of: DataFrame, tag: str) -> DataFrame:
+        return scratch.save(components(scratch, of.where("ok").select("a", "b"), tag), f"{tag}-roots")
+
+    def between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs whose ends aren't in one component."""
+        both = pairs.join(comp.toDF("a", "ra"), "a", "left").join(comp.toDF("b", "rb"), "b", "left")
+        return both.where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
+
+    first = F.min(F.struct("d", "a", "b")).alias("e")
+    best = edges.withColumn("n", F.explode(F.array("a", "b"))).groupBy("n").agg(first).select("e.a", "e.b").distinct()
+    known = judged(best, "nearest")
+    comp = roots(known, "links0")
+    rest = between(edges.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), comp)
+    known = known.unionAll(judged(rest, "others"))
+    comp = roots(known, "links1")
+    torn = between(edges, comp).select("tag").distinct()
+    members = edges.join(torn, "tag").select("tag", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = members.join(distinct.select("id", *words), "id").join(comp.toDF("id", "root"), "id", "left")
+    members = members.select("tag", "id", F.coalesce("root", "id").alias("root"), *words)
+    pairs = members.repartition(n, "tag").sortWithinPartitions("tag").mapInArrow(_across(radius), "a long, b long").distinct()
+    known = known.unionAll(judged(pairs.join(known, ["a", "b"], "left_anti"), "across"))
+    comp = roots(known, "links2")
+    return scratch.save(fps.select("doc_id", "key", "id").join(comp.toDF("id", "root"), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root")), "grouped")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, shard: int = SHARD, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) like near_dups, for texts whose shingle sets have that Jaccard similarity.
+
+    Links are exact (see grouped()). Shards agree in sampled bits: a pair whose fingerprints are one
+    standard error beyond the expected distance meets in one of them with chance recall, and a closer
+    pair more surely. Nulls, blanks, repeats and empty tables: as in near_dups, but every component
+    has an id of its own: of those with one smallest doc_id (or none), all but the first take a row's key.
+    """
+    found = grouped(docs, similarity, shingle, recall, shard, seed)
+    best = _best(found).select("root", "best.doc_id", "best.key")
+    lead = best.groupBy("doc_id").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("lead"))
+    named = best.join(lead, "key", "left").select("root", F.when(F.col("lead"), F.col("doc_id")).otherwise(F.col("key")).alias("component_id"))
+    return found.join(named, "root").select("doc_id", "component_id")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """(root, best): each component's row with the smallest doc_id, then the smallest key; null ids last."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    return found.groupBy("root").agg(best.alias("best"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """docs with one row of each component of similar(): that with the smallest doc_id.
+    """docs with one row of each component: that with the smallest doc_id, then the smallest key of id and text.
 
-    doc_id names a document; of rows that repeat an id, one stays. A component of null ids keeps one row.
+    Null ids come last. Different texts that share an id, or have none, are documents of their own; of
+    rows that repeat both id and text, one stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = scratch.save(similar(docs, similarity, shingle), "found")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id"))
-    # kept ids grow with documents, so the join is the same shuffle at every size
-    out = docs.join(kept.distinct().hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    found = grouped(docs, similarity, shingle)
+    kept = scratch.save(_best(found).select(F.col("best.key").alias("_keep")), "kept")
+    # kept keys grow with documents, so the join is the same shuffle at every size
+    out = docs.withColumn("_key", row_key("doc_id", "text")).join(kept.hint("merge"), F.col("_key") == F.col("_keep"), "left_semi")
+    repeated = found.groupBy("key").count().where("count > 1")
+    return (out if repeated.isEmpty() else out.dropDuplicates(["_key"])).drop("_key")
