@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authspan.llm.common import WORD, Scratch, text_of
+from authspan.llm.common import WORD, Scratch, row_key, text_of
 
 BUCKET = 256
 
@@ -108,13 +108,13 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, taken) for each row of docs.
+    """(doc_id, source, size, source_size, target, times, taken, key) for each row of docs; key names doc_id, source and text.
 
     Null or blank text: size 0, taken 0. Null source: a source of its own, last in order. Rows that
     repeat a doc_id are separate documents here, and fall together in the choice. No text is shuffled.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(docs.select("doc_id", F.col("source").cast("string"), word_count(text_of()).alias("size")), "sized")
+    sized = scratch.save(docs.select("doc_id", F.col("source").cast("string"), word_count(text_of()).alias("size"), row_key("doc_id", "source", "text").alias("key")), "sized")
     aim = scratch.save(targets(sized, rules), "targets")
     by_length = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     named = aim.toDF("s", "source_size", "target")
@@ -132,17 +132,21 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     running = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), F.coalesce(F.sum("m").over(running), F.lit(0)).alias("before"))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("place", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("place", "doc_id", "key"))
     times = F.col("passes") + (F.col("rank") + F.col("before") <= F.col("extra")).cast("long")
     ranked = rows.withColumn("rank", rank).join(before, on)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), "key")
 
 
 def mixed(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it. Rows that share a doc_id share the larger count."""
+    """docs with each row repeated as often as the mix takes it. Rows equal in id, source and text share out their counts."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    times = scratch.save(mix(docs, rules).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0"), "times")
+    per = mix(docs, rules).groupBy("key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).where("_times > 0")
+    times = scratch.save(per.withColumnRenamed("key", "_id"), "times")
     named: Iterable[str] = docs.columns
     # times grow with documents, so the join is the same shuffle at every size
-    joined = docs.join(times.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*named)
+    joined = docs.withColumn("_key", row_key("doc_id", "source", "text")).join(times.hint("merge"), F.col("_key") == F.col("_id"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # equal rows only
+    each = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_nth") <= F.col("_times") % F.col("_rows")).cast("long")
+    joined = joined.withColumn("_nth", nth).withColumn("_n", each).where("_n > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*named)

@@ -156,6 +156,19 @@ def test_similar_judges_shingle_sets(spark):
     assert not [i for i in odd if got[i] < want[i]] and len(odd) <= 2  # no false link; 256 bits may hide a pair
 
 
+def test_rows_without_or_with_shared_ids_stay(spark):
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(None, word(0), "a"), (None, word(1), "a"), (None, word(1), "a"), (3, word(2), "a"), (3, word(3), "a"), (4, word(3), "b")]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = sorted(r.text for r in simhash.keep_one(df).collect())
+    assert kept == [word(0), word(1), word(2), word(3)]
+    out = mixing.mixed(df).collect()
+    want = {r.source: 0 for r in out}
+    for r in mixing.mix(df).collect():
+        want[r.source] += r.taken
+    assert {s: sum(len(r.text.split()) for r in out if r.source == s) for s in want} == want
+
+
 def test_components_on_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(5, 5)]
     got = {r.node: r.root for r in components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "x").collect()}
