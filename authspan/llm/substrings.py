@@ -4,7 +4,7 @@ Full suffix sorting of a corpus is out of reach, so the suffixes are those that
 An anchor is the GRAM-byte string with the smallest hash among those in a window of min_bytes; two
 equal strings of min_bytes hold the same anchor at the same place, so no repeat is lost.
 
-1. Tasks emit each anchor with the hash of all that a min_bytes string around it can reach, equal
+1. Tasks emit each anchor with the hash of all that a min_bytes string around it can reach and of its place in that, equal
    ones of a batch combined. Rows are dealt by gram; neighbours in (gram, context) order tell everything about most of them: equal
    contexts are repeats over their whole length, and a gram seen once is none.
 2. What is left are contexts that share a gram but differ somewhere. Their bytes are fetched, and
@@ -94,6 +94,12 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -
     g = hasher.grams(gram)
     low = np.uint64(0xFFFFFFFF)
     best = _window_min((g & ~low) | np.arange(len(g), dtype=np.uint64), least - gram + 1)
+    # only windows within one text: others would make its anchors depend on the next text
+    whole = ends - starts >= least
+    turns = np.bincount(starts[whole], minlength=len(buf) + 1) - np.bincount(ends[whole] - least + 1, minlength=len(buf) + 1)
+    best = best[np.cumsum(turns)[: len(best)] > 0]
+    if not len(best):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     best = best[np.concatenate(([True], best[1:] != best[:-1]))]
     place = np.unique((best & low).astype(np.int64))
     text = np.searchsorted(starts, place, side="right") - 1
@@ -101,7 +107,9 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -
     place, text = place[inside], text[inside]
     left = np.maximum(starts[text], place - (least - gram))
     right = np.minimum(ends[text], place + least)
-    return g[place], hasher.at(left, right), text, place - starts[text], place - left, right - place
+    # with the bytes before, two places of one occurrence, clipped at both ends, never compare equal
+    context = _finish(hasher.at(left, right) ^ ((place - left).astype(np.uint64) * BASE))
+    return g[place], context, text, place - starts[text], place - left, right - place
 
 
 def _text_batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:

@@ -212,6 +212,16 @@ def test_substrings_periodic_and_segments(spark, monkeypatch):
         substrings.dedup(df, 1)
 
 
+def test_substrings_one_occurrence_is_no_repeat(spark):
+    """Rulers in texts so short that the contexts of two anchors are both the whole text."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, noise(at := rng.randint(0, 70)) + "-" * 150 + noise(70 - at)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.dedup(df).collect())
+    assert got == plain_substrings(rows, 200)
+
+
 # 3
 
 
