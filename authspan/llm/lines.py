@@ -1,80 +1,110 @@
-"""Line dedup: repeated runs of lines across all documents, later copies deleted.
-
-Only DataFrame expressions. The suffixes of all line sequences get their rank by prefix doubling:
-the name of the first 2k lines of a suffix is made of its own name for k lines and that of the
-suffix k lines on, so a document's names double within its row and only the last ones are shuffled.
-Suffixes of equal name form an interval with a longest common prefix of that many lines; doubling
-stops at min_lines, where every interval of two or more suffixes is a repeated run, and overlapping
-ones join into the maximal runs. Names are 128 bits, so equal names mean equal lines.
-A line of over long_words words is a passage by itself: the same naming with one line finds its repeats.
+"""Line dedup: a suffix array over the line-ID sequences of all documents; later copies of runs are deleted.
+
+Only DataFrame expressions. A suffix is a place in a document's sequence of lines, written as the
+number of that line in one numbering of all documents' lines, so the suffix k lines on is at + k.
+
+1. A suffix's first rank is its line's place among the line-IDs (128-bit hashes, range-partitioned).
+2. Prefix doubling: rank(2k lines) is the place of (rank of the suffix, rank of the suffix k lines
+   on) among all such pairs. Each round is one join of the ranks with themselves, shifted by k, and
+   one partial aggregation. Suffixes that share a rank form the interval [rank, rank + n) of the
+   suffix array, with a longest common prefix of k lines or more. An interval of one suffix repeats
+   nothing and is dropped, so a round handles repeats only; doubling ends where no interval is left.
+3. A suffix that isn't first in its interval starts a later copy of its k lines. A maximal repeated run
+   of any length is the union of the copies that the longest such interval of each suffix tells of:
+   a run of k to 2k lines is covered by two of k lines.
+
+A line of over long_words words is a passage by itself: the first ranks tell its repeats.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authspan.llm.common import WORD, Scratch, let, text_of
+from authspan.llm.common import WORD, Scratch, packed, row_key, split_join, text_of, unpacked
 
 MIN_LINES = 2
 #: A line of more words than this is a repeat by itself, where asked for.
 LONG_WORDS = 50
 
 
-def _names(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+def _ids(lines: Column, long_words: int | None) -> Column:
+    """(a, b, long): the ID of each line, and whether it is a passage by itself."""
+    # so many words have as many characters and separators; the cheap test goes first
+    long = lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words) if long_words else F.lit(False)
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), long(x).alias("long")))
 
 
-def _longer(names: Column, step: int) -> Column:
-    """Names of the prefixes that are step lines longer: pairs of names, step apart."""
+def suffixes(docs: DataFrame, scratch: Scratch, long_words: int | None = None) -> DataFrame:
+    """(at, i, left, a, b, long): every line with a word of every document; and the table doc of (doc, ka, kb).
 
-    def pairs(held: Column) -> Column:
-        n = F.size(held) - F.lit(step)
-        pair = lambda i, c: (F.get(held, i)[c], F.get(held, i + step)[c])
-        both = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*pair(i, "a")).alias("a"), F.xxhash64(F.lit(1), *pair(i, "b")).alias("b")))
-        return F.when(n > 0, both).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
-
-    return let(names, pairs)
-
-
-def _runs(lines: Column, min_lines: int, long_words: int | None) -> Column:
-    """(i, w, a, b): the name of the w lines from the i-th on, w being min_lines, and 1 for long lines."""
-
-    def named(held: Column, one: Column) -> Column:
-        names, k = one, 1
-        while k < min_lines:
-            step = min(k, min_lines - k)
-            names, k = _longer(names, step), k + step
-        runs = F.transform(names, lambda n, i: F.struct(i.alias("i"), F.lit(min_lines).alias("w"), n["a"].alias("a"), n["b"].alias("b")))
-        if long_words is None or min_lines == 1:
-            return runs
-        # so many words have as many characters and separators; the cheap test goes first
-        long = lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(WORD)) > long_words)
-        name = lambda i, c: F.get(one, i)[c].alias(c)
-        alone = F.transform(held, lambda x, i: F.when(long(x), F.struct(i.alias("i"), F.lit(1).alias("w"), name(i, "a"), name(i, "b"))))
-        return F.concat(runs, F.filter(alone, lambda r: r.isNotNull()))
-
-    return let(lines, lambda held: let(_names(held), lambda one: named(held, one)))
-
-
-def suffixes(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
-    """(doc_id, key, i, w, a, b): the name of the w lines from the i-th line with a word on."""
+    at numbers the lines in the order of (doc_id, key, place), a null doc_id before others; at - i names
+    the document. left: how many lines follow. Rows that repeat id and text are one document.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = F.filter(F.split(text_of(), "\n", -1), lambda x: x.rlike(WORD))
-    # the outer form: the plain one would add a filter that computes the names once more
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.explode_outer(_runs(lines, min_lines, long_words)).alias("r"))
-    return rows.where("r is not null").select("doc_id", "key", "r.*")
-
-
-def repeats(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
-    """(doc_id, key, starts: array of (i, w)): where later copies of runs of w lines start, per document.
-
-    The first copy is that with the smallest (doc_id, position), a null doc_id before others.
+    rows = docs.select(F.col("doc_id"), row_key("doc_id", "text").alias("k"), _ids(lines, long_words).alias("ids"))
+    rows = rows.select("doc_id", F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), "ids").where(F.size("ids") > 0)
+    rows = scratch.save(rows, "ids").dropDuplicates(["ka", "kb"])
+    placed = rows.repartitionByRange(n, "doc_id", "ka", "kb").sortWithinPartitions("doc_id", "ka", "kb")
+    each = placed.select("ka", "kb", F.size("ids").alias("n"), F.posexplode("ids").alias("i", "line"))
+    # ids grow along the partitions and, within one, by one from row to row
+    each = each.withColumn("at", F.monotonically_increasing_id())
+    each = each.select("at", "i", (F.col("n") - F.col("i") - 1).alias("left"), "line.*", "ka", "kb")
+    return scratch.save(each, "suffixes")
+
+
+def _ranked(groups: DataFrame, order: list[str], scratch: Scratch, tag: str) -> DataFrame:
+    """groups (order, n, first) with rank: how many suffixes stand in groups before. Ranges of the order are
+    counted first; only their counts, one row a partition, pass through one window."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.save(groups.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), f"{tag}-placed")
+    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(running), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return scratch.save(placed.join(F.broadcast(starts), "part").select(*order, "n", "first", rank.alias("rank")), tag)  # starts: a row a partition
+
+
+def _intervals(rows: DataFrame, by: list[str], scratch: Scratch, tag: str) -> DataFrame:
+    """(at, i, left, long, rank, later) of the suffixes that share what they are grouped by with another one."""
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1")
+    ranks = _ranked(groups, by, scratch, f"{tag}-ranks")
+    held = split_join(rows, ranks, by, "n")
+    return scratch.save(held.select("at", "i", "left", "long", "rank", (F.col("at") > F.col("first")).alias("later")), tag)
+
+
+def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """(ka, kb, runs: array of (i, to)): the maximal runs of lines that are later copies, per document with any.
+
+    The first copy is that with the smallest (doc_id, key, place), a null doc_id before others.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
-    every = scratch.save(suffixes(docs, min_lines, long_words), "suffixes")
-    first = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "i")).alias("first")).where("n > 1").drop("n")
-    later = every.join(first, ["a", "b"]).where(~F.struct("doc_id", "key", "i").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("i", "w"))).alias("starts"))  # one document's lines at most
+    every = suffixes(docs, scratch, long_words)
+    live, k, found = _intervals(every.drop("ka", "kb"), ["a", "b"], scratch, "rank1"), 1, None
+    copies = lambda rows, k: rows.select("at", "i", F.lit(k).alias("w"))
+    if long_words and min_lines > 1:
+        found = copies(live.where("later and long"), 1)
+    while not live.isEmpty():
+        if k >= min_lines:
+            some = copies(live.where("later"), k)
+            found = some if found is None else found.unionAll(some)
+        step = min(k, min_lines - k) if k < min_lines else k
+        on = live.select((F.col("at") - step).alias("at"), F.col("rank").alias("next"))
+        pairs = scratch.save(live.where(F.col("left") >= step).join(on, "at").withColumnRenamed("rank", "own"), f"pairs{k}")
+        k += step
+        # both halves are within their document, as left counts the lines that follow
+        live = _intervals(pairs, ["own", "next"], scratch, f"rank{k}")
+    if found is None:
+        found = copies(live, k)  # of which there is none
+    longest = found.groupBy("at", "i").agg(F.max("w").alias("w")).select((F.col("at") - F.col("i")).alias("doc"), "i", (F.col("i") + F.col("w")).alias("to"))
+    # copies that overlap or meet make one run; a window partition is one document's lines
+    past = Window.partitionBy("doc").orderBy("i")
+    opens = F.coalesce(F.col("i") > F.max("to").over(past.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = longest.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(past))
+    runs = runs.groupBy("doc", "run").agg(F.min("i").alias("i"), F.max("to").alias("to"))
+    per = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "to"))).alias("runs"))
+    named = every.where("i = 0").select(F.col("at").alias("doc"), "ka", "kb")
+    return scratch.save(per.join(named, "doc").select("ka", "kb", "runs"), "runs")
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
@@ -84,30 +114,29 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None =
     long_words words on; shorter lines that repeat alone stay.
     A line is what stands between newlines; lines without a word are kept, and runs reach across
     them. Every distinct line keeps its first occurrence. Null text stays null, with no lines.
-    Repeated rows (same doc_id and text) are one document: they lose the same lines. n_runs counts
-    maximal deleted runs. Existing columns of those names are replaced.
+    Repeated rows (same doc_id and text) are one document: they lose the same lines. Null doc_ids and
+    different texts that share an id are documents of their own. n_runs counts maximal deleted runs.
+    Existing columns of those three names are replaced; others, whatever their names, stay.
     """
-    spans = repeats(docs, min_lines, long_words).toDF("_id", "_key", "_starts")
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    joined = joined.withColumn("_lines", F.split(text_of(), "\n", -1))
-    place = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("_place", place)
-    starts = F.coalesce("_starts", F.array().cast("array<struct<i:int,w:int>>"))
-    gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s["i"], s["i"] + s["w"] - 1))))
-    joined = joined.withColumn("_gone", F.sort_array(gone))
-    at = F.transform("_gone", lambda i: F.get("_place", i))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), at)
-    runs = F.size(F.filter("_gone", lambda v, i: (i == 0) | (F.get("_gone", i - 1) < v - 1)))
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    named = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
-    out = joined.withColumns({"n_lines": F.size("_place").cast("long"), "n_deleted": F.size("_gone").cast("long"), "n_runs": runs.cast("long"), "_text": text})
-    return out.select(*(F.col("_text").alias(c) if c == "text" else c for c in named), "n_lines", "n_deleted", "n_runs")
-
-
-def digest(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "lines")
+    found = repeats(docs, scratch, min_lines, long_words)
+    scratch.drop("runs")
+    keyed = packed(docs, key=row_key("doc_id", "text"), lines=F.split(text_of(), "\n", -1))
+    joined = keyed.join(found, (F.col("key.a") == F.col("ka")) & (F.col("key.b") == F.col("kb")), "left")
+    place = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn("place", place).withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<i:int,to:int>>")))
+    joined = joined.withColumn("gone", F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["to"] - 1))))
+    at = F.transform("gone", lambda i: F.get("place", i))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), at)
+    text = F.when(F.size("gone") == 0, F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    counts = {"n_lines": F.size("place").cast("long"), "n_deleted": F.size("gone").cast("long"), "n_runs": F.size("runs").cast("long")}
+    named = [c for c in docs.columns if c not in counts]
+    return joined.select(*(text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in named), *(v.alias(c) for c, v in counts.items()))
+
+
+def digest(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
     """dedup() without the texts: (doc_id, n_lines, n_deleted, n_runs, kept_sha256)."""
-    out = dedup(docs.select("doc_id", F.col("text").cast("string")), min_lines)
+    out = dedup(docs.select("doc_id", F.col("text").cast("string")), min_lines, long_words)
     return out.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -118,9 +147,10 @@ WITH l AS (
   SELECT doc_id, line, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS nxt
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), r AS (
-  SELECT *, CASE WHEN nxt IS NOT NULL THEN row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) END AS nth FROM s
+  SELECT *, CASE WHEN nxt IS NOT NULL THEN row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) END AS nth,
+    CASE WHEN len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 THEN row_number() OVER (PARTITION BY line ORDER BY doc_id, i) END AS alone FROM s
 ), g AS (
-  SELECT *, coalesce(nth > 1, false) OR coalesce(lag(nth) OVER (PARTITION BY doc_id ORDER BY i) > 1, false) AS gone FROM r
+  SELECT *, coalesce(nth > 1, false) OR coalesce(alone > 1, false) OR coalesce(lag(nth) OVER (PARTITION BY doc_id ORDER BY i) > 1, false) AS gone FROM r
 ), h AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g
 ), c AS (
