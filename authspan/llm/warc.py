@@ -5,7 +5,8 @@ a candidate, from its offset to the offset where the record's declared length en
 from the start of each file keeps the candidates that the chain of records reaches; what looks
 like a record inside a payload is not reached. Chains are first shortened within a split, so the
 jumps double over splits, not records. A record whose payload was cut by such a look-alike is put
-together from its pieces afterwards.
+together from its pieces afterwards, which are kept by the same scan: a second scan could be split
+in other places. Offsets are those of the file, so the pieces of a record are found by their range.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from authspan.llm.common import Scratch
+from authspan.llm.common import Scratch, split_join
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -45,11 +46,11 @@ def _with_payload(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
 
 
-def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def revisits(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
     """(page_id, digest, refers_to) for rows whose payload another row with a larger page_id has."""
-    rows = _with_payload(pages).where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    rows = scratch.save(_with_payload(pages).where(F.octet_length("payload") >= least_bytes).select("page_id", "digest"), "digests")
     largest = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    later = rows.join(largest.drop("n"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    later = split_join(rows, scratch.save(largest, "largest"), ["digest"], "n").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return later.select("page_id", "digest", "refers_to").distinct()
 
 
@@ -60,7 +61,7 @@ def write(pages: DataFrame, path: str, scratch: Scratch, least_bytes: int = 0) -
     the payload. Rows that tie for the largest are all responses. Null html: an empty payload. Null
     url: no target. Null page_id: a record id without a number, never referred to.
     """
-    known = scratch.save(revisits(pages, least_bytes), "revisits").toDF("_p", "_d", "refers_to")
+    known = scratch.save(revisits(pages, scratch, least_bytes), "revisits").toDF("_p", "_d", "refers_to")
     rows = _with_payload(pages).join(known, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
     revisit = F.col("refers_to").isNotNull()
     number = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
@@ -116,7 +117,9 @@ def _measure(kind: str, block: bytes, digest: str) -> tuple[int | None, str, boo
     return len(payload), own, own == digest and (not said or int(said) == len(payload))
 
 
-CANDIDATES = "file string, split long, at long, next long, leaves_at long, size long, kind string, page_id long, refers_to long, digest string, bytes long, agrees boolean, whole boolean"
+CANDIDATES = "file string, split long, at long, next long, leaves_at long, size long, kind string, page_id long, refers_to long, digest string, bytes long, agrees boolean, whole boolean, data binary"
+#: Bytes of a file within which pieces are matched with the records they belong to.
+RANGE = 1 << 20
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -140,33 +143,43 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
             at += step
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(keep_all: bool):
+    """A candidate for each piece. data is kept where the piece may be part of a cut record: it isn't whole
+    itself, or lies within what such a one before it in the split declares; or always."""
     names = [x.split()[0] for x in CANDIDATES.split(", ")]
-    kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in CANDIDATES.split(", ")]
-    rows: list[list] = []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        place = {r[2]: i for i, r in enumerate(rows)}
-        for r in reversed(rows):  # where the chain from here leaves the split; -1: it breaks
-            if r[3] >= 0:
-                r[4] = rows[place[r[3]]][4] if r[3] in place else r[3]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
-        rows.clear()
-
-    for file, split, at, data, new in _placed(batches):
-        if new:
-            yield from done()
-        found = _parse(data)
-        if found is None:
-            rows.append([file, split, at, -1, -1, len(data), None, None, None, None, None, None, False])
-            continue
-        head, size, kind, page, refers, digest = found
-        end = head + size
-        whole = data[end:] in (b"", b"\r\n\r\n") and len(data) >= end
-        n, own, agrees = _measure(kind, data[head:end], digest) if whole else (None, digest, None)
-        rows.append([file, split, at, at + end + GAP, -1, len(data), kind, page, refers, own, n, agrees, whole])
-    yield from done()
+    kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in CANDIDATES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
+        until = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            place = {r[2]: i for i, r in enumerate(rows)}
+            for r in reversed(rows):  # where the chain from here leaves the split; -1: it breaks
+                if r[3] >= 0:
+                    r[4] = rows[place[r[3]]][4] if r[3] in place else r[3]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
+            rows.clear()
+
+        for file, split, at, data, new in _placed(batches):
+            if new:
+                yield from done()
+                until = 0
+            found = _parse(data)
+            if found is None:
+                rows.append([file, split, at, -1, -1, len(data), None, None, None, None, None, None, False, data])
+                continue
+            head, size, kind, page, refers, digest = found
+            end = head + size
+            whole = data[end:] in (b"", b"\r\n\r\n") and len(data) >= end
+            n, own, agrees = _measure(kind, data[head:end], digest) if whole else (None, digest, None)
+            until = until if whole else max(until, at + end)
+            kept = data if keep_all or at < until else None
+            rows.append([file, split, at, at + end + GAP, -1, len(data), kind, page, refers, own, n, agrees, whole, kept])
+        yield from done()
+
+    return run
 
 
 def _walk(group: pd.DataFrame) -> pd.DataFrame:
@@ -180,13 +193,17 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     return group.loc[group["at"].isin(reached), ["file", "split", "at"]]
 
 
-def read(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+def read(spark: SparkSession, path: str, scratch: Scratch, keep_all: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, agrees) for each record under path.
 
     agrees: the payload has the declared digest and length. Text that no chain of records from a
     file's start reaches is not a record. Empty archives give no rows.
+    keep_all: keep the text of every piece for putting cut records together. Without it the scan keeps
+    what its split shows to be needed; if a look-alike within a record of an earlier split proves to be
+    needed as well, the archives are scanned once more with keep_all.
     """
-    found = scratch.save(_pieces(spark, path).mapInArrow(_candidates, CANDIDATES), "candidates")
+    every = scratch.save(_pieces(spark, path).mapInArrow(_candidates(keep_all), CANDIDATES), "candidates")
+    found = every.withColumn("held", F.col("data").isNotNull()).drop("data")
     # where each split's first piece starts: pieces follow each other without gaps
     splits = found.groupBy("file", "split").agg(F.max(F.col("at") + F.col("size") + GAP).alias("text"))
     order = Window.partitionBy("file").orderBy("split")
@@ -210,16 +227,29 @@ def read(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     result = lambda df: df.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "agrees")
     cut = records.where("not whole").select("file", F.col("start").alias("from"), (F.col("next") + F.col("base")).alias("until"))
     whole = result(records.where("whole"))
-    return whole if cut.isEmpty() else whole.unionAll(result(_joined(spark, path, splits, cut)))
-
-
-def _joined(spark: SparkSession, path: str, splits: DataFrame, cut: DataFrame) -> DataFrame:
+    if cut.isEmpty():
+        return whole
+    inside = scratch.save(_inside(cut, placed.select("file", "split", "at", "start", "held")), "inside")
+    if not inside.where("not held").isEmpty():
+        return read(spark, path, Scratch(spark, "warc-again"), keep_all=True)
+    return whole.unionAll(result(_joined(every, inside)))
+
+
+def _inside(cut: DataFrame, pieces: DataFrame) -> DataFrame:
+    """pieces that lie in a cut record, with its start, from. Records of a chain don't overlap, so that is
+    the last one that starts at or before the piece; both are dealt by ranges of the file."""
+    lowest = lambda c: F.floor(F.col(c) / RANGE).cast("long")
+    spread = cut.withColumn("range", F.explode(F.sequence(lowest("from"), F.floor((F.col("until") - 1) / RANGE).cast("long"))))
+    spread = spread.select("file", "range", F.greatest("from", F.col("range") * RANGE).alias("start"), F.lit(0).alias("piece"), "from", "until")
+    rows = pieces.withColumn("range", lowest("start")).withColumn("piece", F.lit(1)).unionByName(spread, allowMissingColumns=True)
+    last = Window.partitionBy("file", "range").orderBy("start", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(last) for c in ("from", "until")})
+    return rows.where("piece = 1 and start < until").select("file", "split", "at", "start", "from", "held")
+
+
+def _joined(every: DataFrame, inside: DataFrame) -> DataFrame:
     """Records put together from their pieces. Only pieces inside such a record are shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, split, at, data, _ in _placed(batches):
-            yield pa.RecordBatch.from_pydict({"file": [file], "split": [split], "at": [at], "data": [data]})
-
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start")
         data = (END + MAGIC).encode().join(group["data"])
@@ -227,10 +257,8 @@ def _joined(spark: SparkSession, path: str, splits: DataFrame, cut: DataFrame) -
         n, own, agrees = _measure(kind, data[head : head + size], digest)
         return pd.DataFrame({"page_id": [page], "bytes": [n], "digest": [own], "kind": [kind], "refers_to": [refers], "agrees": [agrees and len(data) >= head + size]}).astype({"page_id": "Int64", "bytes": "Int64", "refers_to": "Int64"})
 
-    pieces = _pieces(spark, path).mapInArrow(run, "file string, split long, at long, data binary")
-    pieces = pieces.join(splits.select("file", "split", "base"), ["file", "split"]).select("file", (F.col("at") + F.col("base")).alias("start"), "data")
-    inside = pieces.join(cut, "file").where((F.col("start") >= F.col("from")) & (F.col("start") < F.col("until")))
-    return inside.groupBy("file", "from").applyInPandas(build, "page_id long, bytes long, digest string, kind string, refers_to long, agrees boolean")
+    pieces = inside.join(every.where("data is not null").select("file", "split", "at", "data"), ["file", "split", "at"]).select("file", "from", "start", "data")
+    return pieces.groupBy("file", "from").applyInPandas(build, "page_id long, bytes long, digest string, kind string, refers_to long, agrees boolean")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
