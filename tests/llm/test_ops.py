@@ -278,6 +278,21 @@ def test_embeddings(spark, tile):
     assert embeddings.near_dups(empty(spark, "vec_id long, embedding array<float>")).isEmpty()
 
 
+@pytest.mark.parametrize("n", [1500, 4500])
+def test_embeddings_of_refined_leaves(spark, n):
+    """Splits fitted on few vectors, leaves dealt anew until they are small: links found, against all pairs, at two sizes."""
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((n // 6, 24))
+    v = centres[rng.integers(0, len(centres), n)] + 0.2 * rng.standard_normal((n, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    rules = embeddings.ForestRules(sample=100, leaf=24, most=200, subsample=120, block=64, tile=150)
+    got = {r.vec_id: r.n_links for r in embeddings.near_dups(df, rules).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    have = np.array([got[i] for i in range(n)])
+    assert (have <= links).all() and have.sum() >= 0.9 * links.sum() > 0
+
+
 # 5
 
 
