@@ -3,15 +3,15 @@
 Only DataFrame expressions. A suffix is a place in a document's sequence of lines, written as the
 number of that line in one numbering of all documents' lines, so the suffix k lines on is at + k.
 
-1. A suffix's first rank is its line's place among the line-IDs (128-bit hashes, range-partitioned).
-2. Prefix doubling: rank(2k lines) is the place of (rank of the suffix, rank of the suffix k lines
-   on) among all such pairs. Each round is one join of the ranks with themselves, shifted by k, and
-   one partial aggregation. Suffixes that share a rank form the interval [rank, rank + n) of the
-   suffix array, with a longest common prefix of k lines or more. An interval of one suffix repeats
+1. A suffix's first rank tells its line's place among the line-IDs (128-bit hashes, range-partitioned).
+2. Prefix doubling: rank(2k lines) tells the place of (rank of the suffix, rank of the suffix k lines
+   on) among all such pairs. A round does this twice: it joins the ranks with themselves, shifted by
+   k, 2k and 3k, and takes one partial aggregation. Suffixes that share a rank are an interval of the suffix array with a
+   longest common prefix of k lines or more. An interval of one suffix repeats
    nothing and is dropped, so a round handles repeats only; doubling ends where no interval is left.
 3. A suffix that isn't first in its interval starts a later copy of its k lines. A maximal repeated run
    of any length is the union of the copies that the longest such interval of each suffix tells of:
-   a run of k to 2k lines is covered by two of k lines.
+   the next longer run of k lines begins where the last one ends, or before.
 
 A line of over long_words words is a passage by itself: the first ranks tell its repeats.
 """
@@ -41,12 +41,11 @@ def suffixes(docs: DataFrame, scratch: Scratch, long_words: int | None = None) -
     at numbers the lines in the order of (doc_id, key, place), a null doc_id before others; at - i names
     the document. left: how many lines follow. Rows that repeat id and text are one document.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = F.filter(F.split(text_of(), "\n", -1), lambda x: x.rlike(WORD))
     rows = docs.select(F.col("doc_id"), row_key("doc_id", "text").alias("k"), _ids(lines, long_words).alias("ids"))
     rows = rows.select("doc_id", F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), "ids").where(F.size("ids") > 0)
     rows = scratch.save(rows, "ids").dropDuplicates(["ka", "kb"])
-    placed = rows.repartitionByRange(n, "doc_id", "ka", "kb").sortWithinPartitions("doc_id", "ka", "kb")
+    placed = rows.repartitionByRange("doc_id", "ka", "kb").sortWithinPartitions("doc_id", "ka", "kb")
     each = placed.select("ka", "kb", F.size("ids").alias("n"), F.posexplode("ids").alias("i", "line"))
     # ids grow along the partitions and, within one, by one from row to row
     each = each.withColumn("at", F.monotonically_increasing_id())
@@ -54,23 +53,16 @@ def suffixes(docs: DataFrame, scratch: Scratch, long_words: int | None = None) -
     return scratch.save(each, "suffixes")
 
 
-def _ranked(groups: DataFrame, order: list[str], scratch: Scratch, tag: str) -> DataFrame:
-    """groups (order, n, first) with rank: how many suffixes stand in groups before. Ranges of the order are
-    counted first; only their counts, one row a partition, pass through one window."""
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = scratch.save(groups.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), f"{tag}-placed")
-    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(running), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return scratch.save(placed.join(F.broadcast(starts), "part").select(*order, "n", "first", rank.alias("rank")), tag)  # starts: a row a partition
-
-
-def _intervals(rows: DataFrame, by: list[str], scratch: Scratch, tag: str) -> DataFrame:
-    """(at, i, left, long, rank, later) of the suffixes that share what they are grouped by with another one."""
+def _intervals(rows: DataFrame, by: list[str], scratch: Scratch, tag: str) -> DataFrame | None:
+    """(at, i, left, long, rank, later) of the suffixes that share what they are grouped by with another one;
+    none if none do. Ranks increase in the order of what they stand for, along ranges and within one."""
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1")
-    ranks = _ranked(groups, by, scratch, f"{tag}-ranks")
-    held = split_join(rows, ranks, by, "n")
+    placed = groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
+    ranks = scratch.save(placed, f"{tag}-ranks")
+    total = ranks.agg(F.sum("n")).first()[0]  # one number
+    if not total:
+        return None
+    held = split_join(rows, ranks, by, "n", total=total)
     return scratch.save(held.select("at", "i", "left", "long", "rank", (F.col("at") > F.col("first")).alias("later")), tag)
 
 
@@ -82,20 +74,23 @@ def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, long_
     every = suffixes(docs, scratch, long_words)
     live, k, found = _intervals(every.drop("ka", "kb"), ["a", "b"], scratch, "rank1"), 1, None
     copies = lambda rows, k: rows.select("at", "i", F.lit(k).alias("w"))
-    if long_words and min_lines > 1:
+    if live is not None and long_words and min_lines > 1:
         found = copies(live.where("later and long"), 1)
-    while not live.isEmpty():
+    while live is not None:
         if k >= min_lines:
             some = copies(live.where("later"), k)
             found = some if found is None else found.unionAll(some)
-        step = min(k, min_lines - k) if k < min_lines else k
-        on = live.select((F.col("at") - step).alias("at"), F.col("rank").alias("next"))
-        pairs = scratch.save(live.where(F.col("left") >= step).join(on, "at").withColumnRenamed("rank", "own"), f"pairs{k}")
-        k += step
-        # both halves are within their document, as left counts the lines that follow
-        live = _intervals(pairs, ["own", "next"], scratch, f"rank{k}")
+        # up to min_lines by what is left of it, then two doublings a round
+        steps = [min(k, min_lines - k)] if k < min_lines else [k, 2 * k, 3 * k]
+        # all parts are within their document, as left counts the lines that follow
+        joined = live.where(F.col("left") >= steps[-1]).withColumnRenamed("rank", "r0")
+        for n, step in enumerate(steps, 1):
+            joined = joined.join(live.select((F.col("at") - step).alias("at"), F.col("rank").alias(f"r{n}")), "at")
+        k += steps[-1]
+        names = [f"r{n}" for n in range(len(steps) + 1)]
+        live = _intervals(scratch.save(joined, f"parts{k}"), names, scratch, f"rank{k}")
     if found is None:
-        found = copies(live, k)  # of which there is none
+        found = copies(every, 0).limit(0)
     longest = found.groupBy("at", "i").agg(F.max("w").alias("w")).select((F.col("at") - F.col("i")).alias("doc"), "i", (F.col("i") + F.col("w")).alias("to"))
     # copies that overlap or meet make one run; a window partition is one document's lines
     past = Window.partitionBy("doc").orderBy("i")

@@ -9,7 +9,6 @@ hash into buckets of about BUCKET rows, so no window partition grows with the in
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authspan.llm.common import WORD, Scratch, row_key, text_of
+from authspan.llm.common import WORD, Scratch, packed, row_key, split_join, text_of, unpacked
 
 BUCKET = 256
 
@@ -123,30 +122,30 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     plan = by_length.groupBy("source").applyInPandas(_fit_source, "source string, size long, source_size long, target double, n long, passes long, extra long")
     plan = scratch.save(plan.withColumn("buckets", F.ceil(F.col("n") / BUCKET)), "plan")
 
-    p = plan.toDF("s", "z", *plan.columns[2:])
     place = F.xxhash64("doc_id", F.lit(rules.seed))
     share = F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))
-    rows = sized.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    # a source's documents of one length may be a large share of all
+    rows = split_join(sized, plan.withColumn("rows", F.col("n")), ["source", "size"], "rows")
     rows = rows.withColumn("place", F.shiftrightunsigned(place, 1)).withColumn("bucket", F.floor(share * F.col("buckets")))
     counts = rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("m"))
     running = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), F.coalesce(F.sum("m").over(running), F.lit(0)).alias("before"))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("place", "doc_id", "key"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("place", "doc_id", "key.a", "key.b"))
     times = F.col("passes") + (F.col("rank") + F.col("before") <= F.col("extra")).cast("long")
     ranked = rows.withColumn("rank", rank).join(before, on)
     return ranked.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), "key")
 
 
 def mixed(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it. Rows equal in id, source and text share out their counts."""
+    """docs with each row repeated as often as the mix takes it. Rows equal in id, source and text share
+    out their counts. Columns may have any names."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    per = mix(docs, rules).groupBy("key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).where("_times > 0")
-    times = scratch.save(per.withColumnRenamed("key", "_id"), "times")
-    named: Iterable[str] = docs.columns
-    # times grow with documents, so the join is the same shuffle at every size
-    joined = docs.withColumn("_key", row_key("doc_id", "source", "text")).join(times.hint("merge"), F.col("_key") == F.col("_id"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # equal rows only
-    each = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_nth") <= F.col("_times") % F.col("_rows")).cast("long")
-    joined = joined.withColumn("_nth", nth).withColumn("_n", each).where("_n > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*named)
+    per = mix(docs, rules).groupBy("key").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 0")
+    times = scratch.save(per.select(F.col("key.a").alias("ka"), F.col("key.b").alias("kb"), "times", "rows"), "times")
+    # times grow with documents: never a broadcast that small inputs would get
+    joined = packed(docs, key=row_key("doc_id", "source", "text")).join(times.hint("merge"), (F.col("key.a") == F.col("ka")) & (F.col("key.b") == F.col("kb")))
+    nth = F.row_number().over(Window.partitionBy("ka", "kb").orderBy(F.lit(1)))  # equal rows only
+    each = F.floor(F.col("times") / F.col("rows")) + (F.col("nth") <= F.col("times") % F.col("rows")).cast("long")
+    joined = joined.withColumn("nth", nth).withColumn("n", each).where("n > 0")
+    return unpacked(joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))), docs.columns)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authspan.llm.common import WORD, Scratch, let, text_of, words_of
+from authspan.llm.common import WORD, Scratch, let, packed, text_of, unpacked, words_of
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -74,13 +74,14 @@ def with_signals(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataF
     ).drop("_s")
 
 
-def host_verdicts(signals: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+def host_verdicts(signals: DataFrame, scratch: Scratch, rules: QualityRules = QualityRules()) -> DataFrame:
     """(source, docs, failed, rate, rejected), a row per source.
 
     rate = (failed + a) / (docs + a + b), with a, b of the beta distribution that has the mean and
     variance of the sources' raw rates.
     """
     hosts = signals.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = scratch.save(hosts, "counts")
     raw = F.col("failed") / F.col("docs")
     m, v = hosts.agg(F.avg(raw), F.var_pop(raw)).first()  # two numbers
     weight = rules.prior_docs if not v or v >= m * (1 - m) else m * (1 - m) / v - 1
@@ -97,21 +98,25 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     signals = scratch.save(with_signals(docs.select("doc_id", F.col("source").cast("string"), "text"), rules).drop("text"), "signals")
-    hosts = scratch.save(host_verdicts(signals, rules), "hosts")  # on disk its size is known when the join is planned
+    hosts = scratch.save(host_verdicts(signals, scratch, rules), "hosts")  # on disk its size is known when the join is planned
     named = hosts.select(F.col("source").alias("host"), F.col("rate").alias("host_rate"), "rejected")
     joined = signals.join(named, F.col("source").eqNullSafe(F.col("host")), "left")
     return joined.select("doc_id", "source", *SIGNALS, "base_failed", "host_rate", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of docs that judge() keeps. Signals are computed again in place, so no text is shuffled."""
+    """The rows of docs that judge() keeps. Columns may have any names.
+
+    The rules run once a text: rows are written with their verdict, and sources are judged from that
+    table. No text is shuffled.
+    """
     scratch = Scratch(docs.sparkSession, "quality-keep")
-    slim = docs.select(F.col("source").cast("string"), "text")
-    hosts = scratch.save(host_verdicts(with_signals(slim, rules), rules), "hosts")
-    bad = hosts.where("rejected").select(F.col("source").alias("_bad"))
-    named = docs.columns
-    good = with_signals(docs.select(F.struct("*").alias("_row"), F.col("text"), F.col("source").cast("string")), rules).where(~F.col("base_failed"))
-    return good.join(bad, F.col("source").eqNullSafe(F.col("_bad")), "left_anti").select(*(F.col("_row")[c].alias(c) for c in named))
+    rows = packed(docs, source=F.col("source").cast("string"), text=F.col("text"))
+    rows = scratch.save(with_signals(rows, rules).select("_row", "source", "base_failed"), "judged")
+    hosts = scratch.save(host_verdicts(rows, scratch, rules), "hosts")
+    bad = hosts.where("rejected").select(F.col("source").alias("bad"))
+    good = rows.where("not base_failed").join(bad, F.col("source").eqNullSafe(F.col("bad")), "left_anti")
+    return unpacked(good, docs.columns)
 
 
 ORACLE = r"""

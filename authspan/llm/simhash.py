@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authspan.llm.common import Scratch, components, row_key
+from authspan.llm.common import Scratch, components, packed, row_key, split_join, unpacked
 
 RADIUS = 3
 SHINGLE = 3
@@ -274,29 +274,31 @@ def near_dups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.save(fingerprints(docs, shingle), "fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     comp = components(scratch, links(distinct.select("fp"), radius), "links")
     rooted = distinct.join(comp.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch.save(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def _views(n: int, near: float, recall: float, seed: int) -> np.ndarray:
-    """Bit positions of each view, a row each: enough bits that a shard holds about 8 of n unrelated
-    fingerprints, enough views that a pair that agrees in a share near of its bits meets in one."""
-    bits = max(1, int(np.ceil(np.log2(max(2.0, n / 8)))))
-    views = int(np.ceil(np.log(1 - recall) / np.log(1 - near**bits)))
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(max(1, views))])
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    named = scratch.save(split_join(rooted, smallest, ["root"], "fps").select("fp", "component_id", "rows"), "named")
+    scratch.drop("fps", "named")
+    out = split_join(fps, named, ["fp"], "rows")  # all blank texts share a fingerprint
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _bands(distinct: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n keys of a shingle set, of two least mixed hashes each. Sets share one with chance similarity squared a key."""
+    if not len(distinct):
+        return np.arange(n, dtype=np.uint64) << np.uint64(56)
+    least = np.array([_mixed(distinct, 1000 * seed + k).min() for k in range(2 * n)], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return _mixed(least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2], 7) + np.arange(n, dtype=np.uint64)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        blobs = [press.compress(t or b"") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["key", "blob"])
+        blobs = [press.compress(t or b"") for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(blobs, pa.binary())], ["ka", "kb", "blob"])
 
 
 def _judge(similarity: float, shingle: int):
@@ -347,11 +349,12 @@ def _across(radius: int):
     return run
 
 
-def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, shard: int = SHARD, seed: int = 42) -> DataFrame:
-    """(doc_id, key, root) for each row: key names its doc_id and text, root its component.
+def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.9995, shard: int = SHARD, seed: int = 42) -> DataFrame:
+    """(doc_id, ka, kb, root) for each row: (ka, kb) names its doc_id and text, root its component.
 
-    A class is the texts of one shingle set. Candidates are classes whose 256-bit fingerprints are
-    three standard errors or less beyond the distance expected at the similarity. Each is judged by
+    A class is the texts of one shingle set. Shards are classes that share a pair of least hashes; in a
+    shard's BK-tree, candidates are classes whose 256-bit fingerprints are three standard errors or
+    less beyond the distance expected at the similarity. Each is judged by
     the exact Jaccard similarity of its shingle sets before it links. So that a large group costs no
     square of its size, trees of nearest links are judged first, each class's nearest one before the
     others; all pairs are judged only in trees with a link that failed, and between components.
@@ -361,38 +364,35 @@ def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = [f"f{k}" for k in range(WORDS)]
     typed = ", ".join(f"{w} long" for w in words)
+    # a pair at the similarity shares a shard with chance recall, however many texts there are
+    bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(3)]
             ids = [_signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets]
             x = np.frombuffer(b"".join(map(sketch, sets)), dtype="<i8").reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.int64()), *(pa.array(x[:, k].copy()) for k in range(WORDS))], ["doc_id", "key", "id", *words])
+            keys = np.concatenate([_bands(s, bands, seed) for s in sets]) if sets else np.zeros(0, dtype=np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.int64()), *(pa.array(x[:, k].copy()) for k in range(WORDS)), lists], ["doc_id", "ka", "kb", "id", *words, "bands"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("key"), F.col("text").cast("string").cast("binary"))
-    fps = scratch.save(slim.mapInArrow(run, f"doc_id long, key long, id long, {typed}"), "fps")
-    distinct = scratch.save(fps.groupBy("id", *words).agg(F.min("key").alias("key")), "distinct")
+    keyed = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("key"), F.col("text").cast("string").cast("binary").alias("text"))
+    keyed = keyed.select("doc_id", F.col("key.a").alias("ka"), F.col("key.b").alias("kb"), "text")
+    fps = scratch.save(keyed.mapInArrow(run, f"doc_id long, ka long, kb long, id long, {typed}, bands array<long>"), "fps")
+    first = F.min(F.struct("ka", "kb")).alias("key")
+    distinct = scratch.save(fps.groupBy("id", *words).agg(F.count(F.lit(1)).alias("rows"), first, F.first("bands").alias("bands")), "distinct")
 
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     spread = float(np.sqrt(angle * (1 - angle) / (64 * WORDS)))
     radius = int(64 * WORDS * (angle + 3 * spread))
-    views = _views(distinct.count(), 1 - angle - spread, recall, seed)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype("<i8")
-            bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            for v, at in enumerate(views):
-                key = (bits[:, at] << np.arange(len(at))).sum(axis=1) + (v << 48)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "id", *words])
-
-    rows = distinct.select("id", *words).mapInArrow(deal, f"key long, id long, {typed}")
+    rows = distinct.select(F.explode("bands").alias("key"), "id", *words)
     edges = scratch.save(_linked(rows, radius, shard, trees=True), "edges")
 
     ends = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
-    wanted = distinct.select("id", "key").join(ends, "id")
-    texts = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").cast("string").cast("binary")).mapInArrow(_squeeze, "key long, blob binary")
-    blobs = scratch.save(texts.join(wanted.hint("merge"), "key").select("id", "blob").dropDuplicates(["id"]), "blobs")
+    wanted = distinct.join(ends, "id").select("id", F.col("key.ka").alias("ka"), F.col("key.kb").alias("kb"))
+    texts = keyed.select("ka", "kb", "text").mapInArrow(_squeeze, "ka long, kb long, blob binary")
+    # wanted grows with the documents: never a broadcast that small inputs would get
+    blobs = scratch.save(texts.join(wanted.hint("merge"), ["ka", "kb"]).select("id", "blob").dropDuplicates(["id"]), "blobs")
 
     def judged(pairs: DataFrame, tag: str) -> DataFrame:
         full = pairs.join(blobs.toDF("a", "ta").hint("merge"), "a").join(blobs.toDF("b", "tb").hint("merge"), "b")
@@ -420,40 +420,43 @@ def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
     pairs = members.repartition(n, "tag").sortWithinPartitions("tag").mapInArrow(_across(radius), "a long, b long").distinct()
     known = known.unionAll(judged(pairs.join(known, ["a", "b"], "left_anti"), "across"))
     comp = roots(known, "links2")
-    return scratch.save(fps.select("doc_id", "key", "id").join(comp.toDF("id", "root"), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root")), "grouped")
+    of = scratch.save(distinct.select("id", "rows").join(comp.toDF("id", "root"), "id", "left").select("id", "rows", F.coalesce("root", "id").alias("root")), "of")
+    out = scratch.save(split_join(fps.select("doc_id", "ka", "kb", "id"), of, ["id"], "rows").drop("id"), "grouped")
+    scratch.drop("grouped")
+    return out
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, shard: int = SHARD, seed: int = 42) -> DataFrame:
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.9995, shard: int = SHARD, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) like near_dups, for texts whose shingle sets have that Jaccard similarity.
 
-    Links are exact (see grouped()). Shards agree in sampled bits: a pair whose fingerprints are one
-    standard error beyond the expected distance meets in one of them with chance recall, and a closer
-    pair more surely. Nulls, blanks, repeats and empty tables: as in near_dups, but every component
+    Links are exact, candidates are found by chance (a pair at the similarity with chance recall, a closer one more surely). Nulls, blanks, repeats and
+    empty tables: as in near_dups, but every component
     has an id of its own: of those with one smallest doc_id (or none), all but the first take a row's key.
     """
     found = grouped(docs, similarity, shingle, recall, shard, seed)
-    best = _best(found).select("root", "best.doc_id", "best.key")
-    lead = best.groupBy("doc_id").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("lead"))
-    named = best.join(lead, "key", "left").select("root", F.when(F.col("lead"), F.col("doc_id")).otherwise(F.col("key")).alias("component_id"))
-    return found.join(named, "root").select("doc_id", "component_id")
+    best = _best(found).select("root", "rows", "best.doc_id", "best.ka")
+    lead = best.groupBy("doc_id").agg(F.min("ka").alias("ka"))
+    lead = lead.select("ka", F.lit(True).alias("lead"))
+    named = best.join(lead, "ka", "left").select("root", "rows", F.when(F.col("lead"), F.col("doc_id")).otherwise(F.col("ka")).alias("component_id"))
+    return split_join(found, named, ["root"], "rows").select("doc_id", "component_id")
 
 
 def _best(found: DataFrame) -> DataFrame:
-    """(root, best): each component's row with the smallest doc_id, then the smallest key; null ids last."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    return found.groupBy("root").agg(best.alias("best"))
+    """(root, rows, best): each component's row with the smallest doc_id, then the smallest key; null ids last."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ka", "kb"))
+    return found.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), best.alias("best"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id, then the smallest key of id and text.
 
     Null ids come last. Different texts that share an id, or have none, are documents of their own; of
-    rows that repeat both id and text, one stays.
+    rows that repeat both id and text, one stays. Columns may have any names.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     found = grouped(docs, similarity, shingle)
-    kept = scratch.save(_best(found).select(F.col("best.key").alias("_keep")), "kept")
-    # kept keys grow with documents, so the join is the same shuffle at every size
-    out = docs.withColumn("_key", row_key("doc_id", "text")).join(kept.hint("merge"), F.col("_key") == F.col("_keep"), "left_semi")
-    repeated = found.groupBy("key").count().where("count > 1")
-    return (out if repeated.isEmpty() else out.dropDuplicates(["_key"])).drop("_key")
+    kept = scratch.save(_best(found).select("best.ka", "best.kb"), "kept")
+    # kept keys grow with documents: never a broadcast that small inputs would get
+    out = packed(docs, key=row_key("doc_id", "text")).join(kept.hint("merge"), (F.col("key.a") == F.col("ka")) & (F.col("key.b") == F.col("kb")), "left_semi")
+    repeated = found.groupBy("ka", "kb").count().where("count > 1")
+    return unpacked(out if repeated.isEmpty() else out.dropDuplicates(["key"]), docs.columns)
