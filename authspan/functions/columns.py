@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from authspan.sources.scratch import materialised
+
 EARTH_KM = 6371.0
 DAY_US = 86_400_000_000
 #: Events of one key and time that keep an order of their own.
@@ -95,15 +97,27 @@ def entropy(values: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
-def global_rank(df: DataFrame, *order: str, bucket: Column, name: str = "rank") -> DataFrame:
-    """df with its 0-based place in the total order; bucket must not fall along that order.
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with running sums (name: of which column) along order within by, each row's own included.
 
-    Only the counts of the buckets, a row each, pass through one window; rows are ranked within
-    their bucket.
+    Rows are dealt by ranges of (by, order), so that neither one group nor one stretch of the order is
+    one task; what passes through a window over ranges is one row for each range and group. Rows that tie in
+    order stand in any order.
     """
-    held = df.withColumn("_b", bucket)
-    counts = held.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_b", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    return held.withColumn("_own", own).join(starts, "_b").withColumn(name, F.col("_own") + F.col("_start")).drop("_b", "_own", "_start")
+    held = materialised(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    totals = held.groupBy(*by, "_p").agg(*(F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())))
+    past = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_p").alias("_q"), *(F.coalesce(F.sum(f"_t{i}").over(past), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))))
+    inside = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = held.withColumns({f"_r{i}": F.sum(c).over(inside) for i, c in enumerate(sums.values())})
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    out = here.join(starts, same)
+    return out.select(*df.columns, *((F.col(f"_r{i}") + F.col(f"_s{i}")).alias(n) for i, n in enumerate(sums)))
+
+
+def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """df with its 0-based place in the total order, whose columns together are unique."""
+    out = running(df.withColumn("_one", F.lit(1)), [], [F.col(c) for c in order], {"_n": "_one"})
+    return out.withColumn(name, F.col("_n") - 1).drop("_one", "_n")

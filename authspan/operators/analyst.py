@@ -15,6 +15,14 @@ TACTIC_ACTIONS = {
     "Lateral Movement": ("disable_account", "escalate_soc"),
     "Defense Evasion": ("block_device", "escalate_soc"),
 }
+# Features far from the user's own norm, as evidence: category, strength, actions.
+OWN = {
+    "failed_login_ratio": ("login_failure", 2, ("reset_password", "disable_account")),
+    "ema_failure_rate": ("login_failure", 2, ("reset_password",)),
+    "geo_distance_from_home_km": ("geo", 2, ("require_mfa",)),
+    "access_chain_distance": ("access", 2, ("escalate_soc", "disable_account")),
+    "user_device_set_delta": ("device", 1, ("block_device", "require_mfa")),
+}
 CONTROLS = {
     "disable_account": "NIST CSF: PR.AC-1, RS.MI-1; CIS Controls v8: 5.3",
     "require_mfa": "NIST CSF: PR.AC-7; CIS Controls v8: 6.3, 6.5",
@@ -68,10 +76,9 @@ def posture(rows: DataFrame) -> DataFrame:
 
 def score_percentile(rows: DataFrame) -> DataFrame:
     """record_id, score, and the share of rows strictly below, from counts of distinct scores."""
-    per = rows.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("c").over(Window.partitionBy(F.lit(1)))
-    per = per.select(F.col("score").alias("s"), (below / total).alias("percentile"))
+    per = C.running(rows.groupBy("score").agg(F.count(F.lit(1)).alias("c")), [], [F.col("score")], {"upto": "c"})
+    total = per.agg(F.sum("c").alias("all"))  # one row
+    per = per.join(F.broadcast(total)).select(F.col("score").alias("s"), ((F.col("upto") - F.col("c")) / F.col("all")).alias("percentile"))
     return rows.join(per, F.col("score") == F.col("s")).select("record_id", "score", "percentile")
 
 
@@ -109,13 +116,13 @@ def evidence_sentences(rows: DataFrame) -> DataFrame:
     fast = F.col("velocity_kmh") > 800
     said = F.array_compact(
         F.array(
-            F.when(F.col("is_new_edge") > 0.5, F.lit("Device not previously associated with this account.")),
-            F.when(fast, F.concat(F.lit("Implied travel speed of "), F.format_number(F.col("velocity_kmh"), 0), F.lit(" km/h.")))
-            .when(F.col("geo_distance_from_home_km") > 1000, F.concat(F.lit("Login originated "), F.format_number(F.col("geo_distance_from_home_km"), 0), F.lit(" km from home."))),
-            F.when(F.col("prior_events") < 5, F.concat(F.lit("Limited recorded history ("), F.col("prior_events").cast("string"), F.lit(" prior events)."))),
+            F.when(F.col("is_new_edge") > 0.5, F.lit("First use of this device by the account within the window.")),
+            F.when(fast, F.concat(F.lit("Reaching this place took "), F.format_number(F.col("velocity_kmh"), 0), F.lit(" km/h.")))
+            .when(F.col("geo_distance_from_home_km") > 1000, F.concat(F.lit("The place lies "), F.format_number(F.col("geo_distance_from_home_km"), 0), F.lit(" km away from home."))),
+            F.when(F.col("prior_events") < 5, F.concat(F.lit("Only "), F.col("prior_events").cast("string"), F.lit(" earlier events are known."))),
         )
     )
-    return rows.withColumn("evidence", F.when(F.size(said) == 0, F.array(F.lit("No single dominant signal."))).otherwise(said))
+    return rows.withColumn("evidence", F.when(F.size(said) == 0, F.array(F.lit("Nothing stands out by itself."))).otherwise(said))
 
 
 def timeline(events: DataFrame, alerts: DataFrame, last: int = 6) -> DataFrame:
@@ -131,7 +138,8 @@ def timeline(events: DataFrame, alerts: DataFrame, last: int = 6) -> DataFrame:
 
 def evidence(rows: DataFrame) -> DataFrame:
     """record_id with evidence: array of (category, strength, actions). rows needs percentile, severity,
-    tactic, privilege_level, prior_alerts, failed_login_ratio, velocity_kmh, is_new_edge."""
+    tactic, privilege_level, prior_alerts, failed_login_ratio, velocity_kmh, is_new_edge, and z_ with each of
+    OWN: how far the feature lies from the user's other events, null where there are too few."""
 
     def one(cond: Column, category: str, strength: int, *actions: str) -> Column:
         return F.when(cond, F.struct(F.lit(category).alias("category"), F.lit(strength).alias("strength"), F.array(*map(F.lit, actions)).alias("actions")))
@@ -145,6 +153,7 @@ def evidence(rows: DataFrame) -> DataFrame:
         one(F.col("failed_login_ratio") > 0.5, "login_failure", 2, "reset_password", "disable_account"),
         one(F.col("velocity_kmh") > 800, "geo", 3, "require_mfa", "disable_account", "escalate_soc"),
         one(F.col("is_new_edge") > 0.5, "device", 2, "require_mfa", "block_device"),
+        *(one(F.col(f"z_{n}") >= 2, category, strength, *supported) for n, (category, strength, supported) in OWN.items()),
         *(one(F.col("tactic") == t, "mitre", 2, *a) for t, a in TACTIC_ACTIONS.items()),
         one(F.col("privilege_level").isin("admin", "domain_admin"), "privilege", 2, "disable_account", "escalate_soc"),
         one(F.col("prior_alerts") > 0, "history", 2, "escalate_soc", "disable_account"),

@@ -12,7 +12,7 @@ def chronological_split(events: DataFrame, share: float = 0.7) -> DataFrame:
     """(record_id, ts, rank, is_train, split_ts): the first int(n * share) events, at least one on either side, train."""
     if not 0 < share < 1:
         raise ValueError("share must lie between 0 and 1")
-    ranked = C.global_rank(events.select("record_id", "ts"), "ts", "record_id", bucket=F.date_trunc("hour", "ts"))
+    ranked = C.global_rank(events.select("record_id", "ts"), "ts", "record_id")
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
     cut = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * share)))
     at = n.select(cut.cast("long").alias("cut"))  # one row
@@ -46,10 +46,12 @@ def score_curve(rows: DataFrame, *by: str) -> DataFrame:
     Runs over distinct scores, first summed; with by, each group has its own curve.
     """
     per = rows.groupBy(*by, "score").agg(F.count_if("is_attack").alias("p"), F.count_if(~F.col("is_attack")).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    everything = Window.partitionBy(*by)
-    run = lambda c: F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    return per.withColumns({"tp": run("p"), "fp": run("n"), "all_p": F.sum("p").over(everything), "all_n": F.sum("n").over(everything)})
+    out = C.running(per, list(by), [F.col("score").desc()], {"tp": "p", "fp": "n"})
+    totals = out.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    if not by:
+        return out.join(F.broadcast(totals))  # one row
+    named = totals.withColumnsRenamed({c: f"_{c}" for c in by})
+    return out.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*(f"_{c}" for c in by))
 
 
 def ranked_metrics(rows: DataFrame, *by: str) -> DataFrame:
@@ -148,31 +150,32 @@ def resampled(rows: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
     return out.withColumn("weight", _poisson(F.col("record_id"), F.col("resample"), seed=seed)).where("weight > 0")
 
 
-def weighted_ap(rows: DataFrame, score: str, *by: str) -> DataFrame:
+def weighted_ranks(rows: DataFrame, score: str, *by: str) -> DataFrame:
+    """(by, ap, auc): average precision and area under the curve of weighted rows; groups with one class are left out."""
     per = rows.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col("is_attack"), F.col("weight")).otherwise(0)).alias("p"), F.sum(F.when(F.col("is_attack"), 0).otherwise(F.col("weight"))).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(Window.partitionBy(*by)), "all_n": F.sum("n").over(Window.partitionBy(*by))})
-    per = per.where("all_p > 0 and all_n > 0")  # resamples with one class are left out
-    return per.groupBy(*by).agg(F.sum(F.col("p") / F.col("all_p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
+    per = C.running(per, list(by), [F.col("s").desc()], {"tp": "p", "fp": "n"})
+    hit = F.sum(F.try_divide(F.col("p") * F.col("tp"), F.col("tp") + F.col("fp")))
+    out = per.groupBy(*by).agg(hit.alias("ap"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("auc"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).where("all_p > 0 and all_n > 0")
+    return out.select(*by, (F.col("ap") / F.col("all_p")).alias("ap"), (F.col("auc") / F.col("all_p") / F.col("all_n")).alias("auc"))
 
 
 def bootstrap_ci(rows: DataFrame, resamples: int = 300, seed: int = 42) -> DataFrame:
-    """Percentile interval of average precision, recall, precision and f1 at pred."""
+    """Percentile interval of average precision, area under the curve, and recall, precision and f1 at pred."""
     r = resampled(rows, resamples, seed)
     w = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0)).alias
     y, h = F.col("is_attack"), F.col("pred")
     at = r.groupBy("resample").agg(w(y & h)("tp"), w(~y & h)("fp"), w(y & ~h)("fn"), w(~y & ~h)("tn")).where("tp + fn > 0 and fp + tn > 0")
-    at = at.join(weighted_ap(r, "score", "resample"), "resample")
+    at = at.join(weighted_ranks(r, "score", "resample"), "resample")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    at = at.select("ap", _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
-    long = at.unpivot([], ["ap", "precision", "recall", "f1"], "metric", "value")
+    at = at.select("ap", F.col("auc").alias("roc_auc"), _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    long = at.unpivot([], ["ap", "roc_auc", "precision", "recall", "f1"], "metric", "value")
     return long.groupBy("metric").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.5).alias("mid"), F.percentile("value", 0.975).alias("high"), F.count(F.lit(1)).alias("resamples"))
 
 
 def paired_bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 300, seed: int = 42) -> DataFrame:
     """Average precision of score column a less that of b: interval and two-sided p."""
     r = resampled(rows, resamples, seed)
-    d = weighted_ap(r, a, "resample").join(weighted_ap(r, b, "resample").withColumnRenamed("ap", "ap_b"), "resample").select((F.col("ap") - F.col("ap_b")).alias("d"))
+    d = weighted_ranks(r, a, "resample").join(weighted_ranks(r, b, "resample").withColumnRenamed("ap", "ap_b"), "resample").select((F.col("ap") - F.col("ap_b")).alias("d"))
     share = lambda c: F.avg(c.cast("double"))
     p = F.least(F.lit(1.0), 2 * F.least(share(F.col("d") <= 0), share(F.col("d") >= 0)))
     return d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.5).alias("mid"), F.percentile("d", 0.975).alias("high"), p.alias("p_value"))
@@ -193,6 +196,13 @@ def ablated(features: DataFrame, names: list[str], train: DataFrame) -> DataFram
     return features.join(F.broadcast(mid)).withColumns({n: F.col(f"_m_{n}") for n in names}).select(features.columns)
 
 
+def comparison(metrics: DataFrame, ranked: DataFrame, digits: int = 4) -> DataFrame:
+    """One row per model: its rates at the threshold and its ranking quality, rounded; best average precision first."""
+    rates = ["precision", "recall", "f1", "mcc", "balanced_accuracy", "roc_auc", "average_precision"]
+    out = metrics.join(ranked, "model", "left")
+    return out.select("model", *(F.round(c, digits).alias(c) for c in rates)).orderBy(F.col("average_precision").desc_nulls_last(), "model")
+
+
 def alignment(events: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: ids on one side only. Both must be 0 before labels are joined."""
     a, b = events.select("record_id"), labels.select("record_id")

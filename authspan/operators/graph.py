@@ -150,22 +150,54 @@ def communities(edges: DataFrame, users: DataFrame, rounds: int = 5) -> DataFram
     return state
 
 
-def community_deviation(events: DataFrame, membership: DataFrame) -> DataFrame:
-    """(record_id, peer_community_deviation) against one snapshot: 1 - the share of community peers on the device."""
-    pairs = events.select("user_id", "device_id").distinct().join(membership, "user_id")
-    on_device = pairs.groupBy("community", "device_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-    e = events.select("record_id", "user_id", "device_id").join(membership, "user_id", "left").join(sizes, "community", "left").join(on_device, ["community", "device_id"], "left")
-    dev = F.when(F.coalesce("size", F.lit(0)) <= 1, F.lit(0.0)).otherwise(1 - (F.coalesce("n", F.lit(1)) - 1) / (F.col("size") - 1))
+def live_pairs(events: DataFrame, days: int = 30) -> DataFrame:
+    """(epoch, user_id, device_id): pairs seen in the days before the epoch, a day that starts after them. An
+    event tells of the days that follow its own only, so what joins on the epoch never looks ahead."""
+    pairs = events.select("user_id", "device_id", F.to_date("ts").alias("day")).distinct()
+    return pairs.select(F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", days))).alias("epoch"), "user_id", "device_id").distinct()
+
+
+def epoch_communities(pairs: DataFrame, rounds: int = 5) -> DataFrame:
+    """(epoch, user_id, community) for the users of pairs (epoch, user_id, device_id), each epoch by itself.
+
+    Label propagation over the user-device graph: a device takes the most frequent label of its users, a
+    user that of its shared devices and itself, the smallest on ties. Users are never paired with each other, so a
+    terminal of many users costs its users, not their square.
+    """
+    pairs = materialised(pairs)
+    state = pairs.select("epoch", "user_id").distinct().withColumn("community", F.col("user_id"))
+    shared = pairs.groupBy("epoch", "device_id").count().where("count > 1").drop("count")
+    pairs = materialised(pairs.join(shared, ["epoch", "device_id"]))
+    top = lambda votes, key: votes.groupBy("epoch", key).agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("community"))
+    for _ in range(rounds):
+        held = pairs.join(state, ["epoch", "user_id"]).groupBy("epoch", "device_id", "community").agg(F.count(F.lit(1)).alias("w"))
+        votes = pairs.join(top(held, "device_id"), ["epoch", "device_id"]).select("epoch", "user_id", "community")
+        votes = votes.unionByName(state).groupBy("epoch", "user_id", "community").agg(F.count(F.lit(1)).alias("w"))
+        state = materialised(top(votes, "user_id"))
+    return state
+
+
+def community_deviation(events: DataFrame, pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """(record_id, peer_community_deviation): the share of the user's community, itself left out, that wasn't
+    on the event's device, by pairs and membership of the event's epoch (its day); 0 for users alone."""
+    on_device = pairs.join(membership, ["epoch", "user_id"]).groupBy("epoch", "community", "device_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = membership.groupBy("epoch", "community").agg(F.count(F.lit(1)).alias("size"))
+    own = pairs.withColumn("own", F.lit(1))
+    e = events.select("record_id", "user_id", "device_id", F.to_date("ts").alias("epoch")).join(membership, ["epoch", "user_id"], "left")
+    e = e.join(sizes, ["epoch", "community"], "left").join(on_device, ["epoch", "community", "device_id"], "left").join(own, ["epoch", "user_id", "device_id"], "left")
+    peers = F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))
+    dev = F.when(F.coalesce("size", F.lit(0)) <= 1, F.lit(0.0)).otherwise(1 - peers / (F.col("size") - 1))
     return e.select("record_id", dev.alias("peer_community_deviation"))
 
 
 def all_features(events: DataFrame, users: DataFrame, home: DataFrame, days: float = 30) -> DataFrame:
-    """The features of both families in one table keyed by record_id."""
+    """All fifteen features in one table keyed by record_id."""
     from authspan.operators import behaviour
 
     out = behaviour.behaviour(events, users, days)
+    pairs = materialised(live_pairs(events, int(days)))
     more = [behaviour.peer_deviation(events, users), device_features(events, days), device_set_delta(events), session_features(events, users, home), access_chain_distance(events, users, days), new_edge(events, days)]
+    more.append(community_deviation(events, pairs, epoch_communities(pairs)))
     for part in more:
         out = out.join(part, "record_id", "left")
     return out

@@ -76,7 +76,7 @@ def bookkeeping(events: DataFrame, seed: int = 42, batches: int = 16) -> DataFra
 
     h = F.xxhash64("record_id", F.lit(seed))
     rows = events.select("record_id", h.alias("h"))
-    rows = global_rank(rows, "h", "record_id", bucket=F.shiftright("h", 52), name="insertion_order")
+    rows = global_rank(rows, "h", "record_id", name="insertion_order")
     return rows.select("record_id", "insertion_order", F.pmod(F.xxhash64("record_id", F.lit(seed + 1)), F.lit(batches)).cast("int").alias("generation_batch"))
 
 

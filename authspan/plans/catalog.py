@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from authspan.functions import columns as C
 from authspan.operators import analyst, behaviour, detectors, evaluate, explain, graph, learn, schema
 from authspan.sources.adapter import ORACLE, Log
+from authspan.sources.scratch import materialised
 
 FLAGSHIP = "rule_risk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Oracles without the adapter views, for use within others.
+PARTS: dict[str, str] = {}
 
 DAYS = 7
 THRESHOLD = 0.7
@@ -26,12 +29,17 @@ def query(oracle: str | None = None):
     def add(build: Callable[[Log], DataFrame]):
         QUERIES[build.__name__] = lambda spark, sf_dir: build(Log(spark, sf_dir))
         if oracle:
-            ORACLES[build.__name__] = ORACLE + oracle
+            ORACLES[build.__name__], PARTS[build.__name__] = ORACLE + oracle, oracle
         return build
 
     return add
 
 
+def part(name: str, of: str) -> str:
+    """Another query's oracle as a common table expression."""
+    return f"{name} AS (WITH none_ AS (SELECT 1) {PARTS[of]})"
+
+
 def r6(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
 
@@ -259,12 +267,39 @@ def shared_devices(log: Log) -> DataFrame:
     return graph.shared_devices(log.events)
 
 
+def own_pairs(log: Log) -> DataFrame:
+    return graph.live_pairs(log.events.where(~F.col("device_id").like("DEV-KIOSK-%")), DAYS)
+
+
+@query(f"""
+, d AS (SELECT DISTINCT user_id, device_id, CAST(ts AS DATE) AS day FROM ev WHERE NOT starts_with(device_id, 'DEV-KIOSK-'))
+SELECT DISTINCT CAST(epoch_us(day + to_days(CAST(i AS INT))) AS BIGINT) AS epoch_us, user_id, device_id FROM d, range(1, {DAYS + 1}) t(i)""")
+def community_pairs(log: Log) -> DataFrame:
+    """What each day's communities are made of: pairs of the days before it."""
+    return own_pairs(log).select(F.unix_micros(F.col("epoch").cast("timestamp")).alias("epoch_us"), "user_id", "device_id")
+
+
 @query()
 def community_features(log: Log) -> DataFrame:
-    """Snapshot communities from devices that aren't shared terminals; label propagation isn't plain SQL."""
-    own = log.events.where(~F.col("device_id").like("DEV-KIOSK-%"))
-    member = graph.communities(graph.shared_devices(own), log.users)
-    return r6(graph.community_deviation(log.events, member), "peer_community_deviation")
+    """Communities of each day, from devices that aren't shared terminals; label propagation isn't plain SQL."""
+    pairs = own_pairs(log)
+    return r6(graph.community_deviation(log.events, pairs, graph.epoch_communities(pairs)), "peer_community_deviation")
+
+
+@query(f"""
+, d AS (SELECT DISTINCT user_id, device_id, CAST(ts AS DATE) AS day FROM ev WHERE NOT starts_with(device_id, 'DEV-KIOSK-'))
+, p AS (SELECT DISTINCT day + to_days(CAST(i AS INT)) AS epoch, user_id, device_id FROM d, range(1, {DAYS + 1}) t(i))
+, m AS (SELECT DISTINCT epoch, user_id, user_id % 40 AS c FROM p)
+, q AS (SELECT record_id, e.user_id, e.device_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS epoch, c FROM ev e LEFT JOIN m ON m.epoch = CAST(CAST(ts AS DATE) AS TIMESTAMP) AND m.user_id = e.user_id)
+, z AS (SELECT epoch, c, count(*) AS size FROM m GROUP BY epoch, c)
+, n AS (SELECT q.record_id, count(p.user_id) AS n FROM q JOIN m ON m.epoch = q.epoch AND m.c = q.c AND m.user_id <> q.user_id JOIN p ON p.epoch = q.epoch AND p.user_id = m.user_id AND p.device_id = q.device_id GROUP BY q.record_id)
+SELECT q.record_id, round(CASE WHEN coalesce(size, 0) <= 1 THEN 0 ELSE 1 - coalesce(n.n, 0) / (size - 1) END, 6) AS peer_community_deviation
+FROM q LEFT JOIN z ON z.epoch = q.epoch AND z.c = q.c LEFT JOIN n ON n.record_id = q.record_id""")
+def community_share(log: Log) -> DataFrame:
+    """The deviation from given communities: those of user_id modulo 40."""
+    pairs = own_pairs(log)
+    given = pairs.select("epoch", "user_id", F.pmod("user_id", F.lit(40)).alias("community")).distinct()
+    return r6(graph.community_deviation(log.events, pairs, given), "peer_community_deviation")
 
 
 TRAIN = "tr1 AS (SELECT record_id, ts, row_number() OVER (ORDER BY ts, record_id) - 1 AS rank, (SELECT count(*) FROM ev) AS n FROM ev)"
@@ -468,14 +503,14 @@ def calibration_error(log: Log) -> DataFrame:
 
 @query()
 def bootstrap_intervals(log: Log) -> DataFrame:
-    return r6(evaluate.bootstrap_ci(scored(log), 50), "low", "mid", "high")
+    return r6(evaluate.bootstrap_ci(scored(log)), "low", "mid", "high")
 
 
 @query()
 def paired_models(log: Log) -> DataFrame:
     """Average precision of the score against that of its coarse form."""
     rows = scored(log).withColumn("coarse", F.round("score", 1))
-    return r6(evaluate.paired_bootstrap(rows, "score", "coarse", 50), "low", "mid", "high", "p_value")
+    return r6(evaluate.paired_bootstrap(rows, "score", "coarse"), "low", "mid", "high", "p_value")
 
 
 @query("""
@@ -491,17 +526,39 @@ def score_pairs(log: Log) -> DataFrame:
 
 @query()
 def stress_grid(log: Log) -> DataFrame:
-    """Ranking quality of a fixed score under noise and ablation."""
-    rows = scored(log).join(log.events.select("record_id", "geo_lat", "geo_lon"), "record_id")
-    names = ["score", "geo_lat"]
-    cases = [("clean", rows), *((f"noise {s}", evaluate.noisy(rows, names, rows, s)) for s in (0.05, 0.2)), ("ablate geo_lat", evaluate.ablated(rows, ["geo_lat"], rows))]
+    """Ranking quality of a fixed score under six levels of noise, without each of two groups of features, and
+    without each of eight features."""
+    feats = behaviour_features(log).join(device_features(log), "record_id").join(device_set_delta(log), "record_id")
+    names = ["velocity_kmh", "geo_distance_from_home_km", "login_location_entropy", "device_switch_rate", "failed_login_ratio", "ema_failure_rate", "device_fan_in", "user_device_set_delta"]
+    rows = materialised(feats.select("record_id", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names)).join(scored(log).select("record_id", "is_attack"), "record_id"))
+    groups = {"behaviour": names[:6], "graph": names[6:]}
+    cases = [(f"noise {s}", evaluate.noisy(rows, names, rows, s)) for s in (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)]
+    cases += [(f"without {g}", evaluate.ablated(rows, of, rows)) for g, of in groups.items()]
+    cases += [(f"without {n}", evaluate.ablated(rows, [n], rows)) for n in names]
+    score = sum((F.log1p(F.greatest(F.col(n), F.lit(0.0))) for n in names), F.lit(0.0))
     out = None
     for name, case in cases:
-        part = case.withColumn("scenario", F.lit(name)).withColumn("score", F.round(F.col("score") + F.col("geo_lat") / 1000, 9))
-        out = part if out is None else out.unionByName(part)
+        some = case.select(F.lit(name).alias("scenario"), "is_attack", F.round(score, 9).alias("score"))
+        out = some if out is None else out.unionByName(some)
     return r6(evaluate.ranked_metrics(out, "scenario"), "roc_auc", "average_precision")
 
 
+@query(f"""
+, {SCORED}, m AS (SELECT 'score' AS model, is_attack, CAST(score AS DOUBLE) AS score, score >= {THRESHOLD} AS pred FROM sc UNION ALL SELECT 'coarse', is_attack, round(CAST(score AS DOUBLE), 1), round(CAST(score AS DOUBLE), 1) >= 0.75 FROM sc)
+, c AS (SELECT model, count_if(is_attack AND pred) AS tp, count_if(NOT is_attack AND pred) AS fp, count_if(is_attack AND NOT pred) AS fn, count_if(NOT is_attack AND NOT pred) AS tn FROM m GROUP BY model)
+, d AS (SELECT model, score, count_if(is_attack) AS p, count_if(NOT is_attack) AS n FROM m GROUP BY model, score)
+, r AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY model) AS ap, sum(n) OVER (PARTITION BY model) AS an FROM d WINDOW w AS (PARTITION BY model ORDER BY score DESC))
+, k AS (SELECT model, sum(n * (tp - p / 2)) / max(ap * an) AS auc, sum(p / ap * tp / (tp + fp)) AS prec FROM r GROUP BY model)
+SELECT model, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1,
+  round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 4) AS mcc, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 4) AS balanced_accuracy,
+  round(auc, 4) AS roc_auc, round(prec, 4) AS average_precision FROM c JOIN k USING (model)""")
+def model_comparison(log: Log) -> DataFrame:
+    """Two models of one long score table, compared by their rates and ranking quality."""
+    both = F.array(F.struct(F.lit("score").alias("model"), F.col("score").alias("s"), (F.col("score") >= THRESHOLD).alias("p")), F.struct(F.lit("coarse").alias("model"), F.round("score", 1).alias("s"), (F.round("score", 1) >= 0.75).alias("p")))
+    long = scored(log).withColumn("score", F.col("score").cast("double")).select("record_id", "is_attack", F.inline(both)).withColumnsRenamed({"s": "score", "p": "pred"})
+    return evaluate.comparison(evaluate.binary_metrics(long, "model"), evaluate.ranked_metrics(long, "model"))
+
+
 # --- drift ----------------------------------------------------------------------------------------
 
 
@@ -512,10 +569,26 @@ def event_bins(log: Log) -> DataFrame:
     return r6(out.select("bin", "mean", F.unix_micros("last_ts").alias("last_us"), "n"), "mean")
 
 
+METRICS = ["off_hours", "score"]
+
+
+@query("""
+, r AS (SELECT department, CAST(is_off_hours AS DOUBLE) AS off_hours, CAST(score AS DOUBLE) AS score, ts, (row_number() OVER (PARTITION BY department ORDER BY ts, record_id) - 1) // 100 AS bin FROM ev JOIN us USING (user_id))
+, l AS (SELECT department, 'off_hours' AS metric, bin, ts, off_hours AS v FROM r UNION ALL SELECT department, 'score', bin, ts, score FROM r)
+SELECT department, metric, CAST(bin AS BIGINT) AS bin, round(avg(v), 6) AS mean, epoch_us(max(ts)) AS last_us, count(*) AS n FROM l GROUP BY department, metric, bin""")
+def department_bins(log: Log) -> DataFrame:
+    return r6(department_series(log).select("department", "metric", "bin", "mean", F.unix_micros("last_ts").alias("last_us"), "n"), "mean")
+
+
+def department_series(log: Log) -> DataFrame:
+    rows = log.events.withColumn("off_hours", F.col("is_off_hours").cast("double")).join(log.users.select("user_id", "department"), "user_id")
+    return explain.series_bins(rows, "department", METRICS)
+
+
 @query()
 def drift_points(log: Log) -> DataFrame:
-    binned = explain.bins(log.events.withColumn("off", F.col("is_off_hours").cast("double")), "off").withColumn("series", F.lit("off_hours"))
-    found = explain.drift_points(binned, ["series"])
+    """The first change found in any department's series at or after each known one."""
+    found = explain.drift_points(department_series(log), ["department", "metric"])
     return explain.detection_lag(log.drift, found, F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("day") * C.DAY_US)).drop("at")
 
 
@@ -576,12 +649,17 @@ def driver_table(log: Log) -> DataFrame:
     return r6(analyst.driver_table(parts, rows, ["score", "geo_lat"]), "observed", "contribution", "total").withColumn("norm", F.round("norm", 5))
 
 
-@query()
+@query(f"""
+, f AS (SELECT record_id, CAST(score AS DOUBLE) AS s, geo_lat AS a FROM ev WHERE score >= {THRESHOLD})
+, c AS (SELECT record_id, 'score' AS feature, round((s + a / 100) - (0.4 + a / 100), 6) AS c FROM f UNION ALL SELECT record_id, 'geo_lat', round((s + a / 100) - (s + 5.0 / 100), 6) FROM f)
+SELECT record_id, array_to_string(list(feature || ' ' || CASE WHEN c > 0 THEN 'up' WHEN c < 0 THEN 'down' ELSE 'none' END ORDER BY abs(c) DESC, feature), ', ') AS top FROM c GROUP BY record_id""")
 def flagged_explanations(log: Log) -> DataFrame:
-    """Leave-one-out contributions of a seeded sample of flagged events, with sentences."""
-    rows = explain.flagged_sample(log.events.withColumn("score", F.col("score").cast("double")), THRESHOLD, 200)
+    """Leave-one-out contributions of every flagged event, largest first."""
+    rows = explain.flagged_sample(log.events.withColumn("score", F.col("score").cast("double")), THRESHOLD)
     parts = explain.contributions(rows, ["score", "geo_lat"], {"score": 0.4, "geo_lat": 5.0}, F.col("score") + F.col("geo_lat") / 100)
-    return explain.top_contributions(parts).select("record_id", F.to_json("top").alias("top"), "sentence")
+    top = explain.top_contributions(r6(parts, "contribution"))
+    way = lambda t: F.when(t["contribution"] > 0, "up").when(t["contribution"] < 0, "down").otherwise("none")
+    return top.select("record_id", F.array_join(F.transform("top", lambda t: F.concat_ws(" ", t["feature"], way(t))), ", ").alias("top"))
 
 
 # --- analyst --------------------------------------------------------------------------------------
@@ -659,46 +737,84 @@ def incident_timeline(log: Log) -> DataFrame:
     return analyst.timeline(log.events, log.events.where(F.col("score") >= THRESHOLD)).withColumn("back", F.col("back").cast("int"))
 
 
+def own_features(log: Log) -> DataFrame:
+    """record_id and what the evidence rules look at, rounded as in the queries."""
+    out = behaviour_features(log).select("record_id", "velocity_kmh", "failed_login_ratio", "ema_failure_rate", "geo_distance_from_home_km")
+    for more in (access_chain(log), device_set_delta(log), new_edge(log)):
+        out = out.join(more, "record_id")
+    return materialised(out)
+
+
 def signals(log: Log) -> DataFrame:
     """Flagged rows with what the evidence rules look at."""
     d = wide(log)
-    feats = r6(behaviour.behaviour(log.events, log.users, DAYS), "velocity_kmh", "failed_login_ratio", "geo_distance_from_home_km")
+    feats = own_features(log)
+    own = list(analyst.OWN)
+    z = analyst.user_deviation(log.events.select("record_id", "user_id").join(feats, "record_id"), own).select("record_id", *(F.round(n, 4).alias(f"z_{n}") for n in own))
     out = d.join(analyst.score_percentile(log.events).select("record_id", "percentile"), "record_id").join(analyst.prior_alerts(d, THRESHOLD), "record_id")
     out = out.join(analyst.prior_events(log.events).select("record_id", "prior_events"), "record_id")
-    return analyst.flagged(out.join(feats, "record_id"), THRESHOLD).withColumn("is_new_edge", (F.col("device_type") == "mobile").cast("double"))
+    return analyst.flagged(out.join(feats, "record_id").join(z, "record_id", "left"), THRESHOLD)
 
 
-@query()
-def evidence_sentences(log: Log) -> DataFrame:
-    return analyst.evidence_sentences(signals(log)).select("record_id", F.array_join("evidence", " ").alias("evidence"))
+def zs() -> str:
+    """SQL for the deviations of OWN from the user's other events, as user_deviation has them."""
+    own = list(analyst.OWN)
+    sums = ", ".join(f"sum({n}) AS s_{n}, sum({n} * {n}) AS q_{n}" for n in own)
+    mean, square = "(s_{0} - {0}) / m", "(q_{0} - {0} * {0})"
+    sd = "sqrt(greatest((" + square + " - (s_{0} - {0}) * (s_{0} - {0}) / m) / (m - 1), 0))"
+    z = "round(CASE WHEN " + sd + " > 1e-6 THEN greatest(-5, least(5, ({0} - " + mean + ") / " + sd + ")) ELSE 0 END, 4) AS z_{0}"
+    return f"fu AS (SELECT ft.*, user_id FROM ft JOIN ev USING (record_id)), fs AS (SELECT user_id, count(*) - 1 AS m, {sums} FROM fu GROUP BY user_id HAVING count(*) >= 3), zz AS (SELECT record_id, {', '.join(z.format(n) for n in own)} FROM fu JOIN fs USING (user_id))"
 
 
-@query()
-def recommendations(log: Log) -> DataFrame:
-    return analyst.actions(analyst.evidence(signals(log))).select("record_id", "action", longs_of("score"), "categories", "recommended", "priority", "confidence", longs_of("place"), "controls")
+FEATS = f"""{part("bf", "behaviour_features")}, {part("ac", "access_chain")}, {part("ds", "device_set_delta")}, {part("ne", "new_edge")}
+, ft AS (SELECT record_id, velocity_kmh, failed_login_ratio, ema_failure_rate, geo_distance_from_home_km, access_chain_distance, user_device_set_delta, is_new_edge FROM bf JOIN ac USING (record_id) JOIN ds USING (record_id) JOIN ne USING (record_id))"""
+
+
+@query(f"""
+, {FLAG}, {FEATS}, pe AS (SELECT record_id, count(*) OVER w AS pe FROM (SELECT record_id, user_id, epoch_us(ts) AS t FROM ev) z WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+, s AS (SELECT record_id, concat_ws(' ', CASE WHEN is_new_edge > 0.5 THEN 'First use of this device by the account within the window.' END,
+  CASE WHEN velocity_kmh > 800 THEN 'Reaching this place took ' || format('{{:,.0f}}', velocity_kmh) || ' km/h.' WHEN geo_distance_from_home_km > 1000 THEN 'The place lies ' || format('{{:,.0f}}', geo_distance_from_home_km) || ' km away from home.' END,
+  CASE WHEN pe < 5 THEN 'Only ' || CAST(pe AS STRING) || ' earlier events are known.' END) AS e FROM fl JOIN ft USING (record_id) JOIN pe USING (record_id))
+SELECT record_id, CASE WHEN e = '' THEN 'Nothing stands out by itself.' ELSE e END AS evidence FROM s""")
+def evidence_sentences(log: Log) -> DataFrame:
+    return analyst.evidence_sentences(signals(log)).select("record_id", F.array_join("evidence", " ").alias("evidence"))
 
 
 def longs_of(name: str) -> Column:
     return F.col(name).cast("long").alias(name)
 
 
-SIGNS = f"""pa AS (SELECT user_id, count_if(score >= {THRESHOLD}) - 1 AS pa FROM ev GROUP BY user_id), pc AS (SELECT record_id, (rank() OVER (ORDER BY score) - 1) / count(*) OVER () AS pct FROM ev)
+def own_signs() -> str:
+    return "".join(f" UNION ALL SELECT record_id, '{c}', {n}, {list(a)} FROM fl JOIN zz USING (record_id) WHERE z_{f} >= 2" for f, (c, n, a) in analyst.OWN.items())
+
+
+SIGNS = f"""{FEATS}, {zs()}, pa AS (SELECT user_id, count_if(score >= {THRESHOLD}) - 1 AS pa FROM ev GROUP BY user_id), pc AS (SELECT record_id, (rank() OVER (ORDER BY score) - 1) / count(*) OVER () AS pct FROM ev)
 , sg AS (SELECT fl.record_id, 'score' AS category, 3 AS strength, ['disable_account', 'escalate_soc', 'require_mfa'] AS actions FROM fl JOIN pc USING (record_id) WHERE pct >= 0.99
   UNION ALL SELECT fl.record_id, 'score', 2, ['require_mfa', 'escalate_soc'] FROM fl JOIN pc USING (record_id) WHERE pct >= 0.9 AND pct < 0.99
   UNION ALL SELECT record_id, 'severity', 3, ['disable_account', 'escalate_soc'] FROM fl WHERE severity = 'critical' UNION ALL SELECT record_id, 'severity', 2, ['escalate_soc', 'require_mfa'] FROM fl WHERE severity = 'high'
-  UNION ALL SELECT record_id, 'device', 2, ['require_mfa', 'block_device'] FROM fl WHERE device_type = 'mobile'
+  UNION ALL SELECT record_id, 'login_failure', 2, ['reset_password', 'disable_account'] FROM fl JOIN ft USING (record_id) WHERE failed_login_ratio > 0.5
+  UNION ALL SELECT record_id, 'geo', 3, ['require_mfa', 'disable_account', 'escalate_soc'] FROM fl JOIN ft USING (record_id) WHERE velocity_kmh > 800
+  UNION ALL SELECT record_id, 'device', 2, ['require_mfa', 'block_device'] FROM fl JOIN ft USING (record_id) WHERE is_new_edge > 0.5{own_signs()}
   UNION ALL SELECT record_id, 'mitre', 2, CASE tactic WHEN 'Credential Access' THEN ['require_mfa', 'reset_password'] WHEN 'Initial Access' THEN ['require_mfa'] WHEN 'Defense Evasion' THEN ['block_device', 'escalate_soc'] ELSE ['disable_account', 'escalate_soc'] END FROM fl WHERE tactic IS NOT NULL
   UNION ALL SELECT record_id, 'privilege', 2, ['disable_account', 'escalate_soc'] FROM fl WHERE privilege_level IN ('admin', 'domain_admin')
-  UNION ALL SELECT record_id, 'history', 2, ['escalate_soc', 'disable_account'] FROM fl JOIN pa USING (user_id) WHERE pa > 0)"""
+  UNION ALL SELECT record_id, 'history', 2, ['escalate_soc', 'disable_account'] FROM fl JOIN pa USING (user_id) WHERE pa > 0)
+, r AS (SELECT record_id, category, strength, unnest(actions) AS action FROM sg)
+, k AS (SELECT record_id, action, CAST(sum(strength) AS BIGINT) AS score, count(DISTINCT category) AS categories, count(DISTINCT category) >= 2 AS recommended FROM r GROUP BY record_id, action)"""
 
 
-@query(f"""
-, {FLAG}, {SIGNS}, r AS (SELECT record_id, category, strength, unnest(actions) AS action FROM sg)
-SELECT record_id, action, CAST(sum(strength) AS BIGINT) AS score, count(DISTINCT category) AS categories, count(DISTINCT category) >= 2 AS recommended FROM r GROUP BY record_id, action""")
+@query(f", {FLAG}, {SIGNS} SELECT * FROM k")
 def action_scores(log: Log) -> DataFrame:
-    """Actions by evidence other than behaviour."""
-    rows = signals(log).withColumns({"velocity_kmh": F.lit(0.0), "failed_login_ratio": F.lit(0.0)})
-    return analyst.actions(analyst.evidence(rows)).select("record_id", "action", longs_of("score"), "categories", "recommended")
+    """Actions by all nine kinds of evidence."""
+    return analyst.actions(analyst.evidence(signals(log))).select("record_id", "action", longs_of("score"), "categories", "recommended")
+
+
+@query(f"""
+, {FLAG}, {SIGNS}, ct AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{c}')" for a, c in analyst.CONTROLS.items())}) t(action, controls))
+SELECT record_id, k.action, score, categories, recommended, CASE WHEN NOT recommended THEN NULL WHEN score >= 6 THEN 'High' WHEN score >= 3 THEN 'Medium' ELSE 'Low' END AS priority,
+  CASE WHEN NOT recommended THEN NULL WHEN categories >= 4 THEN 'High' WHEN categories >= 3 THEN 'Medium' ELSE 'Low' END AS confidence,
+  row_number() OVER (PARTITION BY record_id, recommended ORDER BY score DESC, k.action) AS place, controls FROM k LEFT JOIN ct ON ct.action = k.action""")
+def recommendations(log: Log) -> DataFrame:
+    return analyst.actions(analyst.evidence(signals(log))).select("record_id", "action", longs_of("score"), "categories", "recommended", "priority", "confidence", longs_of("place"), "controls")
 
 
 @query(f"""
@@ -801,7 +917,7 @@ def training(log: Log) -> DataFrame:
 @query()
 def isolation_scores(log: Log) -> DataFrame:
     rows = training(log)
-    return learn.isolation_score(rows, LEARN, learn.isolation_forest(rows, LEARN, trees=50))
+    return learn.isolation_score(rows, LEARN, learn.isolation_forest(rows, LEARN))
 
 
 @query()
@@ -809,18 +925,67 @@ def classifier_scores(log: Log) -> DataFrame:
     """Class-weighted forest, trained on the first 70 % of the log."""
     rows = training(log)
     train = rows.join(evaluate.chronological_split(log.events).where("is_train").select("record_id"), "record_id", "left_semi")
-    return learn.class_scores(learn.train_classifier(learn.class_weights(train), LEARN, weighted=True, rounds=10), rows, LEARN).drop("p")
+    return learn.class_scores(learn.train_classifier(learn.class_weights(train), LEARN, weighted=True), rows, LEARN).drop("p")
 
 
-@query()
+@query("""
+, x AS (SELECT coalesce(attack_type, 'benign') AS kind, CAST(score AS DOUBLE) AS score, geo_lat FROM ev JOIN lb USING (record_id)), c AS (SELECT kind, count(*) AS c, min(score) AS a, max(score) AS b FROM x GROUP BY kind)
+SELECT kind, (SELECT max(c) FROM c) AS n, true AS inside FROM c""")
 def oversampled(log: Log) -> DataFrame:
-    made = learn.smote(training(log), LEARN)
-    return made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in LEARN))
+    """Classes brought to one size, and whether every new row lies within its class's range."""
+    rows = materialised(training(log))
+    made = learn.smote(rows, LEARN).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("a"), F.max("score").alias("b"))
+    seen = rows.groupBy("label").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    kind = F.get(F.array(*map(F.lit, learn.CLASSES)), F.col("label").cast("int"))
+    return made.join(seen, "label").select(kind.alias("kind"), "n", ((F.col("a") >= F.col("lo") - 1e-9) & (F.col("b") <= F.col("hi") + 1e-9)).alias("inside"))
 
 
 @query()
+def boosted_scores(log: Log) -> DataFrame:
+    """Boosted trees, one class against the rest, out of fold, with tuned thresholds for the class."""
+    rows = materialised(training(log))
+    p = materialised(learn.out_of_fold(rows, LEARN, rounds=5, depth=4, boosted=True))
+    index = F.array_position("p", F.array_max("p")).cast("int") - 1
+    each = p.join(rows.select("record_id", F.col("label").cast("int").alias("truth")), "record_id").select("truth", index.alias("guess"), F.posexplode("p").alias("class", "p"))
+    tuned = {int(r["class"]): float(r.threshold) for r in learn.tuned_thresholds(each).select("class", "threshold").collect()}  # a row per class
+    return p.select("record_id", F.round("score", 6).alias("score"), learn.decode(F.col("p"), tuned).alias("class"))
+
+
+@query("""
+, s AS (SELECT record_id, coalesce(attack_type, 'benign') <> 'benign' AS truth, CAST(score AS DOUBLE) AS p FROM ev JOIN lb USING (record_id))
+, l AS (SELECT truth, p >= 0.5 AS guess, p FROM s), b AS (SELECT coalesce(2 * count_if(truth AND guess) / nullif(count_if(guess) + count_if(truth), 0), 0) AS base FROM l)
+, d AS (SELECT p, count_if(truth) AS pos, count(*) AS n FROM l GROUP BY p), r AS (SELECT p, sum(pos) OVER w AS tp, sum(n) OVER w AS said, sum(pos) OVER () AS real FROM d WINDOW w AS (ORDER BY p DESC))
+, f AS (SELECT p, CASE WHEN said + real > 0 THEN 2 * tp / (said + real) ELSE 0 END AS f1 FROM r)
+SELECT CAST(1 AS INT) AS class, round(arg_max(p, (round(f1, 12), -p)), 6) AS threshold, round(max(f1), 6) AS f1 FROM f, b GROUP BY base HAVING max(f1) > base""")
+def tuned_threshold(log: Log) -> DataFrame:
+    """The threshold of best f1 for attacks, over every distinct score."""
+    rows = training(log).select(F.col("is_attack").cast("int").alias("truth"), (F.col("score") >= 0.5).cast("int").alias("guess"), F.lit(1).alias("class"), F.col("score").alias("p"))
+    return r6(learn.tuned_thresholds(rows), "threshold", "f1")
+
+
+@query("""
+, s AS (SELECT record_id, CAST(score AS DOUBLE) AS a FROM ev), p AS (SELECT record_id, [1 - a, a * 0.7, a * 0.3] AS p FROM s)
+SELECT record_id, CAST(CASE WHEN p[2] >= 0.3 AND NOT (p[1] < p[2]) THEN 1 WHEN p[1] >= p[2] AND p[1] >= p[3] THEN 0 ELSE 1 END AS INT) AS class FROM p""")
+def decoded_classes(log: Log) -> DataFrame:
+    """The most probable of three classes, unless the second clears its tuned threshold of 0.3."""
+    a = F.col("score").cast("double")
+    return log.events.select("record_id", learn.decode(F.array(1 - a, a * 0.7, a * 0.3), {1: 0.3}).cast("int").alias("class"))
+
+
+@query("""
+, a AS (SELECT attack_id, '{"n": ' || CAST(length(CAST(attack_id AS STRING)) AS STRING) || ', "tags": ["x", "' || attack_type || '"]}' AS t FROM atk)
+SELECT attack_id, CAST(json_extract_string(t, '$.n') AS BIGINT) AS n, json_extract_string(t, '$.tags[1]') AS tag, 0 AS bad FROM a""")
+def campaign_parameters(log: Log) -> DataFrame:
+    """Parameters kept as JSON: numbers, lists, and what isn't JSON read as an empty list."""
+    text = F.concat(F.lit('{"n": '), F.length(F.col("attack_id").cast("string")).cast("string"), F.lit(', "tags": ["x", "'), F.col("attack_type"), F.lit('"]}'))
+    tags = C.parse_list(F.get_json_object("t", "$.tags"), "array<string>")
+    return log.attacks.select("attack_id", text.alias("t")).select("attack_id", F.get_json_object("t", "$.n").cast("long").alias("n"), F.get(tags, F.lit(1)).alias("tag"), F.size(C.parse_list(F.lit("no json"), "array<string>")).alias("bad"))
+
+
+@query("""
+, x AS (SELECT is_attack FROM ev JOIN lb USING (record_id)) SELECT is_attack, CASE WHEN is_attack THEN count(*) ELSE least(6000, count(*)) END AS n FROM x GROUP BY is_attack""")
 def undersampled(log: Log) -> DataFrame:
-    return learn.undersample(training(log), 2000).groupBy("is_attack").agg(F.count(F.lit(1)).alias("n"))
+    return learn.undersample(training(log)).groupBy("is_attack").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -835,5 +1000,5 @@ def online_scores(log: Log) -> DataFrame:
 def leakage_audit(log: Log) -> DataFrame:
     ids = schema.bookkeeping(log.events).withColumn("id_hash", (F.shiftrightunsigned(F.xxhash64("record_id", F.lit(9)), 11) / float(1 << 53)))
     rows = ids.join(log.labels.select("record_id", "is_attack"), "record_id")
-    out = learn.leakage_audit(rows, ["insertion_order", "generation_batch", "id_hash"], holdouts=5)
+    out = learn.leakage_audit(rows, ["insertion_order", "generation_batch", "id_hash"])
     return r6(out, "mean_auc", "min_auc", "max_auc", "std_auc")

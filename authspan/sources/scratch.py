@@ -14,6 +14,8 @@ def materialised(df: DataFrame) -> DataFrame:
     """df written to and read from the folder in spark.checkpoint.dir; where it is unset (tests), one of its own."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         app = spark.sparkContext.applicationId
         if app not in _own:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -73,16 +73,19 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 class LiveTotals:
-    """Running counts of processed rows, alerts and hits, one aggregation per micro-batch."""
+    """Running counts of processed rows, alerts and hits, kept in a table by micro-batch: a batch that is
+    replayed after a crash replaces its row, and a restart goes on from what the table holds."""
 
-    def __init__(self, threshold: float):
-        self.threshold, self.processed, self.alerts, self.hits = threshold, 0, 0, 0
+    def __init__(self, spark: SparkSession, threshold: float, path: str):
+        self.spark, self.threshold, self.path = spark, threshold, path
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         hit = F.col("score") >= self.threshold
-        n, a, h = batch.agg(F.count(F.lit(1)), F.count_if(hit), F.count_if(hit & F.col("is_attack"))).first()
-        self.processed, self.alerts, self.hits = self.processed + n, self.alerts + a, self.hits + h
-
-    @property
-    def precision(self) -> float | None:
-        return self.hits / self.alerts if self.alerts else None
+        counts = batch.agg(F.count(F.lit(1)).alias("processed"), F.count_if(hit).alias("alerts"), F.count_if(hit & F.col("is_attack")).alias("hits"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def totals(self) -> dict[str, int | float | None]:
+        """processed, alerts, hits, and precision (null without alerts)."""
+        kept = self.spark.read.schema("processed long, alerts long, hits long, epoch long").option("basePath", self.path).parquet(self.path)
+        sums = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("processed", "alerts", "hits"))
+        return kept.agg(*sums).withColumn("precision", F.try_divide("hits", "alerts")).first().asDict()  # one row

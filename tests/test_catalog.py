@@ -33,6 +33,5 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    first = catalog.QUERIES[name](spark, DATA)
-    assert first.columns
-    first.count()
+    out = catalog.QUERIES[name](spark, DATA).toPandas()
+    assert len(out) and len(out.columns)

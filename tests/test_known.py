@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,12 +99,12 @@ def test_adwin_finds_the_step(spark):
 
 def test_describe_falls_back(spark):
     r = spark.createDataFrame([("device_fan_in",), ("odd_one",)], "f string").select(explain.describe(F.col("f"))).collect()
-    assert r[0][0].startswith("Number of distinct users") and r[1][0] == "odd one"
+    assert r[0][0].startswith("Users seen on the device") and r[1][0] == "odd one"
 
 
 def test_recommendation_needs_two_kinds(spark):
-    row = (1, 0.995, None, "Initial Access", "standard", 0, 0.0, 0.0, 0.0)
-    e = spark.createDataFrame([row], "record_id long, percentile double, severity string, tactic string, privilege_level string, prior_alerts long, failed_login_ratio double, velocity_kmh double, is_new_edge double")
+    row = (1, 0.995, None, "Initial Access", "standard", 0, 0.0, 0.0, 0.0, *[None] * len(analyst.OWN))
+    e = spark.createDataFrame([row], "record_id long, percentile double, severity string, tactic string, privilege_level string, prior_alerts long, failed_login_ratio double, velocity_kmh double, is_new_edge double, " + ", ".join(f"z_{n} double" for n in analyst.OWN))
     got = {r.action: (r.score, r.recommended) for r in analyst.actions(analyst.evidence(e)).collect()}
     assert got == {"require_mfa": (5, True), "disable_account": (3, False), "escalate_soc": (3, False)}
 
@@ -181,4 +182,45 @@ def test_default_parameters_run(spark):
     log = Log(spark, DATA)
     for df in (detectors.failed_bursts(log.events), detectors.impossible_travel(log.events), detectors.lateral_movement(log.events, log.users, log.home), detectors.device_reuse(log.events)):
         df.count()
-    assert graph.all_features(log.events, log.users, log.home, 7).count() == log.events.count()
+    every = graph.all_features(log.events, log.users, log.home, 7).toPandas()
+    assert len(every) == log.events.count() and sorted(every.columns) == sorted(["record_id", *explain.GLOSSARY]) and not every.isna().any().any()
+
+
+def test_communities_never_look_ahead(spark):
+    """Features of the first part of the log are the same without the rest of it."""
+    log = Log(spark, DATA)
+    early = log.events.where("ts < timestamp '2024-01-12'")
+    got = []
+    for events in (log.events, early):
+        pairs = graph.live_pairs(events, 5)
+        out = graph.community_deviation(events, pairs, graph.epoch_communities(pairs)).join(early.select("record_id"), "record_id", "left_semi")
+        got.append(sorted(map(tuple, out.collect())))
+    assert got[0] == got[1] and any(d > 0 for _, d in got[0])
+
+
+def test_epoch_communities_find_the_cliques(spark):
+    rows = [(u, f"d{g}{i}") for g, us in enumerate(([1, 2, 3], [7, 8, 9])) for i in range(3) for u in us] + [(20, "alone")]
+    pairs = spark.createDataFrame(rows, "user_id long, device_id string").withColumn("epoch", F.lit(1))
+    got = {r.user_id: r.community for r in graph.epoch_communities(pairs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 20}
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 4))
+    rows = spark.createDataFrame([(i, 1.0, *map(float, r)) for i, r in enumerate(x)], "record_id long, label double, a double, b double, c double, d double").repartition(3)
+    got = {r.record_id: set(r.near) for r in learn.neighbours(rows, ["a", "b", "c", "d"], "label").collect()}
+    y = x / x.std(axis=0)
+    found = 0
+    for i in range(0, 6000, 60):
+        near = np.argsort(((y - y[i]) ** 2).sum(axis=1))[1:6]
+        found += len(got[i] & set(near.tolist()))
+    assert found >= 0.9 * 500
+
+
+def test_running_sums_of_one_group_use_many_ranges(spark):
+    rows = spark.range(2000).select("id", F.lit(1).alias("one"), (F.col("id") % 7).alias("g"))
+    by = {r.id: r.n for r in C.running(rows, [], [F.col("id")], {"n": "one"}).collect()}
+    assert all(n == i + 1 for i, n in by.items())
+    per = {r.id: r.n for r in C.running(rows, ["g"], [F.col("id").desc()], {"n": "one"}).collect()}
+    assert all(n == (1999 - i) // 7 + 1 for i, n in per.items())

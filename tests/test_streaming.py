@@ -41,10 +41,14 @@ def test_live_totals(spark, tmp_path):
     log = Log(spark, DATA)
     rows = log.events.select("record_id", F.col("score").cast("double")).join(log.labels.select("record_id", "is_attack"), "record_id")
     rows.write.parquet(f"{tmp_path}/s")
-    totals = alerts.LiveTotals(0.5)
+    totals = alerts.LiveTotals(spark, 0.5, f"{tmp_path}/totals")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/s")
     stream.writeStream.foreachBatch(totals).option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start().awaitTermination()
-    assert totals.processed == rows.count() and totals.alerts == alerts.live_alerts(rows, 0.5).count()
+    want = {"processed": rows.count(), "alerts": alerts.live_alerts(rows, 0.5).count(), "hits": rows.where("score >= 0.5 and is_attack").count()}
+    got = totals.totals()
+    assert {k: got[k] for k in want} == want and got["precision"] == want["hits"] / want["alerts"]
+    totals(rows, 0)  # a replayed batch replaces its counts, and a new driver goes on from the table
+    assert alerts.LiveTotals(spark, 0.5, f"{tmp_path}/totals").totals() == got
 
 
 def test_stream_behaviour_equals_batch(spark, tmp_path):
