@@ -398,29 +398,29 @@ def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
         full = pairs.join(blobs.toDF("a", "ta").hint("merge"), "a").join(blobs.toDF("b", "tb").hint("merge"), "b")
         return scratch.save(full.select("a", "b", "ta", "tb").mapInArrow(_judge(similarity, shingle), "a long, b long, ok boolean"), tag)
 
-    def roots(of: DataFrame, tag: str) -> DataFrame:
-        return scratch.save(components(scratch, of.where("ok").select("a", "b"), tag), f"{tag}-roots")
+    def merged(comp: DataFrame, of: DataFrame, tag: str) -> DataFrame:
+        """comp (id, root) with components joined by the pairs that were judged to link."""
+        ends = of.where("ok").join(comp.toDF("a", "ra"), "a").join(comp.toDF("b", "rb"), "b")
+        more = components(scratch, ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), tag).toDF("root", "into")
+        return scratch.save(comp.join(more, "root", "left").select("id", F.coalesce("into", "root").alias("root")), f"{tag}-roots")
 
     def between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose ends aren't in one component."""
-        both = pairs.join(comp.toDF("a", "ra"), "a", "left").join(comp.toDF("b", "rb"), "b", "left")
-        return both.where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
+        return pairs.join(comp.toDF("a", "ra"), "a").join(comp.toDF("b", "rb"), "b").where("ra <> rb").drop("ra", "rb")
 
     first = F.min(F.struct("d", "a", "b")).alias("e")
     best = edges.withColumn("n", F.explode(F.array("a", "b"))).groupBy("n").agg(first).select("e.a", "e.b").distinct()
     known = judged(best, "nearest")
-    comp = roots(known, "links0")
+    comp = merged(scratch.save(ends.select("id", F.col("id").alias("root")), "ends"), known, "links0")
     rest = between(edges.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), comp)
-    known = known.unionAll(judged(rest, "others"))
-    comp = roots(known, "links1")
+    others = judged(rest, "others")
+    known, comp = known.unionAll(others), merged(comp, others, "links1")
     torn = between(edges, comp).select("tag").distinct()
     members = edges.join(torn, "tag").select("tag", F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = members.join(distinct.select("id", *words), "id").join(comp.toDF("id", "root"), "id", "left")
-    members = members.select("tag", "id", F.coalesce("root", "id").alias("root"), *words)
+    members = members.join(distinct.select("id", *words), "id").join(comp, "id").select("tag", "id", "root", *words)
     pairs = members.repartition(n, "tag").sortWithinPartitions("tag").mapInArrow(_across(radius), "a long, b long").distinct()
-    known = known.unionAll(judged(pairs.join(known, ["a", "b"], "left_anti"), "across"))
-    comp = roots(known, "links2")
-    of = scratch.save(distinct.select("id", "rows").join(comp.toDF("id", "root"), "id", "left").select("id", "rows", F.coalesce("root", "id").alias("root")), "of")
+    comp = merged(comp, judged(between(pairs, comp).join(known, ["a", "b"], "left_anti"), "across"), "links2")
+    of = scratch.save(distinct.select("id", "rows").join(comp, "id", "left").select("id", "rows", F.coalesce("root", "id").alias("root")), "of")
     out = scratch.save(split_join(fps.select("doc_id", "ka", "kb", "id"), of, ["id"], "rows").drop("id"), "grouped")
     scratch.drop("grouped")
     return out
