@@ -117,7 +117,8 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None =
     found = repeats(docs, scratch, min_lines, long_words)
     scratch.drop("runs")
     keyed = packed(docs, key=row_key("doc_id", "text"), lines=F.split(text_of(), "\n", -1))
-    joined = keyed.join(found, (F.col("key.a") == F.col("ka")) & (F.col("key.b") == F.col("kb")), "left")
+    # runs grow with the documents: the plan of large inputs at every size, never a broadcast that small ones would get
+    joined = keyed.join(found.hint("merge"), (F.col("key.a") == F.col("ka")) & (F.col("key.b") == F.col("kb")), "left")
     place = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("place", place).withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<i:int,to:int>>")))
     joined = joined.withColumn("gone", F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["to"] - 1))))
