@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from authspan.llm import embeddings, lines, mixing, pieces, quality, secrets, simhash, substrings, urls, warc
-from authspan.llm.common import Scratch, components
+from authspan.llm.common import Scratch, components, split_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string"
@@ -402,6 +403,46 @@ def test_secrets(spark):
     assert secrets.digest(empty(spark)).isEmpty()
 
 
+def plain_spans(text, rules):
+    """All kinds, by loops: base kinds, and candidates that overlap none of them and aren't allowed."""
+    rule = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [(m.start(), 0, m.end()) for m in rule.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    more = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        v, n = m[0], rules.window
+        if len(v) < n or any(re.search(a, v) for a in rules.allow) or any(s < m.end() and m.start() < e for s, _, e in spans):
+            continue
+        hexed = re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)
+        peak = max(sum(-c / n * math.log2(c / n) for c in Counter(v[i : i + n]).values()) for i in range(len(v) - n + 1))
+        if peak >= (rules.hex_bits if hexed else rules.base64_bits) - 1e-12:
+            more.append((m.start(), 3 if hexed else 4, m.end()))
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans + more))
+
+
+def test_secret_spans_by_brute_force(spark):
+    rng = random.Random(12)
+    some = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
+    makers = [
+        lambda: some("ABCDEF0123456789", 10, 40), lambda: some("abcdef0123456789", 10, 40), lambda: some("abcXYZ019+/_=-", 10, 60), lambda: some("ab1", 10, 50), lambda: f"token={some('aB3xY9', 5, 20)}",
+        lambda: "AKIA" + some("QWE789", 5, 20), lambda: "some-plain-words-here2024", lambda: some("éß漢", 1, 6), lambda: "123e4567-e89b-12d3-a456-426614174000", lambda: "example" + some("aB3xY9Zq", 20, 30), lambda: some("aB3xY9Zq8Kd", 600, 700),
+    ]
+    texts = ["".join(rng.choice(makers)() + rng.choice([" ", "  ", "\n", ".", ",", '"', ": "]) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    texts.append(" ".join(some("abcdef0123456789", 16, 20) for _ in range(900)))  # more matches than a block
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == plain_spans(t, secrets.SecretRules()) for i, t in enumerate(texts))
+    assert sum("entropy" in v for v in got.values()) > 50
+
+
+def test_secrets_of_a_megabyte(spark):
+    rng = random.Random(1)
+    text = "key " + "".join(rng.choice("ABCdefgh0123456789XYZqrstuv+/") for _ in range(1_000_000))
+    began = time.time()
+    assert secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans == "entropy_base64:4:1000004"
+    assert time.time() - began < 120
+
+
 def test_peak_entropy(spark):
     rng = random.Random(3)
     rows = [("".join(rng.choice("abcd0123XYZ") for _ in range(rng.randint(20, 70))),) for _ in range(30)]
@@ -520,6 +561,43 @@ def test_bad_host_goes_clean_ones_stay(spark):
     assert not any(got[i] for i in range(200)) and all(got[1000 + i] for i in range(200)) and got[5000]
 
 
+CLASH = ("_k", "_id", "_key", "_row", "_times", "_lines", "_s", "keep_id", "ka", "kb", "times", "rows", "runs", "lines", "place", "gone", "source_size", "base_failed", "found", "nth", "copy", "bad", "doc")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [r for r in texts() if r[0] != 7]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.concat(F.lit(c), F.col("source")) for c in CLASH}).repartition(3)
+    stages = {
+        "lines": lambda d: lines.dedup(d, long_words=50).select(*d.columns), "one": simhash.keep_one, "mix": mixing.mixed, "good": quality.keep_good,
+    }
+    for name, stage in stages.items():
+        out = stage(df)
+        assert out.columns == df.columns, name
+        found = out.select(*(F.col(c).eqNullSafe(F.concat(F.lit(c), F.col("source"))).alias(c) for c in CLASH)).distinct().collect()
+        assert [tuple(r) for r in found] == [(True,) * len(CLASH)], name
+        plain = stage(df.select("doc_id", "text", "source"))
+        key = ["doc_id", "text", "source"]
+        assert Counter(map(tuple, out.select(key).collect())) == Counter(map(tuple, plain.select(key).collect())), name
+
+
+def test_lines_runs_against_a_scan(spark):
+    """Long repeated runs, periodic lines and runs that meet: the doubling goes on for several rounds."""
+    rng = random.Random(4)
+    base = [f"line {rng.randrange(40)}" for _ in range(90)]
+    rows = [(1, "\n".join(base)), (2, "\n".join(["x", *base[10:80], "y"])), (3, "same\n" * 37), (4, "\n".join(base[:30] + base[50:] + base[:5])), (5, ""), (None, "\n".join(base[20:25])), (6, "\n\n".join(base))]
+    for m in (1, 2, 3, 5):
+        got = {r.doc_id: (r.n_lines, r.n_deleted) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+        want = plain_lines(rows, m)
+        assert all(got[i] == want[(i if i is not None else -1, t)] for i, t in rows)
+
+
+def test_split_join_keeps_hot_and_null_keys(spark):
+    rows = spark.createDataFrame([(None if i % 3 == 0 else 1 if i % 3 == 1 else i, i) for i in range(3000)], "k long, v long")
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    got = sorted(map(str, split_join(rows, facts, ["k"], "n").collect()))
+    assert got == sorted(str(r) for r in rows.join(facts.withColumnRenamed("k", "q"), F.col("k").eqNullSafe(F.col("q"))).select("k", "v", "top").collect())
+
+
 def test_digest_queries_are_registered():
     from authspan.llm import registry
 
