@@ -28,6 +28,8 @@ SHINGLE = 3
 SHARD = 512
 #: 64-bit words of the fingerprints of similar().
 WORDS = 4
+#: Most squeezed bytes of texts in a tile, where one text isn't larger.
+TILE_BYTES = 4 << 20
 #: Texts are counted in slices of so many shingles, which bounds the bit matrix.
 SLICE = 65536
 
@@ -321,30 +323,56 @@ def _judge(similarity: float, shingle: int):
     return run
 
 
-def _across(radius: int):
-    """Rows (tag, id, root, words) in tag order: all pairs of a tag within the radius that have different roots."""
+def _across(similarity: float, radius: int, shingle: int):
+    """Rows (tag, lo, hi, id, root, squeezed text, words) in group order: links (a, b) that join the roots of a group.
 
-    def pairs(ids: np.ndarray, roots: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    Pairs of different roots, within the radius and of sizes that allow the similarity, are judged by their
+    shingle sets where they meet; what leaves is a spanning forest, fewer links than the group has members.
+    """
+
+    def joined(ids: list[int], roots: list[int], x: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        top = np.unique(roots, return_inverse=True)[1]
+        if not top.any():
+            return []
+        sizes = np.array([len(s) for s in sets])
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        names, places = np.unique(np.concatenate(sets), return_inverse=True)
+        mine, found = np.zeros(len(names), dtype=bool), []
         for i in range(len(ids) - 1):
-            near = (np.bitwise_count(x[i + 1 :] ^ x[i]).sum(axis=1) <= radius) & (roots[i + 1 :] != roots[i])
-            other = ids[i + 1 :][near]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["a", "b"])
+            after = slice(i + 1, None)
+            near = (top[after] != top[i]) & (np.minimum(sizes[after], sizes[i]) >= similarity * np.maximum(sizes[after], sizes[i]) - 1e-9)
+            near &= np.bitwise_count(x[after] ^ x[i]).sum(axis=1) <= radius
+            own = places[ends[i] : ends[i + 1]]
+            mine[own] = True
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if top[j] != top[i]:
+                    both = int(np.count_nonzero(mine[places[ends[j] : ends[j + 1]]]))
+                    if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
+                        found.append((ids[i], ids[j]))
+                        top[top == top[j]] = top[i]
+            mine[own] = False
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        press = zstandard.ZstdDecompressor()
+        name: tuple | None = None
+        held: list[tuple] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            ids, roots, sets, *words = zip(*held, strict=True)
+            found = joined(list(ids), list(roots), np.array(words, dtype=np.int64).T.view(np.uint64), list(sets))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cut = [0, *(np.flatnonzero(now[0][1:] != now[0][:-1]) + 1).tolist()]
-            held = [c[cut[-1] :] for c in now]
-            for at, to in zip(cut, cut[1:]):
-                yield from pairs(now[1][at:to], now[2][at:to], np.stack([c[at:to].view(np.uint64) for c in now[3:]], axis=1))
-        if held is not None:
-            yield from pairs(held[1], held[2], np.stack([c.view(np.uint64) for c in held[3:]], axis=1))
+            for tag, lo, hi, id_, root, blob, *words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != (tag, lo, hi):
+                    if held:
+                        yield from links()
+                    name, held = (tag, lo, hi), []
+                held.append((id_, root, shingle_set(press.decompress(blob), shingle), *words))
+        if held:
+            yield from links()
 
     return run
 
@@ -357,7 +385,8 @@ def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
     less beyond the distance expected at the similarity. Each is judged by
     the exact Jaccard similarity of its shingle sets before it links. So that a large group costs no
     square of its size, trees of nearest links are judged first, each class's nearest one before the
-    others; all pairs are judged only in trees with a link that failed, and between components.
+    others. Trees with a link that failed are settled where their members meet, in groups of bounded
+    members and bytes: pairs between components are judged there, and only links that join some leave.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
@@ -414,12 +443,19 @@ def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
     comp = merged(scratch.save(ends.select("id", F.col("id").alias("root")), "ends"), known, "links0")
     rest = between(edges.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), comp)
     others = judged(rest, "others")
-    known, comp = known.unionAll(others), merged(comp, others, "links1")
+    comp = merged(comp, others, "links1")
     torn = between(edges, comp).select("tag").distinct()
     members = edges.join(torn, "tag").select("tag", F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = members.join(distinct.select("id", *words), "id").join(comp, "id").select("tag", "id", "root", *words)
-    pairs = members.repartition(n, "tag").sortWithinPartitions("tag").mapInArrow(_across(radius), "a long, b long").distinct()
-    comp = merged(comp, judged(between(pairs, comp).join(known, ["a", "b"], "left_anti"), "across"), "links2")
+    # tiles of few members and bytes; each pair of a tag's tiles is a group
+    members = scratch.save(members.join(blobs.select("id", F.length("blob").alias("bytes")), "id"), "members")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / shard, F.sum("bytes") / TILE_BYTES)).cast("int")
+    met = members.join(members.groupBy("tag").agg(parts.alias("tiles")), "tag").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("tag", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id").join(comp, "id")
+    met = met.join(blobs.hint("merge"), "id").join(distinct.select("id", *words), "id").select("tag", "lo", "hi", "id", "root", "blob", *words)
+    met = met.repartition(n, "tag", "lo", "hi").sortWithinPartitions("tag", "lo", "hi")
+    across = scratch.save(met.mapInArrow(_across(similarity, radius, shingle), "a long, b long"), "across")
+    comp = merged(comp, across.withColumn("ok", F.lit(True)), "links2")
     of = scratch.save(distinct.select("id", "rows").join(comp, "id", "left").select("id", "rows", F.coalesce("root", "id").alias("root")), "of")
     out = scratch.save(split_join(fps.select("doc_id", "ka", "kb", "id"), of, ["id"], "rows").drop("id"), "grouped")
     scratch.drop("grouped")

@@ -157,6 +157,30 @@ def test_similar_judges_shingle_sets(spark):
     assert not [i for i in odd if got[i] < want[i]] and len(odd) <= 2  # no false link; 256 bits may hide a pair
 
 
+def test_similar_settles_groups_around_the_similarity(spark, monkeypatch):
+    """Copies of one text on both sides of 0.8 of each other, settled in small tiles, against all pairs."""
+    monkeypatch.setattr(simhash, "TILE_BYTES", 8000)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    base, rows = [word() for _ in range(400)], []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(0, 400, 8), rng.choice((4, 5, 6, 7))):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if both >= 0.8 * (len(a) + len(b) - both) - 1e-9:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), shard=16).collect()}
+    assert 1 < len(set(root)) < len(rows)
+    assert all(root[got[i]] == root[i] for i in got)  # nothing is grouped that isn't linked
+    assert sum(got[i] == root[i] for i in got) >= 0.97 * len(rows)
+
+
 def test_rows_without_or_with_shared_ids_stay(spark):
     word = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
     rows = [(None, word(0), "a"), (None, word(1), "a"), (None, word(1), "a"), (3, word(2), "a"), (3, word(3), "a"), (4, word(3), "b")]
