@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from authspan.llm import embeddings, lines, mixing, oracles, pieces, quality, secrets, simhash, substrings, urls, warc
+from authspan.llm import embeddings, lines, mixing, oracles, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.SIGNALS, "base_failed", "kept")
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substrings": op2_substrings,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op11_tokens": op11_tokens,
 }
 
 ORACLES: dict[str, str] = {
