@@ -53,3 +53,49 @@ WITH RECURSIVE v AS (
 )
 SELECT r.vec_id, coalesce(max(n.n), 0) AS n_links, min(c) AS component_id, r.vec_id = min(c) AS kept FROM r LEFT JOIN n ON n.vec_id = r.vec_id GROUP BY r.vec_id
 """
+
+#: CRC-32 of a list of bytes, with its table of 256 remainders (r.tab).
+_CRC_TABLE = """r AS (
+  SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(0, 256)) AS i) z
+)"""
+
+
+def _crc(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+#: All pairs of equal words of a document at most a third of it apart; stretches of them at one distance are runs.
+PERIODS = (
+    f"""
+WITH {_CRC_TABLE}, d AS (
+  SELECT doc_id, {_crc("list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT))")} AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents, r
+)"""
+    + """, e AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM d
+), f AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e
+), x AS (
+  SELECT doc_id, n, unnest(range(0, n)) AS i, CASE WHEN hit THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM f
+), t AS (
+  SELECT doc_id, n, i, w[1 + i] AS w FROM x
+), s AS (
+  SELECT u.doc_id, v.i - u.i AS q, u.i - row_number() OVER (PARTITION BY u.doc_id, v.i - u.i ORDER BY u.i) AS island, u.i FROM t u JOIN t v ON u.doc_id = v.doc_id AND u.w = v.w AND v.i > u.i AND v.i - u.i <= u.n // 3
+), m AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), o AS (
+  SELECT doc_id, s, l, min(q) AS q FROM m GROUP BY doc_id, s, l
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM o
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS k FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM o GROUP BY doc_id
+), best AS (
+  SELECT doc_id, s, l, q FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) = 1
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from authspan.llm import embeddings, lines, mixing, oracles, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
+from authspan.llm import embeddings, lines, mixing, oracles, periods, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substrings": op2_substrings,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
     "op11_tokens": op11_tokens,
+    "op12_periods": op12_periods,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op4_embeddings": oracles.EMBEDDINGS,
     "op6_lines": lines.ORACLE,
     "op10_quality": quality.ORACLE,
+    "op12_periods": oracles.PERIODS,
 }
