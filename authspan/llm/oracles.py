@@ -99,3 +99,33 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS pe
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 )
+
+#: A word without its letter number i, for each i, meets others of the same (one replaced) and words as they are (one deleted).
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE}, t AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents
+), u AS (
+  SELECT k, w, count(*) AS n, hex(encode(k || ':' || w)) AS x FROM t WHERE length(w) >= 6 GROUP BY k, w
+), h AS (
+  SELECT w, n, {_crc("list_transform(range(0, length(x) // 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 1 AS INT), 1)) - 1) + strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 2 AS INT), 1)) - 1 AS BIGINT))")} AS h FROM u, r
+), v AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM h
+), c AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), i AS (
+  SELECT word, n, unnest(range(0, length(word))) AS i FROM c
+), d AS (
+  SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS d FROM i
+), p AS (
+  SELECT a.word AS a, b.word AS b, b.n AS n FROM d a JOIN d b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT d.word, c.word, c.n FROM d JOIN c ON d.d = c.word
+  UNION SELECT c.word, d.word, d.n FROM d JOIN c ON d.d = c.word
+), m AS (
+  SELECT a AS word, b, n AS bn, count(*) OVER (PARTITION BY a) AS n_near FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1
+), f AS (
+  SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 5 * c.n THEN b END AS form, CASE WHEN bn >= 5 * c.n THEN bn END AS form_n FROM c LEFT JOIN m USING (word)
+), g(word, top) AS (
+  SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON g.top = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, e.top AS root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT g.word, g.top FROM g JOIN f ON g.top = f.word WHERE f.form IS NULL) e ON e.word = f.word
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from authspan.llm import embeddings, lines, mixing, oracles, periods, pieces, quality, secrets, simhash, substrings, tokens, urls, warc
+from authspan.llm import embeddings, lines, mixing, oracles, periods, pieces, quality, secrets, simhash, spelling, substrings, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substrings": op2_substrings,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_tokens": op11_tokens,
     "op12_periods": op12_periods,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op6_lines": lines.ORACLE,
     "op10_quality": quality.ORACLE,
     "op12_periods": oracles.PERIODS,
+    "op13_spelling": oracles.SPELLING,
 }
