@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from authspan.llm.common import packed
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 #: Stands for a U+2581 of the text; no piece has it.
@@ -297,51 +299,64 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, rules: SampleRules = SampleRules()) -> DataFrame:
-    """docs with piece_ids (array<int>): a sampled segmentation of text, seeded by doc_id.
+def encode(docs: DataFrame, rules: SampleRules = SampleRules(), into: str = "piece_ids") -> DataFrame:
+    """docs with the column into (array<int>): a sampled segmentation of text, seeded by doc_id.
 
     Null text: null. Empty text: no ids. Rows that repeat a doc_id and text get equal ids. Very long
-    texts are encoded whole. An existing piece_ids column is replaced.
+    texts are encoded whole. An existing column of into's name is replaced; all others pass, whatever their names.
     """
-    named = [c for c in docs.columns if c != "piece_ids"]
-    keyed = docs.select(*named, F.xxhash64("doc_id").alias("_key"), F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*named).schema.add("piece_ids", T.ArrayType(T.IntegerType()))
+    named = [c for c in docs.columns if c != into]
+    keyed = packed(docs, _key=F.xxhash64("doc_id"), _text=F.col("text").cast("string"))
+    schema = T.StructType([keyed.schema["_row"], T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            sizes = pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_pylist()
+            sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column(2)), 0).to_pylist()
             for a, b in _runs(sizes):
                 part = batch.slice(a, b - a)
-                held = part.column(part.num_columns - 1)
-                keys = part.column(part.num_columns - 2).to_numpy(zero_copy_only=False).view(np.uint64)
+                held = part.column(2)
+                keys = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
                 with np.errstate(over="ignore"):
                     ids, counts = encode_texts(["" if t is None else t for t in held.to_pylist()], keys, rules)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.append(np.array(held.is_null()), False))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], lists], [*named, "piece_ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], schema.names)
+
+    out = keyed.mapInArrow(run, schema)
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in named), into)
 
-    return keyed.mapInArrow(run, schema)
 
+def decode(encoded: DataFrame, model: str = MODEL, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
+    """encoded with the column into (string), the text that the column ids spells; null for null.
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded with decoded (string), the text that piece_ids spell; null for null."""
-    named = [c for c in encoded.columns if c != "decoded"]
-    schema = encoded.select(*named).schema.add("decoded", T.StringType())
-    at = named.index("piece_ids")
+    An existing column of into's name is replaced; all others pass, whatever their names.
+    """
+    named = [c for c in encoded.columns if c != into]
+    keyed = packed(encoded, _ids=F.col(ids))
+    schema = T.StructType([keyed.schema["_row"], T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0).to_pylist()
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_pylist()
             for a, b in _runs(sizes):
                 part = batch.slice(a, b - a)
-                lists = part.column(at)
+                lists = part.column(1)
                 counts = np.array(sizes[a:b], dtype=np.int64)
                 texts = decode_ids(lists.flatten().to_numpy(zero_copy_only=False), counts, model)
                 texts = pa.array(texts, pa.string(), mask=np.array(lists.is_null()))
-                yield pa.RecordBatch.from_arrays([*part.select(named).columns, texts], [*named, "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], schema.names)
+
+    out = keyed.mapInArrow(run, schema)
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in named), into)
+
 
-    return encoded.select(*named).mapInArrow(run, schema)
+def segmented(docs: DataFrame, rules: SampleRules = SampleRules()) -> DataFrame:
+    """docs with text as decoded from its sampled ids, and these ids as a last column: piece_ids, or where docs
+    has a column of that name, which stays, the name with underscores until it is new."""
+    free = lambda name: next(n for k in range(len(docs.columns) + 1) if (n := name + "_" * k) not in docs.columns)
+    ids, decoded = free("piece_ids"), free("decoded")
+    out = decode(encode(docs, rules, ids), rules.model, ids, decoded)
+    return out.select(*(F.col(decoded).alias(c) if c == "text" else c for c in docs.columns), ids)
 
 
 def digest(docs: DataFrame, rules: SampleRules = SampleRules()) -> DataFrame:

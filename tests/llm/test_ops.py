@@ -604,6 +604,22 @@ def test_stages_keep_columns_of_any_name(spark):
         assert Counter(map(tuple, out.select(key).collect())) == Counter(map(tuple, plain.select(key).collect())), name
 
 
+def test_segmented_keeps_columns_of_any_name(spark):
+    names = (*CLASH, "decoded", "piece_ids", "piece_ids_", "_text", "_ids", "_key")
+    df = spark.createDataFrame(texts(), DOCS).withColumns({c: F.concat(F.lit(c), F.coalesce("source", F.lit(""))) for c in names}).repartition(3)
+    out = pieces.segmented(df)
+    assert out.columns == [*df.columns, "piece_ids__"]
+    assert Counter(map(tuple, out.drop("piece_ids__").collect())) == Counter(map(tuple, df.collect()))
+    plain = pieces.segmented(df.select("doc_id", "text", "source"))
+    assert plain.columns == ["doc_id", "text", "source", "piece_ids"]
+    bag = lambda d, c: Counter((r.doc_id, r.text, tuple(r[c] or ())) for r in d.collect())
+    assert bag(out, "piece_ids__") == bag(plain, "piece_ids")
+    import corpus_pipeline
+
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").columns == out.columns
+    assert pieces.segmented(df.limit(0)).isEmpty()
+
+
 def test_lines_runs_against_a_scan(spark):
     """Long repeated runs, periodic lines and runs that meet: the doubling goes on for several rounds."""
     rng = random.Random(4)
