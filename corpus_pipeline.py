@@ -39,10 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with piece_ids, and text as decoded from them."""
-    out = pieces.decode(pieces.encode(docs))
-    kept = [F.col("decoded").alias(c) if c == "text" else c for c in docs.columns]
-    return out.select(*kept, "piece_ids")
+    """Documents with text as decoded from their piece ids, and the ids as a last column (pieces.segmented names it where documents have such a column)."""
+    return pieces.segmented(docs)
 
 
 STAGES = [
