@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -66,8 +68,12 @@ def fixed_point(score: Column, scale: int = 10_000) -> Column:
 
 def in_order(df: DataFrame, *key: str, name: str = "ok", tie: str = "record_id") -> DataFrame:
     """df with a long that orders a key's events by time, then tie."""
-    nth = F.row_number().over(Window.partitionBy(*key, "ts").orderBy(tie)) - 1
-    return df.withColumn(name, F.unix_micros("ts") * TIES + nth)
+    return df.withColumn(name, order_number(F.row_number().over(Window.partitionBy(*key, "ts").orderBy(tie)) - 1))
+
+
+def order_number(nth: Column) -> Column:
+    """Of the nth event at its time; fails where more events share a time than the numbers between two microseconds."""
+    return F.when(nth < TIES, F.unix_micros("ts") * TIES + nth).otherwise(F.raise_error(F.lit(f"over {TIES} events of one key in one microsecond")).cast("long"))
 
 
 def reach(days: float) -> int:
@@ -101,20 +107,63 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, s
     """df with running sums (name: of which column) along order within by, each row's own included.
 
     Rows are dealt by ranges of (by, order), so that neither one group nor one stretch of the order is
-    one task; what passes through a window over ranges is one row for each range and group. Rows that tie in
-    order stand in any order.
+    one task. What a range adds to is a group that goes on from the range before, so each range has one such
+    group at most: these starts are as few as ranges, and broadcast. Rows that tie in order stand in any order.
     """
     held = materialised(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
     totals = held.groupBy(*by, "_p").agg(*(F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())))
     past = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_p").alias("_q"), *(F.coalesce(F.sum(f"_t{i}").over(past), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))))
+    earlier = F.count(F.lit(1)).over(past).alias("_earlier")
+    starts = totals.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_p").alias("_q"), earlier, *(F.coalesce(F.sum(f"_t{i}").over(past), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))))
+    starts = F.broadcast(starts.where("_earlier > 0").drop("_earlier"))
     inside = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     here = held.withColumns({f"_r{i}": F.sum(c).over(inside) for i, c in enumerate(sums.values())})
     same = F.col("_p") == F.col("_q")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    out = here.join(starts, same)
-    return out.select(*df.columns, *((F.col(f"_r{i}") + F.col(f"_s{i}")).alias(n) for i, n in enumerate(sums)))
+    out = here.join(starts, same, "left")
+    return out.select(*df.columns, *((F.col(f"_r{i}") + F.coalesce(f"_s{i}", F.lit(0))).alias(n) for i, n in enumerate(sums)))
+
+
+def swept(changes: DataFrame, asked: DataFrame, by: list[str], name: str) -> DataFrame:
+    """asked (by, ok, more) with name: the sum of the changes (by, at, d) of its key with at <= ok.
+
+    Changes and questions are stacked along one order and summed by ranges of it, so a key with most rows
+    is as many tasks as its rows need, and each row is met once however long a window the changes stand for.
+    """
+    rows = F.struct(*(c for c in asked.columns if c not in by)).alias("_row")
+    both = asked.select(*by, F.col("ok").alias("at"), F.lit(0).alias("d"), rows).unionByName(changes.select(*by, "at", "d"), allowMissingColumns=True)
+    out = running(both, by, [F.col("at"), F.col("_row").isNotNull()], {name: "d"}).where("_row is not null")
+    return out.select(*by, "_row.*", name)
+
+
+#: Rows of a block of fading(). keep ** -FADE_BLOCK must be a double.
+FADE_BLOCK = 256
+
+
+def fading(df: DataFrame, by: list[str], order: list[Column], value: str, keep: float, name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """df with name, the average e <- keep * e + (1 - keep) * value over all earlier rows of by from 0, nth, the row's place from 1, and running sums.
+
+    A stretch of rows maps an average e to keep ** rows * e + b. Rows are numbered by ranges of the order and cut
+    into blocks of FADE_BLOCK rows; within a block the average is a sum of weighted values. A block's b goes on, faded, to the
+    blocks behind it until its weight is beyond a double's digits. Nothing is windowed by more than a block.
+    """
+    rows = running(df.withColumn("_one", F.lit(1)), by, order, {"nth": "_one"} | (sums or {})).drop("_one")
+    rows = rows.withColumns({"_b": F.expr(f"(nth - 1) div {FADE_BLOCK}"), "_i": ((F.col("nth") - 1) % FADE_BLOCK).cast("double")})
+    rows = rows.withColumn("_w", F.pow(F.lit(1 / keep), F.col("_i")) * F.col(value))
+    inside = Window.partitionBy(*by, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    part = (1 - keep) * F.pow(F.lit(keep), F.col("_i") - 1) * F.coalesce(F.sum("_w").over(inside), F.lit(0.0))
+    names = [f"_by{i}" for i in range(len(by))]
+    own = rows.groupBy(*by, "_b").agg(((1 - keep) * keep ** (FADE_BLOCK - 1) * F.sum("_w")).alias("b")).toDF(*names, "_q", "b")
+    behind = int(math.log(1e-18) / math.log(keep)) // FADE_BLOCK + 2
+    starts = own.select(*names, F.col("b"), F.posexplode(F.sequence(F.col("_q") + 1, F.col("_q") + behind)).alias("_k", "_q"))
+    starts = starts.groupBy(*names, "_q").agg(F.sum(F.col("b") * F.pow(F.lit(keep**FADE_BLOCK), F.col("_k"))).alias("_s"))
+    same = F.col("_b") == F.col("_q")
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    out = rows.withColumn("_part", part).join(starts, same, "left")
+    whole = F.pow(F.lit(keep), F.col("_i")) * F.coalesce("_s", F.lit(0.0)) + F.col("_part")
+    return out.select(*df.columns, "nth", *(sums or {}), whole.alias(name))
 
 
 def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:

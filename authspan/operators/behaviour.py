@@ -43,38 +43,13 @@ def behaviour(events: DataFrame, users: DataFrame, days: float = 30) -> DataFram
     return e.join(home, "user_id", "left").withColumn("geo_distance_from_home_km", away).drop("user_id", "geo_lat", "geo_lon", "home_lat", "home_lon")
 
 
-
-
 def peer_deviation(events: DataFrame, users: DataFrame) -> DataFrame:
     """(record_id, peer_group_deviation): the user's off-hours average against the department's.
 
-    Departments are few and huge, so theirs is a scan over (department, day) buckets: a bucket maps
-    an average e to KEEP^m * e + b, and these maps are composed along the few days of a department.
+    Both averages fade over blocks of a fixed number of rows, whatever the size of a user or department.
     """
-    x = F.col("is_off_hours").cast("double")
-    e = C.in_order(events, "user_id").withColumn("x", x)
-    mine = C.fold_ema(F.collect_list("x").over(Window.partitionBy("user_id").orderBy("ok").rowsBetween(-FOLD, -1)), KEEP)
-    first = (F.row_number().over(Window.partitionBy("user_id").orderBy("ok")) == 1).cast("int")
-    e = e.select("record_id", "user_id", "ts", "x", mine.alias("own"), first.alias("first"))
-    e = e.join(users.select("user_id", "department"), "user_id").withColumn("day", F.to_date("ts"))
-    inside = Window.partitionBy("department", "day").orderBy("ts", "record_id")
-    e = e.withColumns(
-        {
-            "place": F.row_number().over(inside) - 1,
-            "part": C.fold_ema(F.collect_list("x").over(inside.rowsBetween(-FOLD, -1)), KEEP),
-            "after": C.fold_ema(F.collect_list("x").over(inside.rowsBetween(1 - FOLD, 0)), KEEP),
-            "seen": F.coalesce(F.sum("first").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        }
-    )
-    days = e.groupBy("department", "day").agg(F.count(F.lit(1)).alias("m"), F.max_by("after", "place").alias("b"), F.sum("first").alias("new"))
-    past = Window.partitionBy("department").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    compose = lambda e, d: e * F.pow(F.lit(KEEP), d["m"]) + d["b"]
-    days = days.select(
-        "department", "day",
-        F.aggregate(F.collect_list(F.struct("m", "b")).over(past), F.lit(0.0), compose).alias("start"),
-        F.coalesce(F.sum("new").over(past), F.lit(0)).alias("members"),
-    )
-    e = e.join(days, ["department", "day"])
-    theirs = F.pow(F.lit(KEEP), F.col("place")) * F.col("start") + F.col("part")
-    gap = F.when(F.col("members") + F.col("seen") >= MIN_PEERS, F.abs(F.col("own") - theirs)).otherwise(F.lit(0.0))
+    e = events.select("record_id", "user_id", "ts", F.col("is_off_hours").cast("double").alias("x")).join(users.select("user_id", "department"), "user_id")
+    e = C.fading(e, ["user_id"], [F.col("ts"), F.col("record_id")], "x", KEEP, "own").withColumn("first", (F.col("nth") == 1).cast("int")).drop("nth")
+    e = C.fading(e, ["department"], [F.col("ts"), F.col("record_id")], "x", KEEP, "theirs", {"members": "first"})
+    gap = F.when(F.col("members") - F.col("first") >= MIN_PEERS, F.abs(F.col("own") - F.col("theirs"))).otherwise(F.lit(0.0))
     return e.select("record_id", gap.alias("peer_group_deviation"))

@@ -16,12 +16,22 @@ FOLD = 250
 
 
 def device_features(events: DataFrame, days: float = 30) -> DataFrame:
-    """record_id, device_fan_in, device_fingerprint_mismatch; one shuffle by device."""
-    e = C.in_order(events, "device_id")
-    users = F.size(F.collect_set("user_id").over(C.before("device_id", days)))
-    mark = F.struct("device_type", "os")
-    first = F.first(mark).over(Window.partitionBy("device_id").orderBy("ok").rowsBetween(Window.unboundedPreceding, 0))
-    return e.select("record_id", users.cast("double").alias("device_fan_in"), (~mark.eqNullSafe(first)).cast("double").alias("device_fingerprint_mismatch"))
+    """record_id, device_fan_in, device_fingerprint_mismatch.
+
+    Users on a device are counted by a sweep: a user's stretch of events, each at most days after the one before,
+    adds one after its first event and takes it off days after its last. The first signature is one row a device.
+    """
+    e = C.in_order(events, "device_id").select("record_id", "device_id", "user_id", "ok", F.struct("device_type", "os").alias("mark"))
+    e = materialised(e)
+    pair, reach = Window.partitionBy("device_id", "user_id").orderBy("ok"), C.reach(days)
+    opens = F.coalesce(F.col("ok") - F.lag("ok").over(pair) > reach, F.lit(True))
+    closes = F.coalesce(F.lead("ok").over(pair) - F.col("ok") > reach, F.lit(True))
+    change = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    both = F.array(F.when(opens, change(F.col("ok") + 1, 1)), F.when(closes, change(F.col("ok") + reach + 1, -1)))
+    changes = e.select("device_id", F.array_compact(both).alias("both")).select("device_id", F.inline("both"))
+    first = e.groupBy("device_id").agg(F.min_by("mark", "ok").alias("first")).withColumnRenamed("device_id", "_d")
+    e = C.swept(changes, e.select("record_id", "device_id", "ok", "mark"), ["device_id"], "n").join(first, F.col("device_id").eqNullSafe(F.col("_d")))
+    return e.select("record_id", F.col("n").cast("double").alias("device_fan_in"), (~F.col("mark").eqNullSafe(F.col("first"))).cast("double").alias("device_fingerprint_mismatch"))
 
 
 def device_set_delta(events: DataFrame) -> DataFrame:
@@ -63,22 +73,28 @@ def transitions(events: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def access_chain_distance(events: DataFrame, users: DataFrame, days: float = 30) -> DataFrame:
-    """(record_id, access_chain_distance). The transition count at an event's time comes from one
-    window over questions and transitions stacked, not from a range join."""
+    """(record_id, access_chain_distance). The transitions that count at an event's time are the difference
+    of those begun and those run out by then, from one sweep over questions and transitions of a kind."""
     e = C.in_order(events, "user_id").join(users.select("user_id", "department"), "user_id", "left")
-    w = C.before("user_id", days)
-    visit = F.when(F.col("department").isNotNull(), F.col("resource_accessed"))
-    e = e.select("record_id", "ts", "department", "resource_accessed", F.collect_set(visit).over(w).alias("seen"), F.last(visit, ignorenulls=True).over(w).alias("src"))
-    res = F.col("resource_accessed")
-    easy = F.when(res.isNull() | F.array_contains("seen", res), F.lit(0.0)).when(F.size("seen") == 0, F.lit(FAR_RESOURCE))
-    e = e.withColumn("easy", easy)
-    asked = e.where("easy is null").select("record_id", "department", "src", res.alias("dst"), "ts", F.lit(0).alias("fact"))
-    both = asked.unionByName(transitions(events, users).withColumn("fact", F.lit(1)))
+    res, since = F.col("resource_accessed"), F.col("ok") - C.reach(days)
+    visit = F.when(F.col("department").isNotNull() & res.isNotNull(), F.struct("ok", res.alias("res")))
+    e = e.select(
+        "record_id", "ts", "department", "resource_accessed", "ok",
+        F.last(visit, ignorenulls=True).over(C.ever_before("user_id")).alias("last"),
+        F.lag("ok").over(Window.partitionBy("user_id", "resource_accessed").orderBy("ok")).alias("same"),
+    )
+    again = F.col("department").isNotNull() & (F.col("same") >= since)
+    easy = F.when(res.isNull() | again, F.lit(0.0)).when(F.coalesce(F.col("last.ok") < since, F.lit(True)), F.lit(FAR_RESOURCE))
+    e = materialised(e.select("record_id", "ts", "department", res.alias("dst"), F.col("last.res").alias("src"), easy.alias("easy")))
     key = ["department", "src", "dst"]
+    asked = e.where("easy is null").select("record_id", *key, "ts", F.lit(0).alias("fact"))
+    both = asked.unionByName(transitions(events, users).withColumn("fact", F.lit(1)))
     nth = F.row_number().over(Window.partitionBy(*key, "ts").orderBy("record_id", "fact")) - 1
-    both = both.withColumn("ok", F.unix_micros("ts") * C.TIES + nth)
-    n = F.coalesce(F.sum("fact").over(C.before(key, days)), F.lit(0))
-    cost = both.withColumn("n", n).where("fact = 0").select("record_id", F.when(F.col("n") > 0, 1 / F.col("n")).otherwise(FAR_RESOURCE).alias("cost"))
+    both = materialised(both.select("record_id", *key, "fact", C.order_number(nth).alias("ok")))
+    change = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    changes = both.where("fact = 1").select(*key, F.inline(F.array(change(F.col("ok") + 1, 1), change(F.col("ok") + C.reach(days) + 1, -1))))
+    cost = C.swept(changes, both.where("fact = 0").select("record_id", *key, "ok"), key, "n")
+    cost = cost.select("record_id", F.when(F.col("n") > 0, 1 / F.col("n")).otherwise(FAR_RESOURCE).alias("cost"))
     return e.join(cost, "record_id", "left").select("record_id", F.coalesce("easy", "cost").alias("access_chain_distance"))
 
 
@@ -91,34 +107,75 @@ def _spells(events: DataFrame, days: float) -> DataFrame:
     return e.groupBy("user_id", "device_id", "spell").agg(F.min("o").alias("since"), (F.max("o") + C.reach(days)).alias("until")).drop("spell")
 
 
-def new_edge(events: DataFrame, days: float = 30, hub: int | None = None) -> DataFrame:
+def _merged(df: DataFrame, *key: str) -> DataFrame:
+    """The unions of the stretches (since, until] of each key."""
+    w = Window.partitionBy(*key).orderBy("since")
+    reached = F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_new", F.coalesce(F.col("since") > reached, F.lit(True)).cast("int"))
+    df = df.withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.groupBy(*key, "_nth").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("_nth")
+
+
+def _both(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left joined with right, both with stretches, where these meet, and the stretch in which they do."""
+    right = right.withColumnsRenamed({"since": "_s", "until": "_u"})
+    both = left.join(right, on).withColumns({"since": F.greatest("since", "_s"), "until": F.least("until", "_u")})
+    return both.where("since < until").drop("_s", "_u")
+
+
+def adjacent_devices(spells: DataFrame) -> DataFrame:
+    """(a, b, since, until): pairs of different devices, both ways round, and when a user was live on both.
+
+    Pairs come from each user's own devices, so a device costs its users, never their square.
+    """
+    a, b = spells.withColumnRenamed("device_id", "a"), spells.withColumnRenamed("device_id", "b")
+    return _merged(_both(a, b, ["user_id"]).where("a <> b"), "a", "b")
+
+
+def new_edge(events: DataFrame, days: float = 30, hub: int | None = None, heavy: int = 64) -> DataFrame:
     """(record_id, is_new_edge): 0 for a pair seen within days, else 1 - 1 / (1 + d), where d is the
     distance (2, 4, or 6 for more) of the device from the user's own ones in the user-device graph.
 
-    Only novel rows go on to the two joins. Events of equal time count as not before each other
-    here. hub: devices of more users than this carry no path, as an option for shared terminals.
+    Only novel rows are looked at. Distance 2: the device is adjacent to one of the user's own; 4: a third device is
+    adjacent to both. The third is sought among the neighbours of whichever end has at most heavy of
+    them. Where both ends are hubs, which are few, the times at which a third links them are found once for each
+    pair of hubs that is asked for. Events of equal time count as not before each other here. hub: devices
+    of more users than this carry no path, as an option.
     """
     e = C.in_order(events, "user_id", "device_id")
-    live = F.count(F.lit(1)).over(C.before(["user_id", "device_id"], days)) > 0
-    e = e.select("record_id", "user_id", "device_id", (F.unix_micros("ts") * C.TIES).alias("o"), live.alias("live"))
+    live = F.coalesce(F.lag("ok").over(Window.partitionBy("user_id", "device_id").orderBy("ok")) >= F.col("ok") - C.reach(days), F.lit(False))
+    e = materialised(e.select("record_id", "user_id", "device_id", (F.unix_micros("ts") * C.TIES).alias("o"), live.alias("live")))
     spells = _spells(events, days)
     if hub is not None:
         few = events.groupBy("device_id").agg(F.count_distinct("user_id").alias("n")).where(F.col("n") <= hub).select("device_id")
         spells = spells.join(few, "device_id", "left_semi")
-    novel = e.where("not live").select("record_id", F.col("user_id").alias("u"), F.col("device_id").alias("d"), "o")
+    spells = materialised(spells)
+    next_to = materialised(adjacent_devices(spells))
+    novel = e.where("not live").select("record_id", "user_id", F.col("device_id").alias("d"), "o")
     when = (F.col("o") > F.col("since")) & (F.col("o") <= F.col("until"))
-
-    def hop(rows: DataFrame, held: str, key: str, to: str) -> DataFrame:
-        s = spells.withColumnRenamed(key, "_k")
-        return rows.join(s, (F.col(held) == F.col("_k")) & when).select("record_id", "o", F.col(to).alias("x")).distinct()
-
-    theirs = hop(novel, "d", "device_id", "user_id")  # users of the device
-    mine = hop(hop(novel, "u", "user_id", "device_id"), "x", "device_id", "user_id")  # users who share a device with the user
-    near = theirs.join(mine, ["record_id", "o", "x"], "left_semi").select("record_id").distinct()
-    left = theirs.join(near, "record_id", "left_anti"), mine.join(near, "record_id", "left_anti")
-    next_to = [hop(rows, "x", "user_id", "device_id") for rows in left]
-    middle = next_to[0].join(next_to[1], ["record_id", "o", "x"], "left_semi").select("record_id").distinct()
-    d = near.withColumn("dist", F.lit(2)).unionAll(middle.withColumn("dist", F.lit(4)))
+    asked = novel.join(spells, "user_id").where(when).select("record_id", "o", "d", F.col("device_id").alias("own")).where("d <> own")
+
+    def linked(rows: DataFrame, a: str, b: str) -> DataFrame:
+        return rows.join(next_to, (F.col(a) == next_to["a"]) & (F.col(b) == next_to["b"]) & when, "left_semi")
+
+    near = materialised(linked(asked, "d", "own").select("record_id").distinct())
+    hubs = materialised(next_to.select("a", "b").distinct().groupBy("a").count().where(F.col("count") > heavy).select("a"))
+    left = asked.join(near, "record_id", "left_anti")
+    for end in ("d", "own"):
+        left = left.join(hubs.select(F.col("a").alias(end), F.lit(True).alias(f"{end}_hub")), end, "left")
+    left = materialised(left.fillna(False, ["d_hub", "own_hub"]))
+
+    def by_third(rows: DataFrame, light: str, other: str) -> DataFrame:
+        thirds = rows.join(next_to, (F.col(light) == F.col("a")) & when).select("record_id", "o", other, F.col("b").alias("third")).distinct()
+        return linked(thirds, "third", other).select("record_id")
+
+    hard = left.where("d_hub and own_hub")
+    pairs = hard.select("d", "own").distinct()
+    to_third = pairs.join(next_to.withColumnsRenamed({"a": "d", "b": "third"}), "d")
+    bridged = _merged(_both(to_third, next_to.withColumnsRenamed({"a": "third", "b": "own"}), ["third", "own"]), "d", "own")
+    far = by_third(left.where("not d_hub"), "d", "own").unionAll(by_third(left.where("d_hub and not own_hub"), "own", "d"))
+    far = far.unionAll(hard.join(bridged, ["d", "own"]).where(when).select("record_id")).distinct()
+    d = near.withColumn("dist", F.lit(2)).unionAll(far.withColumn("dist", F.lit(4)))
     dist = F.coalesce("dist", F.lit(FAR_DEVICE))
     return e.join(d, "record_id", "left").select("record_id", F.when(F.col("live"), F.lit(0.0)).otherwise(1 - 1 / (1 + dist)).alias("is_new_edge"))
 
