@@ -214,7 +214,7 @@ def live_pairs(events: DataFrame, days: int = 30) -> DataFrame:
     return pairs.select(F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", days))).alias("epoch"), "user_id", "device_id").distinct()
 
 
-def epoch_communities(pairs: DataFrame, rounds: int = 5) -> DataFrame:
+def propagated(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     """(epoch, user_id, community) for the users of pairs (epoch, user_id, device_id), each epoch by itself.
 
     Label propagation over the user-device graph: a device takes the most frequent label of its users, a
@@ -234,6 +234,78 @@ def epoch_communities(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     return state
 
 
+def modularity(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """(epoch, q) of communities (epoch, user_id, community) among users weighted by their shared devices.
+
+    A device of n users adds n - 1 to each one's degree, and k * (k - 1) to the weight inside a community with k of
+    them (each pair both ways), so users are never paired. Epochs without a shared device have q = 0.
+    """
+    sizes = pairs.groupBy("epoch", "device_id").agg(F.count(F.lit(1)).alias("n"))
+    inside = pairs.join(state, ["epoch", "user_id"]).groupBy("epoch", "device_id", "community").agg(F.count(F.lit(1)).alias("k"))
+    inside = inside.join(sizes, ["epoch", "device_id"])
+    per = inside.groupBy("epoch", "community").agg(F.sum(F.expr("k * (k - 1)")).alias("within"), F.sum(F.expr("k * (n - 1)")).alias("degree"))
+    out = per.groupBy("epoch").agg(F.sum("within").alias("w"), F.sum("degree").alias("m2"), F.sum(F.pow(F.col("degree").cast("double"), 2)).alias("squares"))
+    return out.select("epoch", F.when(F.col("m2") > 0, F.col("w") / F.col("m2") - F.col("squares") / F.pow(F.col("m2").cast("double"), 2)).otherwise(F.lit(0.0)).alias("q"))
+
+
+def _moves(pairs: DataFrame, state: DataFrame, degree: DataFrame, turn: int, few: int) -> DataFrame:
+    """state after the users whose turn it is have moved to where modularity gains most, if it gains.
+
+    A user may move to any community on its devices of at most few communities, and to the largest on
+    those of more. All gains are exact, against the communities of before the round.
+    """
+    on = pairs.join(state, ["epoch", "user_id"]).groupBy("epoch", "device_id", "community").agg(F.count(F.lit(1)).alias("k"))
+    on = materialised(on)
+    crowd = on.groupBy("epoch", "device_id").agg(F.count(F.lit(1)).alias("many"), F.max_by("community", F.struct("k", -F.col("community"))).alias("top"))
+    offered = on.join(crowd, ["epoch", "device_id"]).where((F.col("many") <= few) | (F.col("community") == F.col("top"))).select("epoch", "device_id", "community")
+    mover = degree.where(F.pmod(F.xxhash64("user_id"), F.lit(2)) == turn)
+    movers = pairs.join(mover.select("epoch", "user_id"), ["epoch", "user_id"])
+    own = mover.join(state, ["epoch", "user_id"]).select("epoch", "user_id", "degree", F.col("community").alias("home"))
+    choice = movers.join(offered, ["epoch", "device_id"]).select("epoch", "user_id", "community")
+    choice = choice.unionByName(own.select("epoch", "user_id", F.col("home").alias("community"))).distinct()
+    # Weight to each choice over all the user's devices, itself left out of its own community.
+    linked = movers.join(choice, ["epoch", "user_id"]).join(on, ["epoch", "device_id", "community"]).groupBy("epoch", "user_id", "community").agg(F.sum("k").alias("w"), F.count(F.lit(1)).alias("mine"))
+    whole = degree.join(state, ["epoch", "user_id"]).groupBy("epoch", "community").agg(F.sum("degree").alias("total"))
+    m2 = degree.groupBy("epoch").agg(F.sum("degree").alias("m2"))
+    at_home = F.col("community") == F.col("home")
+    w = F.coalesce("w", F.lit(0)) - F.when(at_home, F.coalesce("mine", F.lit(0))).otherwise(F.lit(0))
+    others = F.coalesce("total", F.lit(0)) - F.when(at_home, F.col("degree")).otherwise(F.lit(0))
+    score = w - F.col("degree") * others / F.col("m2")
+    scored = choice.join(linked, ["epoch", "user_id", "community"], "left").join(own, ["epoch", "user_id"]).join(whole, ["epoch", "community"], "left").join(m2.where("m2 > 0"), "epoch")
+    best = scored.groupBy("epoch", "user_id").agg(F.max_by("community", F.struct(F.round(score, 9), at_home, -F.col("community"))).alias("to"))
+    return state.join(best, ["epoch", "user_id"], "left").select("epoch", "user_id", F.coalesce("to", "community").alias("community"))
+
+
+def epoch_communities(pairs: DataFrame, rounds: int = 2, few: int = 32) -> DataFrame:
+    """(epoch, user_id, community): communities of high modularity for the users of pairs (epoch, user_id, device_id).
+
+    Labels are propagated first. Then, in rounds, one half of the users moves and then the other, so that neighbours
+    don't swap places, and then an epoch tries the communities of the epoch before, in which new users keep
+    their own. Each step is taken in the epochs whose modularity it raises. All epochs go at once.
+    """
+    pairs = materialised(pairs.select("epoch", "user_id", "device_id").distinct())
+    sizes = pairs.groupBy("epoch", "device_id").agg(F.count(F.lit(1)).alias("n"))
+    degree = materialised(pairs.join(sizes, ["epoch", "device_id"]).groupBy("epoch", "user_id").agg(F.sum(F.col("n") - 1).alias("degree")))
+    before = pairs.select("epoch").distinct()
+    before = before.select("epoch", F.lag("epoch").over(Window.orderBy("epoch")).alias("_before"))  # a row an epoch
+    state = propagated(pairs)
+    held = materialised(modularity(pairs, state))
+    for _ in range(rounds):
+        for turn in (0, 1, None):
+            if turn is None:
+                old = state.select(F.col("epoch").alias("_before"), "user_id", F.col("community").alias("old"))
+                new = state.join(before, "epoch").join(old, ["_before", "user_id"], "left").select("epoch", "user_id", F.coalesce("old", "community").alias("community"))
+            else:
+                new = _moves(pairs, state, degree, turn, few)
+            new = materialised(new)
+            q = held.join(modularity(pairs, new).withColumnRenamed("q", "new"), "epoch")
+            held = materialised(q.select("epoch", F.greatest("q", "new").alias("q"), (F.col("new") > F.col("q")).alias("better")))
+            better = F.broadcast(held.where("better").select("epoch"))  # a row an epoch
+            state = materialised(new.join(better, "epoch", "left_semi").unionByName(state.join(better, "epoch", "left_anti")))
+            held = held.select("epoch", "q")
+    return state
+
+
 def community_deviation(events: DataFrame, pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """(record_id, peer_community_deviation): the share of the user's community, itself left out, that wasn't
     on the event's device, by pairs and membership of the event's epoch (its day); 0 for users alone."""

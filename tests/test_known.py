@@ -205,6 +205,51 @@ def test_epoch_communities_find_the_cliques(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 20}
 
 
+def plain_modularity(pairs, label):
+    """By all pairs of users, weighted by their shared devices."""
+    on = {}
+    for u, d in pairs:
+        on.setdefault(d, set()).add(u)
+    w = {}
+    for us in on.values():
+        for a in us:
+            for b in us - {a}:
+                w[a, b] = w.get((a, b), 0) + 1
+    m2, degree = sum(w.values()), {}
+    for (a, _), n in w.items():
+        degree[a] = degree.get(a, 0) + n
+    total = {}
+    for u, k in degree.items():
+        total[label[u]] = total.get(label[u], 0) + k
+    return sum(n for (a, b), n in w.items() if label[a] == label[b]) / m2 - sum((k / m2) ** 2 for k in total.values()) if m2 else 0.0
+
+
+def test_communities_by_modularity(spark):
+    """Planted groups and a terminal that all use: found whole, of a modularity that plain pairs confirm, at least propagation's."""
+    rng, rows = random.Random(4), []
+    for epoch in range(3):
+        for u in range(60):
+            rows += {(epoch, u, f"g{u // 10}-{rng.randrange(6)}") for _ in range(4)} | {(epoch, u, "kiosk")} | ({(epoch, u, f"g{rng.randrange(6)}-0")} if rng.random() < 0.2 else set())
+    pairs = spark.createDataFrame(sorted(set(rows)), "epoch long, user_id long, device_id string")
+    state = graph.epoch_communities(pairs, rounds=3)
+    old = graph.propagated(pairs)
+    found, first = ({r.epoch: r.q for r in graph.modularity(pairs, s).collect()} for s in (state, old))
+    for epoch in range(3):
+        label = {r.user_id: r.community for r in state.where(F.col("epoch") == epoch).collect()}
+        assert len(label) == 60
+        assert found[epoch] == pytest.approx(plain_modularity([(u, d) for e, u, d in set(rows) if e == epoch], label))
+        planted = plain_modularity([(u, d) for e, u, d in set(rows) if e == epoch], {u: u // 10 for u in range(60)})
+        assert found[epoch] >= first[epoch] and found[epoch] >= 0.85 * planted
+
+
+def test_communities_of_the_log_beat_propagation(spark):
+    log = Log(spark, DATA)
+    pairs = graph.live_pairs(log.events, 7)
+    q = graph.modularity(pairs, graph.epoch_communities(pairs)).join(graph.modularity(pairs, graph.propagated(pairs)).withColumnRenamed("q", "p"), "epoch")
+    rows = q.collect()
+    assert len(rows) > 20 and all(r.q >= r.p for r in rows) and any(r.q > r.p for r in rows)
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((6000, 4))
