@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authspan.functions import columns as C
-from authspan.operators.graph import _with_home
+from authspan.operators.graph import with_home
 
 FAILED = "auth_result = 'failure'"
 
@@ -51,7 +51,7 @@ def impossible_travel(events: DataFrame, least_min: float = 5, most_min: float =
 
 def credential_misuse(events: DataFrame, users: DataFrame, home: DataFrame) -> DataFrame:
     """Successful logins that reach a resource both outside the department and above the user's privilege."""
-    e = _with_home(events.where("auth_result = 'success'"), users, home).join(users.select("user_id", "privilege_level"), "user_id")
+    e = with_home(events.where("auth_result = 'success'"), users, home).join(users.select("user_id", "privilege_level"), "user_id")
     needed = C.lookup(C.LEAST_PRIVILEGE, F.col("resource_accessed"))
     above = C.privilege_rank(needed) > C.privilege_rank(F.col("privilege_level"))
     return e.where("foreign").where(above).select("record_id", "user_id", "resource_accessed", "privilege_level", needed.alias("needs"))
@@ -59,7 +59,7 @@ def credential_misuse(events: DataFrame, users: DataFrame, home: DataFrame) -> D
 
 def lateral_movement(events: DataFrame, users: DataFrame, home: DataFrame, resources: int = 2, least_s: float = 2, most_s: float = 20) -> DataFrame:
     """Sessions over several foreign resources in quick hops, never to a lower value tier."""
-    e = _with_home(events.where("resource_accessed is not null"), users, home).where("foreign")
+    e = with_home(events.where("resource_accessed is not null"), users, home).where("foreign")
     tier = C.lookup(C.TIERS, F.col("resource_accessed"))
     step = F.struct(F.unix_micros("ts").alias("t"), "record_id", tier.alias("tier"), F.col("resource_accessed").alias("res"))
     s = e.groupBy("user_id", "session_id").agg(F.sort_array(F.collect_list(step)).alias("steps"))  # one session's events

@@ -47,7 +47,8 @@ def device_set_delta(events: DataFrame) -> DataFrame:
     return e.select("record_id", delta.alias("user_device_set_delta"))
 
 
-def _with_home(events: DataFrame, users: DataFrame, home: DataFrame) -> DataFrame:
+def with_home(events: DataFrame, users: DataFrame, home: DataFrame) -> DataFrame:
+    """events with the user's department, its home resources, and whether the event's resource is foreign to it."""
     known = users.select("user_id", "department").join(home, "department", "left")
     e = events.join(known, "user_id", "left")
     foreign = F.col("department").isNotNull() & F.col("resource_accessed").isNotNull() & ~F.array_contains(F.coalesce("resources", F.array(F.lit("email"), F.lit("vpn"))), F.col("resource_accessed"))
@@ -56,7 +57,7 @@ def _with_home(events: DataFrame, users: DataFrame, home: DataFrame) -> DataFram
 
 def session_features(events: DataFrame, users: DataFrame, home: DataFrame) -> DataFrame:
     """record_id, session_foreign_resource_count, session_hop_seconds; one shuffle by session."""
-    e = C.in_order(_with_home(events, users, home), "session_id")
+    e = C.in_order(with_home(events, users, home), "session_id")
     past = C.ever_before("session_id")
     last = F.last(F.when(F.col("resource_accessed").isNotNull(), F.unix_micros("ts")), ignorenulls=True).over(past)
     count = F.size(F.collect_set(F.when(F.col("foreign"), F.col("resource_accessed"))).over(past))

@@ -1,12 +1,15 @@
 """Streams give what the batch operators give, also after a restart."""
 
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from authspan.operators import detectors
 from authspan.sources.adapter import Log
 from authspan.operators import behaviour, graph
-from authspan.streaming import alerts, features
+from authspan.streaming import alerts, entities, features
 
 DATA = "/root/testdata/sf0.001"
 
@@ -58,3 +61,47 @@ def test_stream_behaviour_equals_batch(spark, tmp_path):
     names = sorted(want.columns)
     got = spark.read.parquet(f"{tmp_path}/out").select(names).toPandas().sort_values("record_id").reset_index(drop=True)
     assert np.allclose(got[names], want.select(names).toPandas().sort_values("record_id").reset_index(drop=True)[names], atol=1e-9)
+
+
+FAMILIES = {
+    "devices": (lambda e, log: entities.stream_devices(e, 7), lambda log: graph.device_features(log.events, 7)),
+    "sessions": (lambda e, log: entities.stream_sessions(e, log.users, log.home), lambda log: graph.session_features(log.events, log.users, log.home)),
+    "departments": (
+        lambda e, log: entities.stream_departments(e, log.users, 7),
+        lambda log: behaviour.peer_deviation(log.events, log.users).join(graph.access_chain_distance(log.events, log.users, 7), "record_id"),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FAMILIES))
+def test_family_equals_batch_after_a_kill(spark, tmp_path, name):
+    """The stream is stopped between batches, and another goes on from its checkpoint."""
+    log, (stream, batch) = Log(spark, DATA), FAMILIES[name]
+    source = in_files(spark, tmp_path)
+    writer = stream(source, log).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").outputMode("append")
+    query = writer.start()
+    while query.isActive and not any(p.batchId >= 0 and p.numInputRows for p in query.recentProgress):
+        time.sleep(0.2)
+    query.stop()
+    assert query.exception() is None
+    before = spark.read.parquet(f"{tmp_path}/out").count()
+    alerts.run_available(stream(source, log), f"{tmp_path}/out", f"{tmp_path}/check")
+    want = batch(log)
+    names = ["record_id", *(c for c in want.columns if c != "record_id")]
+    got = spark.read.parquet(f"{tmp_path}/out").select(names).toPandas().sort_values("record_id").reset_index(drop=True)
+    assert 0 < before <= len(got)
+    want = want.select(names).toPandas().sort_values("record_id").reset_index(drop=True)
+    assert len(got) == len(want) and np.allclose(got, want, atol=1e-9)
+
+
+def test_graph_features_by_batches(spark, tmp_path):
+    log = Log(spark, DATA)
+    sink = entities.GraphFeatures(spark, f"{tmp_path}/g", 5)
+    in_files(spark, tmp_path, 2).writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start().awaitTermination()
+    got = {r.record_id: r for r in sink.features().collect()}
+    want = {r.record_id: r.is_new_edge for r in graph.new_edge(log.events, 5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i].is_new_edge - v) < 1e-9 for i, v in want.items())
+    assert all(0 <= r.peer_community_deviation <= 1 for r in got.values())
+    again = log.events.where("dayofyear(ts) > 15")
+    sink(again, 1)  # a replayed batch replaces what it wrote
+    assert sink.features().count() == len(got)
