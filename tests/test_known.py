@@ -86,8 +86,8 @@ def test_classifier_boosted_and_out_of_fold(spark):
     rows = spark.createDataFrame([(i, float(i % 2), float(i % 2) + (i % 5) / 100) for i in range(60)], "record_id long, label double, x double")
     oof = learn.out_of_fold(rows, ["x"], folds=2, rounds=3, depth=2)
     assert oof.count() == 60 and oof.where("score < 0 or score > 1").isEmpty()
-    boosted = learn.train_boosted(rows, ["x"], rounds=2, depth=2)
-    assert boosted.transform(learn.with_vector(rows, ["x"])).where("prediction <> label").isEmpty()
+    boosted = learn.boosted_scores(learn.train_boosted(rows, ["x"], rounds=2, depth=2), rows).join(rows, "record_id")
+    assert boosted.where("predicted_class <> case label when 0 then 'benign' else 'brute_force' end").isEmpty() and boosted.count() == 60
 
 
 def test_adwin_finds_the_step(spark):
