@@ -19,12 +19,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authspan.llm.common import packed
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 #: Stands for a U+2581 of the text; no piece has it.
@@ -299,6 +297,30 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def _rest(df: DataFrame, *names: str) -> Column:
+    """The other columns as one struct, so that no name of theirs can clash."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return F.struct(*(others or [F.lit(0).alias("nothing")])).alias("_row")
+
+
+def _restored(out: DataFrame, columns: list[str], **own: str) -> list[Column]:
+    """Columns by name, from those of out where own says so, else from _row."""
+    return [F.col(own[c]).alias(c) if c in own else F.col("_row").getField(c).alias(c) for c in columns]
+
+
+def _encoded(part: pa.RecordBatch, rules: SampleRules) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """Ids of a batch of (row, key, text), as lists, flat, and how many each text has."""
+    held = part.column(2)
+    keys = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+    with np.errstate(over="ignore"):
+        ids, counts = encode_texts(["" if t is None else t for t in held.to_pylist()], keys, rules)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.append(np.array(held.is_null()), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), ids, counts
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
 def encode(docs: DataFrame, rules: SampleRules = SampleRules(), into: str = "piece_ids") -> DataFrame:
     """docs with the column into (array<int>): a sampled segmentation of text, seeded by doc_id.
 
@@ -306,24 +328,17 @@ def encode(docs: DataFrame, rules: SampleRules = SampleRules(), into: str = "pie
     texts are encoded whole. An existing column of into's name is replaced; all others pass, whatever their names.
     """
     named = [c for c in docs.columns if c != into]
-    keyed = packed(docs, _key=F.xxhash64("doc_id"), _text=F.col("text").cast("string"))
-    schema = T.StructType([keyed.schema["_row"], T.StructField(into, T.ArrayType(T.IntegerType()))])
+    keyed = docs.select(_rest(docs, "text", into), F.xxhash64("doc_id").alias("_key"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([keyed.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_ids", IDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column(2)), 0).to_pylist()
-            for a, b in _runs(sizes):
+            for a, b in _runs(pa.compute.fill_null(pa.compute.utf8_length(batch.column(2)), 0).to_pylist()):
                 part = batch.slice(a, b - a)
-                held = part.column(2)
-                keys = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-                with np.errstate(over="ignore"):
-                    ids, counts = encode_texts(["" if t is None else t for t in held.to_pylist()], keys, rules)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.append(np.array(held.is_null()), False))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _encoded(part, rules)[0]], schema.names)
 
     out = keyed.mapInArrow(run, schema)
-    return out.select(*(F.col("_row").getField(c).alias(c) for c in named), into)
+    return out.select(*_restored(out, named, text="_text"), F.col("_ids").alias(into))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
@@ -332,8 +347,8 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "piece_ids", into:
     An existing column of into's name is replaced; all others pass, whatever their names.
     """
     named = [c for c in encoded.columns if c != into]
-    keyed = packed(encoded, _ids=F.col(ids))
-    schema = T.StructType([keyed.schema["_row"], T.StructField(into, T.StringType())])
+    keyed = encoded.select(_rest(encoded, ids, into), F.col(ids).alias("_ids"))
+    schema = T.StructType([*keyed.schema, T.StructField("_decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,22 +356,31 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "piece_ids", into:
             for a, b in _runs(sizes):
                 part = batch.slice(a, b - a)
                 lists = part.column(1)
-                counts = np.array(sizes[a:b], dtype=np.int64)
-                texts = decode_ids(lists.flatten().to_numpy(zero_copy_only=False), counts, model)
+                texts = decode_ids(lists.flatten().to_numpy(zero_copy_only=False), np.array(sizes[a:b], dtype=np.int64), model)
                 texts = pa.array(texts, pa.string(), mask=np.array(lists.is_null()))
-                yield pa.RecordBatch.from_arrays([part.column(0), texts], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], schema.names)
 
     out = keyed.mapInArrow(run, schema)
-    return out.select(*(F.col("_row").getField(c).alias(c) for c in named), into)
+    return out.select(*_restored(out, named, **{ids: "_ids"}), F.col("_decoded").alias(into))
 
 
 def segmented(docs: DataFrame, rules: SampleRules = SampleRules()) -> DataFrame:
     """docs with text as decoded from its sampled ids, and these ids as a last column: piece_ids, or where docs
-    has a column of that name, which stays, the name with underscores until it is new."""
-    free = lambda name: next(n for k in range(len(docs.columns) + 1) if (n := name + "_" * k) not in docs.columns)
-    ids, decoded = free("piece_ids"), free("decoded")
-    out = decode(encode(docs, rules, ids), rules.model, ids, decoded)
-    return out.select(*(F.col(decoded).alias(c) if c == "text" else c for c in docs.columns), ids)
+    has a column of that name, which stays, the name with underscores until it is new. Texts pass one worker once."""
+    name = next(n for k in range(len(docs.columns) + 1) if (n := "piece_ids" + "_" * k) not in docs.columns)
+    keyed = docs.select(_rest(docs, "text"), F.xxhash64("doc_id").alias("_key"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([keyed.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_ids", IDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _runs(pa.compute.fill_null(pa.compute.utf8_length(batch.column(2)), 0).to_pylist()):
+                part = batch.slice(a, b - a)
+                lists, ids, counts = _encoded(part, rules)
+                texts = pa.array(decode_ids(ids, counts, rules.model), pa.string(), mask=np.array(part.column(2).is_null()))
+                yield pa.RecordBatch.from_arrays([part.column(0), texts, lists], schema.names)
+
+    out = keyed.mapInArrow(run, schema)
+    return out.select(*_restored(out, docs.columns, text="_text"), F.col("_ids").alias(name))
 
 
 def digest(docs: DataFrame, rules: SampleRules = SampleRules()) -> DataFrame:
