@@ -170,3 +170,31 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     """df with its 0-based place in the total order, whose columns together are unique."""
     out = running(df.withColumn("_one", F.lit(1)), [], [F.col(c) for c in order], {"_n": "_one"})
     return out.withColumn(name, F.col("_n") - 1).drop("_one", "_n")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, name of each share): exact quantiles, linear between neighbours; nulls are left out.
+
+    Equal values are counted, counts are summed along the order by ranges (running), and the two values at a share's
+    place are the least ones whose sums reach it: partial minima, so that no task holds a group's values.
+    """
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    summed = running(per, by, [F.col("_v")], {"_upto": "_c"})
+    totals = summed.groupBy(*by).agg(F.sum("_c").alias("_n")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    summed = summed.join(F.broadcast(totals) if not by else totals, same)
+    place = lambda share: (F.col("_n") - 1) * share
+    at = lambda k: F.min(F.when(F.col("_upto") >= k + 1, F.col("_v")))
+    ends = [x.alias(f"_{i}{e}") for i, s in enumerate(shares.values()) for e, x in (("a", at(F.floor(place(s)))), ("b", at(F.ceil(place(s)))))]
+    out = summed.groupBy(*by).agg(F.first("_n").alias("_n"), *ends)
+    part = lambda s: place(s) - F.floor(place(s))
+    return out.select(*by, *(((1 - part(s)) * F.col(f"_{i}a") + part(s) * F.col(f"_{i}b")).alias(n) for i, (n, s) in enumerate(shares.items())))
+
+
+def medians(rows: DataFrame, by: list[str], names: list[str], prefix: str) -> DataFrame:
+    """(by, prefix + name): the exact median of each named column; one row without by, even of no rows."""
+    long = rows.select(*by, *(F.col(n).cast("double").alias(n) for n in names)).unpivot(by or [], names, "_name", "_value")
+    mid = quantiles(long, [*by, "_name"], "_value", {"_mid": 0.5})
+    return mid.groupBy(*by).pivot("_name", names).agg(F.first("_mid")).withColumnsRenamed({n: prefix + n for n in names}) if by else mid.agg(*(F.min(F.when(F.col("_name") == n, F.col("_mid"))).alias(prefix + n) for n in names))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authspan.functions import columns as C
+from authspan.sources.scratch import materialised
 
 
 def chronological_split(events: DataFrame, share: float = 0.7) -> DataFrame:
@@ -69,11 +75,11 @@ def precision_recall(rows: DataFrame) -> DataFrame:
 
 
 def operating_threshold(train: DataFrame, share: float = 0.99) -> DataFrame:
-    return train.agg(F.percentile("score", share).alias("threshold"))
+    return C.quantiles(train, [], "score", {"threshold": share})
 
 
 def threshold_range(train: DataFrame) -> DataFrame:
-    return train.agg(F.percentile("score", F.array(F.lit(0.9), F.lit(0.999))).alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    return C.quantiles(train, [], "score", {"low": 0.9, "high": 0.999})
 
 
 def false_positives_per_day(rows: DataFrame) -> DataFrame:
@@ -133,39 +139,112 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return b.join(F.broadcast(brier))
 
 
-def _poisson(*key: Column, seed: int) -> Column:
-    """A Poisson(1) draw that depends on the key alone."""
-    u = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) / float(1 << 53)
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(9):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: u >= s))
+# The primes of XXH64.
+P1, P2, P3, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hashed(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxhash64 of 32-bit values, as Spark chains it on after seed."""
+    rotated = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = (seed + P5 + np.uint64(4)) ^ (value.astype(np.uint64) * P1)
+    h = rotated(h, 23) * P2 + P3
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def draws(key: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """(rows, resamples) Poisson(1) weights that depend on a row's key, xxhash64 of its record_id, alone."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    out = np.zeros((len(key), resamples), dtype=np.uint8)
+    for a in range(0, len(key), 4096):
+        with np.errstate(over="ignore"):
+            h = _hashed(np.arange(1, resamples + 1), key[a : a + 4096].view(np.uint64)[:, None])
+            h = _hashed(np.full(1, seed), h)
+        out[a : a + 4096] = np.searchsorted(steps, (h >> np.uint64(11)).astype(np.float64) / float(1 << 53), side="right")
+    return out
 
 
-def resampled(rows: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap: (resample, score..., weight) rows with weight > 0; the same weights for every score of a record."""
-    out = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    return out.withColumn("weight", _poisson(F.col("record_id"), F.col("resample"), seed=seed)).where("weight > 0")
+def resampled_sums(rows: DataFrame, resamples: int, seed: int, **kinds: Column) -> DataFrame:
+    """(resample, a column for each kind): the weight of the rows of that kind in each resample, a batch's rows summed where they are."""
+    slim = rows.select(F.xxhash64("record_id").alias("_key"), *(k.alias(c) for c, k in kinds.items()))
+    names = list(kinds)
 
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = draws(b["_key"].to_numpy(), resamples, seed)
+            yield pd.DataFrame({"resample": np.arange(1, resamples + 1)} | {c: w[b[c].to_numpy(dtype=bool)].sum(axis=0, dtype=np.int64) for c in names})
 
-def weighted_ranks(rows: DataFrame, score: str, *by: str) -> DataFrame:
-    """(by, ap, auc): average precision and area under the curve of weighted rows; groups with one class are left out."""
-    per = rows.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col("is_attack"), F.col("weight")).otherwise(0)).alias("p"), F.sum(F.when(F.col("is_attack"), 0).otherwise(F.col("weight"))).alias("n"))
-    per = C.running(per, list(by), [F.col("s").desc()], {"tp": "p", "fp": "n"})
-    hit = F.sum(F.try_divide(F.col("p") * F.col("tp"), F.col("tp") + F.col("fp")))
-    out = per.groupBy(*by).agg(hit.alias("ap"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("auc"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).where("all_p > 0 and all_n > 0")
-    return out.select(*by, (F.col("ap") / F.col("all_p")).alias("ap"), (F.col("auc") / F.col("all_p") / F.col("all_n")).alias("auc"))
+    schema = "resample int" + "".join(f", {c} long" for c in kinds)
+    return slim.mapInPandas(summed, schema).groupBy("resample").agg(*(F.sum(c).alias(c) for c in kinds))
+
+
+def resampled_ranks(rows: DataFrame, score: str, resamples: int = 300, seed: int = 42) -> DataFrame:
+    """(resample, ap, auc): Poisson bootstrap of average precision and area under the curve; resamples with one class are left out.
+
+    Rows are dealt by ranges of the score, downwards, once; a row's weights in all resamples are a vector made where it
+    is needed. Ranges start from vector sums of those before. Scores inside a range add to its two vectors of sums; the
+    first and last score of a range, which neighbours may share, are put together after. Between tasks go a few
+    vectors a range, whatever the rows.
+    """
+    slim = rows.select(F.col(score).cast("double").alias("s"), F.col("is_attack").alias("y"), F.xxhash64("record_id").alias("k"))
+    held = materialised(slim.repartitionByRange(F.col("s").desc(), "k").withColumn("part", F.spark_partition_id()))
+
+    def range_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, own in b.groupby("part"):
+                w, y = draws(own["k"].to_numpy(), resamples, seed), own["y"].to_numpy(dtype=bool)
+                yield pd.DataFrame({"part": part, "resample": np.arange(1, resamples + 1), "p": w[y].sum(axis=0, dtype=np.int64), "n": w[~y].sum(axis=0, dtype=np.int64)})
+
+    sums = held.mapInPandas(range_sums, "part int, resample int, p long, n long").groupBy("part", "resample").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = materialised(sums)
+    past = Window.partitionBy("resample").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = sums.select("part", "resample", *(F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in ("p", "n")))
+
+    def ranked(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        """Long rows: the inner sums (score null), and each edge score with what lies before it and its own weights."""
+        start = start.sort_values("resample")
+        tp, fp = start["p"].to_numpy(dtype=float), start["n"].to_numpy(dtype=float)
+        rows = rows.sort_values("s", ascending=False, kind="stable")
+        cuts = np.flatnonzero(np.diff(rows["s"].to_numpy())) + 1
+        groups = np.split(np.arange(len(rows)), cuts)
+        y, key = rows["y"].to_numpy(dtype=bool), rows["k"].to_numpy()
+        ap, auc, out = np.zeros(resamples), np.zeros(resamples), []
+        frame = lambda s, **v: pd.DataFrame({"part": int(rows["part"].iloc[0]), "s": np.full(resamples, s), "resample": np.arange(1, resamples + 1)} | v)
+        block = np.array([len(g) for g in groups]).cumsum() >> 12  # weights of some thousand rows at a time
+        for b in np.unique(block):
+            some = [groups[i] for i in np.flatnonzero(block == b)]
+            at = np.concatenate(some)
+            w = draws(key[at], resamples, seed)
+            edges = np.cumsum([0, *(len(g) for g in some)])[:-1]
+            p, n = (np.add.reduceat(w * kind[at, None], edges, axis=0, dtype=np.int64) for kind in (y, ~y))
+            after_p, after_n = tp + p.cumsum(axis=0), fp + n.cumsum(axis=0)
+            inner = np.ones(len(some), dtype=bool)
+            for i, g in enumerate(some):
+                if g[0] == 0 or g[-1] == len(rows) - 1:
+                    inner[i] = False
+                    out.append(frame(rows["s"].iloc[g[0]], tp=after_p[i] - p[i], fp=after_n[i] - n[i], p=p[i], n=n[i], ap=0.0, auc=0.0))
+            said = after_p[inner] + after_n[inner]
+            ap += (p[inner] * np.divide(after_p[inner], said, out=np.zeros_like(said), where=said > 0)).sum(axis=0)
+            auc += (n[inner] * (after_p[inner] - p[inner] / 2)).sum(axis=0)
+            tp, fp = after_p[-1], after_n[-1]
+        out.append(frame(np.nan, tp=0.0, fp=0.0, p=0.0, n=0.0, ap=ap, auc=auc))
+        return pd.concat(out)
+
+    kind = "part int, s double, resample int, tp double, fp double, p double, n double, ap double, auc double"
+    found = materialised(held.groupBy("part").cogroup(starts.groupBy("part")).applyInPandas(ranked, kind))
+    edge = found.where("s is not null").groupBy("s", "resample").agg(F.min_by("tp", "part").alias("tp"), F.min_by("fp", "part").alias("fp"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    edge = edge.select("resample", F.coalesce(F.try_divide(F.col("p") * (F.col("tp") + F.col("p")), F.col("tp") + F.col("p") + F.col("fp") + F.col("n")), F.lit(0.0)).alias("ap"), (F.col("n") * (F.col("tp") + F.col("p") / 2)).alias("auc"))
+    both = edge.unionByName(found.where("s is null").select("resample", "ap", "auc")).groupBy("resample").agg(F.sum("ap").alias("ap"), F.sum("auc").alias("auc"))
+    everything = sums.groupBy("resample").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).where("all_p > 0 and all_n > 0")
+    return both.join(everything, "resample").select("resample", (F.col("ap") / F.col("all_p")).alias("ap"), (F.col("auc") / F.col("all_p") / F.col("all_n")).alias("auc"))
 
 
 def bootstrap_ci(rows: DataFrame, resamples: int = 300, seed: int = 42) -> DataFrame:
     """Percentile interval of average precision, area under the curve, and recall, precision and f1 at pred."""
-    r = resampled(rows, resamples, seed)
-    w = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0)).alias
     y, h = F.col("is_attack"), F.col("pred")
-    at = r.groupBy("resample").agg(w(y & h)("tp"), w(~y & h)("fp"), w(y & ~h)("fn"), w(~y & ~h)("tn")).where("tp + fn > 0 and fp + tn > 0")
-    at = at.join(weighted_ranks(r, "score", "resample"), "resample")
+    at = resampled_sums(rows, resamples, seed, tp=y & h, fp=~y & h, fn=y & ~h, tn=~y & ~h).where("tp + fn > 0 and fp + tn > 0")
+    at = at.join(resampled_ranks(rows, "score", resamples, seed), "resample")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     at = at.select("ap", F.col("auc").alias("roc_auc"), _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
     long = at.unpivot([], ["ap", "roc_auc", "precision", "recall", "f1"], "metric", "value")
@@ -173,9 +252,9 @@ def bootstrap_ci(rows: DataFrame, resamples: int = 300, seed: int = 42) -> DataF
 
 
 def paired_bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 300, seed: int = 42) -> DataFrame:
-    """Average precision of score column a less that of b: interval and two-sided p."""
-    r = resampled(rows, resamples, seed)
-    d = weighted_ranks(r, a, "resample").join(weighted_ranks(r, b, "resample").withColumnRenamed("ap", "ap_b"), "resample").select((F.col("ap") - F.col("ap_b")).alias("d"))
+    """Average precision of score column a less that of b: interval and two-sided p. A record weighs the same for both."""
+    both = resampled_ranks(rows, a, resamples, seed).join(resampled_ranks(rows, b, resamples, seed).select("resample", F.col("ap").alias("ap_b")), "resample")
+    d = both.select((F.col("ap") - F.col("ap_b")).alias("d"))
     share = lambda c: F.avg(c.cast("double"))
     p = F.least(F.lit(1.0), 2 * F.least(share(F.col("d") <= 0), share(F.col("d") >= 0)))
     return d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.5).alias("mid"), F.percentile("d", 0.975).alias("high"), p.alias("p_value"))
@@ -192,7 +271,7 @@ def noisy(features: DataFrame, names: list[str], train: DataFrame, share: float,
 
 def ablated(features: DataFrame, names: list[str], train: DataFrame) -> DataFrame:
     """features with the named columns at their train medians."""
-    mid = train.agg(*(F.percentile(n, 0.5).alias(f"_m_{n}") for n in names))
+    mid = C.medians(train, [], names, "_m_")
     return features.join(F.broadcast(mid)).withColumns({n: F.col(f"_m_{n}") for n in names}).select(features.columns)
 
 

@@ -336,7 +336,7 @@ def all_features(events: DataFrame, users: DataFrame, home: DataFrame, days: flo
 def cold_start_priors(features: DataFrame, events: DataFrame, users: DataFrame, names: list[str]) -> DataFrame:
     """(department, prior_<feature>...): medians over the rows given, which should be train rows."""
     rows = features.join(events.select("record_id", "user_id"), "record_id").join(users.select("user_id", "department"), "user_id")
-    return rows.groupBy("department").agg(*(F.percentile(n, 0.5).alias(f"prior_{n}") for n in names))
+    return C.medians(rows, ["department"], names, "prior_")
 
 
 def apply_priors(features: DataFrame, events: DataFrame, users: DataFrame, priors: DataFrame, names: list[str], days: int = 14) -> DataFrame:
