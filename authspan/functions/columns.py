@@ -190,7 +190,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     ends = [x.alias(f"_{i}{e}") for i, s in enumerate(shares.values()) for e, x in (("a", at(F.floor(place(s)))), ("b", at(F.ceil(place(s)))))]
     out = summed.groupBy(*by).agg(F.first("_n").alias("_n"), *ends)
     part = lambda s: place(s) - F.floor(place(s))
-    return out.select(*by, *(((1 - part(s)) * F.col(f"_{i}a") + part(s) * F.col(f"_{i}b")).alias(n) for i, (n, s) in enumerate(shares.items())))
+    return out.select(*by, *((F.col(f"_{i}a") + part(s) * (F.col(f"_{i}b") - F.col(f"_{i}a"))).alias(n) for i, (n, s) in enumerate(shares.items())))
 
 
 def medians(rows: DataFrame, by: list[str], names: list[str], prefix: str) -> DataFrame:

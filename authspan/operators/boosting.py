@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from authspan.sources.scratch import dropped, materialised
 
@@ -165,10 +166,10 @@ def fit(rows: DataFrame, names: list[str], classes: int, label: str = "label", w
     return Boosted(list(names), cuts, classes, rules.depth, trees)
 
 
-def probabilities(model: Boosted, rows: DataFrame, fold: str | None = None) -> DataFrame:
-    """(record_id, p: array of the classes' probabilities), with fold by the model that didn't learn from the row's fold."""
-    slim = rows.select("record_id", F.array(*(F.col(n).cast("double") for n in model.names)).alias("x"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("k"))
-    kind = rows.select("record_id").schema["record_id"].dataType.simpleString()
+def probabilities(model: Boosted, rows: DataFrame, fold: str | None = None, keys: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """(keys, p: array of the classes' probabilities), with fold by the model that didn't learn from the row's fold."""
+    slim = rows.select(*keys, F.array(*(F.col(n).cast("double") for n in model.names)).alias("x"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("k"))
+    schema = slim.select(*keys).schema.add("p", T.ArrayType(T.DoubleType()))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -180,6 +181,6 @@ def probabilities(model: Boosted, rows: DataFrame, fold: str | None = None) -> D
                     for c, tree in enumerate(trees):
                         m[at, c] += tree[2][walked(tree, x[at], model.depth)]
             e = np.exp(m - m.max(axis=1, keepdims=True))
-            yield pd.DataFrame({"record_id": b["record_id"], "p": list(e / e.sum(axis=1, keepdims=True))})
+            yield b[list(keys)].assign(p=list(e / e.sum(axis=1, keepdims=True)))
 
-    return slim.mapInPandas(scored, f"record_id {kind}, p array<double>")
+    return slim.mapInPandas(scored, schema)

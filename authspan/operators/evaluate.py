@@ -260,19 +260,61 @@ def paired_bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 300, seed
     return d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.5).alias("mid"), F.percentile("d", 0.975).alias("high"), p.alias("p_value"))
 
 
-def noisy(features: DataFrame, names: list[str], train: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """features plus seeded Gaussian noise of share standard deviations of train; constant ones untouched."""
-    std = train.agg(*(F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias(f"_s_{n}") for n in names))
+# The families of features, the levels of noise, and the features left out one by one.
+BEHAVIOUR = ("velocity_kmh", "geo_distance_from_home_km", "login_location_entropy", "device_switch_rate", "failed_login_ratio", "ema_failure_rate", "peer_group_deviation")
+GRAPH = ("device_fan_in", "is_new_edge", "user_device_set_delta", "access_chain_distance", "device_fingerprint_mismatch", "peer_community_deviation")
+SESSION = ("session_foreign_resource_count", "session_hop_seconds")
+NOISE = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0)
+KEY_FEATURES = ("ema_failure_rate", "failed_login_ratio", "access_chain_distance", "peer_group_deviation", "device_fingerprint_mismatch", "geo_distance_from_home_km", "session_foreign_resource_count", "session_hop_seconds")
+
+#: (name, noise as a share of a feature's deviation, features left out)
+Scenario = tuple[str, float, tuple[str, ...]]
+
+
+def stress_scenarios() -> list[Scenario]:
+    """Six levels of noise on all features, each of two families left out, and each of eight features."""
+    grid: list[Scenario] = [(f"noise {x:g}", x, ()) for x in NOISE]
+    grid += [("without behaviour", 0.0, BEHAVIOUR), ("without graph", 0.0, GRAPH)]
+    return grid + [(f"without {n}", 0.0, (n,)) for n in KEY_FEATURES]
+
+
+def stressed(features: DataFrame, names: list[str], train: DataFrame, scenarios: list[Scenario], seed: int = 42) -> DataFrame:
+    """features with scenario, once for each: noise in sample deviations of train, left-out features at train's medians.
+
+    The scenarios are a small table in the plan. Draws depend on record_id, feature and seed, so levels of noise scale one
+    draw. Features that don't vary in train stay as they are.
+    """
+    table = F.array(*(F.struct(F.lit(s).alias("scenario"), F.lit(float(x)).alias("noise"), F.array(*map(F.lit, out)).cast("array<string>").alias("out")) for s, x, out in scenarios))
+    std = train.agg(*(F.coalesce(F.stddev_samp(n), F.lit(0.0)).alias(f"_s_{n}") for n in names))
+    fitted = C.medians(train, [], names, "_m_").join(F.broadcast(std))  # one row
     u = lambda n, k: (F.shiftrightunsigned(F.xxhash64("record_id", F.lit(n), F.lit(seed + k)), 11) + 1) / float((1 << 53) + 1)
     draw = lambda n: F.sqrt(-2 * F.ln(u(n, 0))) * F.cos(2 * F.pi() * u(n, 1))
-    out = features.join(F.broadcast(std))
-    return out.withColumns({n: F.col(n) + draw(n) * share * F.col(f"_s_{n}") for n in names}).select(features.columns)
+    rows = features.withColumn("_case", F.explode(table)).join(F.broadcast(fitted))
+    value = lambda n: F.when(F.array_contains("_case.out", n), F.col(f"_m_{n}")).when(F.col("_case.noise") > 0, F.col(n) + draw(n) * F.col("_case.noise") * F.col(f"_s_{n}")).otherwise(F.col(n))
+    rest = [c for c in features.columns if c not in names]
+    return rows.select(F.col("_case.scenario").alias("scenario"), *rest, *(value(n).alias(n) for n in names))
+
+
+def stress_report(scored: DataFrame, threshold: DataFrame) -> DataFrame:
+    """A row per scenario of (scenario, record_id, is_attack, score): rates at the threshold, average precision, Brier score and calibration error."""
+    rows = materialised(scored.join(F.broadcast(threshold)).withColumn("pred", F.col("score") >= F.col("threshold")))
+    rates = binary_metrics(rows, "scenario").select("scenario", "precision", "recall", "f1")
+    ranks = ranked_metrics(rows, "scenario").select("scenario", F.col("average_precision").alias("pr_auc"))
+    place = F.least(F.lit(9), F.greatest(F.lit(0), F.ceil(F.col("score") * 10).cast("int") - 1))
+    y = F.col("is_attack").cast("double")
+    cells = rows.groupBy("scenario", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("said"), F.avg(y).alias("rate"), F.sum(F.pow(F.col("score") - y, F.lit(2.0))).alias("squares"))
+    calibration = cells.groupBy("scenario").agg((F.sum("squares") / F.sum("n")).alias("brier"), (F.sum(F.col("n") * F.abs(F.col("said") - F.col("rate"))) / F.sum("n")).alias("ece"))
+    return rates.join(ranks, "scenario").join(calibration, "scenario")
+
+
+def noisy(features: DataFrame, names: list[str], train: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """features plus seeded Gaussian noise of share sample deviations of train; constant ones untouched."""
+    return stressed(features, names, train, [("", share, ())], seed).select(features.columns)
 
 
 def ablated(features: DataFrame, names: list[str], train: DataFrame) -> DataFrame:
     """features with the named columns at their train medians."""
-    mid = C.medians(train, [], names, "_m_")
-    return features.join(F.broadcast(mid)).withColumns({n: F.col(f"_m_{n}") for n in names}).select(features.columns)
+    return stressed(features, names, train, [("", 0.0, tuple(names))]).select(features.columns)
 
 
 def comparison(metrics: DataFrame, ranked: DataFrame, digits: int = 4) -> DataFrame:

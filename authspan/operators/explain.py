@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authspan.functions.columns import global_rank, running
+from authspan.operators.evaluate import stressed
+from authspan.sources.scratch import materialised
 
 #: What each feature measures, for readers of an explanation. Windows end before the event.
 GLOSSARY = {
@@ -77,14 +79,31 @@ def contributions(features: DataFrame, names: list[str], medians: dict[str, floa
     return out
 
 
-def top_contributions(parts: DataFrame, k: int = 5) -> DataFrame:
-    """(record_id, top, sentence): the k largest by size, with what raised and what offset the score."""
+def class_contributions(features: DataFrame, names: list[str], train: DataFrame, classes: tuple[str, ...], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(record_id, predicted_class, feature, value, contribution): the probability of the predicted class less that with
+    the one feature at train's median, for each of names, from one scoring pass.
+
+    score: rows (record_id, scenario, names...) to (record_id, scenario, p: array over classes). Leave-one-feature-out
+    deltas, not Shapley values.
+    """
+    cases = [("", 0.0, ())] + [(n, 0.0, (n,)) for n in names]
+    scored = materialised(score(stressed(features.select("record_id", *names), names, train, cases)))
+    best = F.array_position("p", F.array_max("p")).cast("int") - 1
+    whole = scored.where("scenario = ''").select("record_id", best.alias("_c"), F.get("p", best).alias("_full"))
+    values = features.unpivot(["record_id"], names, "feature", "value")
+    without = scored.where("scenario <> ''").withColumnRenamed("scenario", "feature").join(whole, "record_id")
+    delta = F.col("_full") - F.get("p", F.col("_c"))
+    return without.join(values, ["record_id", "feature"]).select("record_id", F.get(F.array(*map(F.lit, classes)), F.col("_c")).alias("predicted_class"), "feature", "value", delta.alias("contribution"))
+
+
+def top_contributions(parts: DataFrame, k: int = 5, *by: str) -> DataFrame:
+    """(record_id, by, top, sentence): the k largest by size, ties by name, with what raised and what offset the score."""
     entry = F.struct((-F.abs("contribution")).alias("o"), "feature", "contribution")
-    rows = parts.groupBy("record_id").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("top"))
+    rows = parts.groupBy("record_id", *by).agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("top"))
     names = lambda keep: F.array_join(F.transform(F.filter("top", keep), lambda t: F.concat(t["feature"], F.format_string(" (%+.3f)", t["contribution"]))), ", ")
     up, down = names(lambda t: t["contribution"] > 0), names(lambda t: t["contribution"] < 0)
     text = F.concat_ws("; ", F.when(up != "", F.concat(F.lit("raised by "), up)), F.when(down != "", F.concat(F.lit("offset by "), down)))
-    return rows.select("record_id", F.transform("top", lambda t: F.struct(t["feature"].alias("feature"), t["contribution"].alias("contribution"))).alias("top"), F.when(text == "", "no dominant feature").otherwise(text).alias("sentence"))
+    return rows.select("record_id", *by, F.transform("top", lambda t: F.struct(t["feature"].alias("feature"), t["contribution"].alias("contribution"))).alias("top"), F.when(text == "", "no dominant feature").otherwise(text).alias("sentence"))
 
 
 def global_weights(parts: DataFrame) -> DataFrame:
