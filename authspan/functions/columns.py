@@ -44,6 +44,11 @@ def weekend(ts: Column) -> Column:
     return F.weekday(ts) >= 5
 
 
+def holiday(ts: Column, dates: list[str]) -> Column:
+    """Whether the day is one of dates (yyyy-mm-dd)."""
+    return F.to_date(ts).isin([F.to_date(F.lit(d)) for d in dates])
+
+
 def privilege_rank(level: Column) -> Column:
     """1 for the lowest; 0 for an unknown level."""
     return F.array_position(F.array(*[F.lit(p) for p in PRIVILEGES]), level)

@@ -106,6 +106,38 @@ def rationale(bursts: DataFrame) -> DataFrame:
     return bursts.withColumn("rationale", text)
 
 
+#: What a campaign's parameters hold, as JSON.
+PARAMETERS = "failures long, accounts long, devices long, signatures long, countries array<string>, resources array<string>"
+
+
+def campaign_parameters(events: DataFrame) -> DataFrame:
+    """(attack_id, parameters: JSON) from the campaigns' events; lists are sorted."""
+    sorted_set = lambda c: F.sort_array(F.collect_set(c))
+    per = events.groupBy("attack_id").agg(
+        F.count_if(F.col("auth_result") == "failure").alias("failures"), F.count_distinct("user_id").alias("accounts"), F.count_distinct("device_id").alias("devices"),
+        F.count_distinct(F.struct("device_id", "device_type", "os")).alias("signatures"), sorted_set("geo_country").alias("countries"), sorted_set("resource_accessed").alias("resources"),
+    )
+    return per.select("attack_id", F.to_json(F.struct("failures", "accounts", "devices", "signatures", "countries", "resources")).alias("parameters"))
+
+
+def campaign_rationale(campaigns: DataFrame) -> DataFrame:
+    """campaigns (attack_type, parameters) with what the parameters say, and a sentence. Parameters that aren't JSON say nothing:
+    null numbers, empty lists, and a sentence that says so."""
+    p = F.from_json("parameters", PARAMETERS)
+    held = campaigns.withColumns({c: p[c] for c in ("failures", "accounts", "devices", "signatures")} | {c: F.coalesce(p[c], F.array().cast("array<string>")) for c in ("countries", "resources")})
+    listed = lambda c: F.array_join(c, ", ")
+    kind = F.col("attack_type")
+    text = (
+        F.when(F.col("failures").isNull(), "No parameters on record.")
+        .when(kind == "brute_force", F.format_string("%d failed logins on %d accounts.", "failures", "accounts"))
+        .when(kind == "impossible_travel", F.format_string("Logins from %d countries: %s.", F.size("countries"), listed("countries")))
+        .when(kind == "device_spoofing", F.format_string("%d devices showed %d signatures.", "devices", "signatures"))
+        .when(kind == "lateral_movement", F.format_string("%d resources in one chain: %s.", F.size("resources"), listed("resources")))
+        .otherwise(F.format_string("%d accounts reached: %s.", "accounts", listed("resources")))
+    )
+    return held.withColumn("rationale", text)
+
+
 def with_techniques(rows: DataFrame, tactics: DataFrame) -> DataFrame:
     """rows (attack_type) with tactic, tactic_id and technique_ids; the mapping has five rows."""
     return rows.join(F.broadcast(tactics), "attack_type", "left")

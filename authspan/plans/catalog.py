@@ -373,7 +373,7 @@ def bookkeeping_ids(log: Log) -> DataFrame:
 
 @query(f"""
 SELECT ev.record_id, round({km("home_lat", "home_lon", "geo_lat", "geo_lon")}, 3) AS away_km,
-  CASE WHEN s <= e THEN NOT hour(ts) BETWEEN s AND e ELSE NOT (hour(ts) >= s OR hour(ts) <= e) END AS off_shift, NOT hour(ts) BETWEEN 7 AND 19 AS off_default, isodow(ts) >= 6 AS weekend,
+  CASE WHEN s <= e THEN NOT hour(ts) BETWEEN s AND e ELSE NOT (hour(ts) >= s OR hour(ts) <= e) END AS off_shift, NOT hour(ts) BETWEEN 7 AND 19 AS off_default, isodow(ts) >= 6 AS weekend, CAST(ts AS DATE) IN (DATE '2024-01-01', DATE '2024-01-15') AS holiday,
   CAST(list_position(['standard', 'elevated', 'admin', 'domain_admin'], privilege_level) AS BIGINT) AS privilege, CAST(round_even(score * 10000, 0) AS BIGINT) AS fixed,
   coalesce(attack_type, 'benign') AS label, {TIER} AS tier
 FROM (SELECT *, user_id % 24 AS s, (user_id * 7) % 24 AS e FROM ev) ev LEFT JOIN us ON us.user_id = ev.user_id JOIN lb ON lb.record_id = ev.record_id WHERE resource_accessed IS NOT NULL""")
@@ -382,7 +382,7 @@ def scalar_functions(log: Log) -> DataFrame:
     start, end = F.col("user_id") % 24, F.col("user_id") * 7 % 24
     return e.select(
         "record_id", F.round(C.haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("geo_lat"), F.col("geo_lon")), 3).alias("away_km"),
-        C.off_shift(F.hour("ts"), start, end).alias("off_shift"), C.off_hours(F.col("ts")).alias("off_default"), C.weekend(F.col("ts")).alias("weekend"),
+        C.off_shift(F.hour("ts"), start, end).alias("off_shift"), C.off_hours(F.col("ts")).alias("off_default"), C.weekend(F.col("ts")).alias("weekend"), C.holiday(F.col("ts"), ["2024-01-01", "2024-01-15"]).alias("holiday"),
         C.privilege_rank(F.col("privilege_level")).cast("long").alias("privilege"), C.fixed_point(F.col("score")).alias("fixed"),
         F.coalesce("attack_type", F.lit("benign")).alias("label"), C.lookup(C.TIERS, F.col("resource_accessed")).alias("tier"),
     )
@@ -995,16 +995,30 @@ def classifier_scores(log: Log) -> DataFrame:
     return learn.class_scores(learn.train_classifier(learn.class_weights(train), LEARN, weighted=True), rows, LEARN).drop("p")
 
 
-@query("""
-, x AS (SELECT coalesce(attack_type, 'benign') AS kind, CAST(score AS DOUBLE) AS score, geo_lat FROM ev JOIN lb USING (record_id)), c AS (SELECT kind, count(*) AS c, min(score) AS a, max(score) AS b FROM x GROUP BY kind)
-SELECT kind, (SELECT max(c) FROM c) AS n, true AS inside FROM c""")
+def drawn(seed: int, *key: str) -> str:
+    """learn.drawn in SQL."""
+    return f"CAST('0x' || substr(md5({' || '.join(f'CAST({k} AS VARCHAR) || chr(45)' for k in key)} || '{seed}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+LEARNT = ["score", "geo_lat", "geo_lon", "hour"]
+
+
+@query(f"""
+, x AS (SELECT record_id, coalesce(attack_type, 'benign') AS kind, CAST(score AS DOUBLE) AS score, geo_lat, geo_lon, CAST(hour(ts) AS DOUBLE) AS hour FROM ev JOIN lb USING (record_id))
+, n AS (SELECT kind, count(*) AS c, {", ".join(f"coalesce(nullif(stddev_pop({f}), 0), 1) AS s_{f}" for f in LEARNT)} FROM x GROUP BY kind)
+, m AS (SELECT x.*, n.* EXCLUDE (kind), (SELECT max(c) FROM n) AS top, row_number() OVER (PARTITION BY kind ORDER BY {drawn(42, "record_id")}, record_id) AS nth FROM x JOIN n USING (kind) WHERE c < (SELECT max(c) FROM n))
+, nb AS (SELECT u.record_id, v.record_id AS other, row_number() OVER (PARTITION BY u.record_id ORDER BY {" + ".join(f"pow((u.{f} - v.{f}) / u.s_{f}, 2)" for f in LEARNT)}, v.record_id) AS r FROM m u JOIN m v ON u.kind = v.kind AND u.record_id <> v.record_id)
+, nl AS (SELECT record_id, list(other ORDER BY r) AS near FROM nb WHERE r <= 5 GROUP BY record_id)
+, mk AS (SELECT m.*, near, unnest(range(1, 1 + CAST((top - c) // c + CAST(nth <= (top - c) % c AS INT) AS BIGINT))) AS copy FROM m LEFT JOIN nl USING (record_id))
+, ch AS (SELECT *, coalesce(near[1 + CAST(floor({drawn(43, "record_id", "copy")} * len(near)) AS INT)], record_id) AS other, {drawn(44, "record_id", "copy")} AS u FROM mk)
+, o AS (SELECT ch.kind, {", ".join(f"ch.{f} + u * (x.{f} - ch.{f}) AS {f}" for f in LEARNT)} FROM ch JOIN x ON x.record_id = ch.other UNION ALL SELECT kind, {", ".join(LEARNT)} FROM x)
+SELECT kind, count(*) AS n, {", ".join(f"round(avg({f}), 5) AS {f}, round(sum({f} * {f}) / count(*), 4) AS {f}_squared" for f in LEARNT)} FROM o GROUP BY kind""")
 def oversampled(log: Log) -> DataFrame:
-    """Classes brought to one size, and whether every new row lies within its class's range."""
-    rows = materialised(training(log))
-    made = learn.smote(rows, LEARN).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("a"), F.max("score").alias("b"))
-    seen = rows.groupBy("label").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    """Classes brought to one size: every interpolated row tells in the means of features and of their squares."""
+    made = learn.smote(materialised(training(log)), LEARN)
     kind = F.get(F.array(*map(F.lit, learn.CLASSES)), F.col("label").cast("int"))
-    return made.join(seen, "label").select(kind.alias("kind"), "n", ((F.col("a") >= F.col("lo") - 1e-9) & (F.col("b") <= F.col("hi") + 1e-9)).alias("inside"))
+    means = [x for f in LEARN for x in (F.round(F.avg(f), 5).alias(f), F.round(F.avg(F.col(f) * F.col(f)), 4).alias(f"{f}_squared"))]
+    return made.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), *means)
 
 
 @query()
@@ -1041,19 +1055,32 @@ def decoded_classes(log: Log) -> DataFrame:
 
 
 @query("""
-, a AS (SELECT attack_id, '{"n": ' || CAST(length(CAST(attack_id AS STRING)) AS STRING) || ', "tags": ["x", "' || attack_type || '"]}' AS t FROM atk)
-SELECT attack_id, CAST(json_extract_string(t, '$.n') AS BIGINT) AS n, json_extract_string(t, '$.tags[1]') AS tag, 0 AS bad FROM a""")
+, e AS (SELECT lb.attack_id, lb.attack_type, lb.severity, ev.* FROM ev JOIN lb USING (record_id) WHERE is_attack)
+, p AS (SELECT attack_id, min(attack_type) AS attack_type, min(severity) = 'low' AS cut, count_if(coalesce(auth_result = 'failure', false)) AS failures, count(DISTINCT user_id) AS accounts, count(DISTINCT device_id) AS devices,
+  count(DISTINCT device_id || chr(31) || device_type || chr(31) || os) AS signatures, coalesce(list_sort(list_distinct(list(geo_country) FILTER (WHERE geo_country IS NOT NULL))), []) AS countries,
+  coalesce(list_sort(list_distinct(list(resource_accessed) FILTER (WHERE resource_accessed IS NOT NULL))), []) AS resources FROM e GROUP BY attack_id)
+, j AS (SELECT *, CAST(to_json({'failures': failures, 'accounts': accounts, 'devices': devices, 'signatures': signatures, 'countries': countries, 'resources': resources}) AS VARCHAR) AS json FROM p)
+SELECT attack_id, CASE WHEN cut THEN left(json, 20) ELSE json END AS parameters, CASE WHEN NOT cut THEN failures END AS failures, CASE WHEN cut THEN 0 ELSE len(countries) END AS n_countries, CASE WHEN NOT cut THEN resources[1] END AS first_resource,
+  CASE WHEN cut THEN 'No parameters on record.' WHEN attack_type = 'brute_force' THEN failures || ' failed logins on ' || accounts || ' accounts.' WHEN attack_type = 'impossible_travel' THEN 'Logins from ' || len(countries) || ' countries: ' || array_to_string(countries, ', ') || '.'
+    WHEN attack_type = 'device_spoofing' THEN devices || ' devices showed ' || signatures || ' signatures.' WHEN attack_type = 'lateral_movement' THEN len(resources) || ' resources in one chain: ' || array_to_string(resources, ', ') || '.'
+    ELSE accounts || ' accounts reached: ' || array_to_string(resources, ', ') || '.' END AS rationale FROM j""")
 def campaign_parameters(log: Log) -> DataFrame:
-    """Parameters kept as JSON: numbers, lists, and what isn't JSON read as an empty list."""
-    text = F.concat(F.lit('{"n": '), F.length(F.col("attack_id").cast("string")).cast("string"), F.lit(', "tags": ["x", "'), F.col("attack_type"), F.lit('"]}'))
-    tags = C.parse_list(F.get_json_object("t", "$.tags"), "array<string>")
-    return log.attacks.select("attack_id", text.alias("t")).select("attack_id", F.get_json_object("t", "$.n").cast("long").alias("n"), F.get(tags, F.lit(1)).alias("tag"), F.size(C.parse_list(F.lit("no json"), "array<string>")).alias("bad"))
+    """Campaigns' parameters as JSON, made of their events; read back, and put in words. Those of low severity are
+    torn, as records can be, and must read as none."""
+    events = log.events.join(log.labels.where("is_attack"), "record_id")
+    held = detectors.campaign_parameters(events).join(log.attacks.select("attack_id", "attack_type", "severity"), "attack_id")
+    held = held.withColumn("parameters", F.when(F.col("severity") == "low", F.left("parameters", F.lit(20))).otherwise(F.col("parameters")))
+    out = detectors.campaign_rationale(held)
+    return out.select("attack_id", "parameters", "failures", F.size("countries").alias("n_countries"), F.get("resources", F.lit(0)).alias("first_resource"), "rationale")
 
 
-@query("""
-, x AS (SELECT is_attack FROM ev JOIN lb USING (record_id)) SELECT is_attack, CASE WHEN is_attack THEN count(*) ELSE least(6000, count(*)) END AS n FROM x GROUP BY is_attack""")
+@query(f"""
+, x AS (SELECT record_id, is_attack, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY is_attack ORDER BY {drawn(42, "record_id")}, record_id) AS nth FROM ev JOIN lb USING (record_id))
+SELECT is_attack, count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids, round(avg(score), 6) AS score FROM x WHERE is_attack OR nth <= 600 GROUP BY is_attack""")
 def undersampled(log: Log) -> DataFrame:
-    return learn.undersample(training(log)).groupBy("is_attack").agg(F.count(F.lit(1)).alias("n"))
+    """All attacks and 600 benign events: their ids tell which."""
+    kept = learn.undersample(training(log), 600).groupBy("is_attack")
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"), F.round(F.avg("score"), 6).alias("score"))
 
 
 @query()
