@@ -38,6 +38,12 @@ def detail(events: DataFrame, labels: DataFrame, users: DataFrame, tactics: Data
     return out if features is None else out.join(features, "record_id", "left")
 
 
+def full_detail(events: DataFrame, labels: DataFrame, users: DataFrame, attacks: DataFrame, features: DataFrame, scores: DataFrame) -> DataFrame:
+    """A row per event: the log, labels, people, the campaign, features, and a model's score and predicted class."""
+    out = events.join(labels, "record_id", "left").join(users, "user_id", "left").join(attacks, "attack_id", "left")
+    return out.join(features, "record_id", "left").join(scores, "record_id", "left")
+
+
 def where_in(detail: DataFrame, start=None, end=None, user: str | None = None, **lists: list[str]) -> DataFrame:
     """Conjunction of lists (empty: all), an inclusive time range, and part of a user id in any case (null: no)."""
     for column, values in lists.items():
@@ -111,6 +117,14 @@ def top_deviations(deviation: DataFrame, names: list[str], least: float = 1.5, m
     return deviation.select("record_id", F.transform(far, lambda p: F.struct(p["feature"], p["z"])).alias("top"))
 
 
+def drift_profile(deviation: DataFrame, names: list[str]) -> DataFrame:
+    """(record_id, drift, drifted, typical_place, top): mean size of the deviations from the user's norm, whether it is one or
+    more, whether the place is within 1.5, and the largest deviations."""
+    drift = sum((F.abs(F.col(n)) for n in names), F.lit(0.0)) / len(names)
+    place = F.abs(F.col("geo_distance_from_home_km")) < 1.5
+    return deviation.select("record_id", drift.alias("drift"), (drift >= 1).alias("drifted"), place.alias("typical_place")).join(top_deviations(deviation, names), "record_id")
+
+
 def evidence_sentences(rows: DataFrame) -> DataFrame:
     """rows (is_new_edge, velocity_kmh, geo_distance_from_home_km, prior_events) with what stands out, or a fallback."""
     fast = F.col("velocity_kmh") > 800
@@ -216,6 +230,13 @@ def node_degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.array_join(F.sort_array(F.collect_set("other")), ",").alias("neighbours"))
 
 
+def node_flags(rows: DataFrame) -> DataFrame:
+    """(node, flagged): flagged events at each user, device and resource."""
+    named = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(kind), F.col(c).cast("string")))
+    nodes = F.array_compact(F.array(named("user:", "user_id"), named("device:", "device_id"), named("resource:", "resource_accessed")))
+    return rows.select(F.explode(nodes).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("flagged"))
+
+
 def campaigns(rows: DataFrame, threshold: float) -> DataFrame:
     hit = F.count_if(F.col("score") >= threshold)
     n = F.count(F.lit(1))

@@ -181,15 +181,25 @@ def new_edge(events: DataFrame, days: float = 30, hub: int | None = None, heavy:
     return e.join(d, "record_id", "left").select("record_id", F.when(F.col("live"), F.lit(0.0)).otherwise(1 - 1 / (1 + dist)).alias("is_new_edge"))
 
 
-def shared_devices(events: DataFrame, hub: int | None = None) -> DataFrame:
-    """(u1, u2, weight): pairs of users by number of shared devices. hub leaves out devices of more users."""
+def shared_devices(events: DataFrame, hub: int | None = None, least: int = 1) -> DataFrame:
+    """(u1, u2, weight): pairs of users by number of shared devices, at least least. hub leaves out devices of more users.
+
+    Users who share least devices share one that is not among either's least - 1 most common ones, in any one order of
+    all devices. So only a user's rarer devices propose pairs, and a terminal that everyone uses proposes those of
+    users who have hardly another device. Proposed pairs are counted over all devices.
+    """
     pairs = events.select("user_id", "device_id").distinct()
     sizes = pairs.groupBy("device_id").count().where("count > 1")
     if hub is not None:
         sizes = sizes.where(F.col("count") <= hub)
-    pairs = pairs.join(sizes.select("device_id"), "device_id", "left_semi")
-    a, b = pairs.withColumnRenamed("user_id", "u1"), pairs.withColumnRenamed("user_id", "u2")
-    return a.join(b, "device_id").where("u1 < u2").groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = pairs.join(sizes, "device_id")
+    a, b = pairs.withColumnRenamed("user_id", "u1").drop("count"), pairs.withColumnRenamed("user_id", "u2").drop("count")
+    if least == 1:
+        return a.join(b, "device_id").where("u1 < u2").groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("weight"))
+    common = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("count").desc(), "device_id"))
+    rare = materialised(pairs.withColumn("nth", common).where(F.col("nth") >= least).select("user_id", "device_id"))
+    proposed = rare.withColumnRenamed("user_id", "u1").join(rare.withColumnRenamed("user_id", "u2"), "device_id").where("u1 < u2").select("u1", "u2").distinct()
+    return proposed.join(a, "u1").join(b, ["u2", "device_id"]).groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 
 
 def communities(edges: DataFrame, users: DataFrame, rounds: int = 5) -> DataFrame:

@@ -267,6 +267,13 @@ def shared_devices(log: Log) -> DataFrame:
     return graph.shared_devices(log.events)
 
 
+@query("""
+, p AS (SELECT DISTINCT user_id, device_id FROM ev)
+SELECT a.user_id AS u1, b.user_id AS u2, count(*) AS weight FROM p a JOIN p b ON a.device_id = b.device_id AND a.user_id < b.user_id GROUP BY a.user_id, b.user_id HAVING count(*) >= 2""")
+def strong_ties(log: Log) -> DataFrame:
+    return graph.shared_devices(log.events, least=2)
+
+
 def own_pairs(log: Log) -> DataFrame:
     return graph.live_pairs(log.events.where(~F.col("device_id").like("DEV-KIOSK-%")), DAYS)
 
@@ -539,7 +546,7 @@ def fixed_probabilities() -> Column:
 
 
 def fixed_part(c: int) -> str:
-    return " + ".join(["CAST(0 AS DOUBLE)", *(f"0.66 * {w} * least({n} / {full}, 1)" for n, k, w, full in FIXED if k == c)])
+    return " + ".join(["CAST(0 AS DOUBLE)", *(f"CAST({0.66 * w!r} AS DOUBLE) * least({n} / CAST({full} AS DOUBLE), 1)" for n, k, w, full in FIXED if k == c)])
 
 
 def shown_features(log: Log) -> DataFrame:
@@ -837,6 +844,35 @@ FEATS = f"""{part("bf", "behaviour_features")}, {part("ac", "access_chain")}, {p
 , ft AS (SELECT record_id, velocity_kmh, failed_login_ratio, ema_failure_rate, geo_distance_from_home_km, access_chain_distance, user_device_set_delta, is_new_edge FROM bf JOIN ac USING (record_id) JOIN ds USING (record_id) JOIN ne USING (record_id))"""
 
 
+@query(f"""
+, {FEATS}, {zs()}, l AS (SELECT record_id, unnest([{", ".join(f"'{n}'" for n in analyst.OWN)}]) AS f, unnest([{", ".join(f"z_{n}" for n in analyst.OWN)}]) AS z FROM zz)
+, t AS (SELECT record_id, string_agg(f || ' ' || CASE WHEN z > 0 THEN 'above' ELSE 'below' END, ', ' ORDER BY abs(z) DESC, f) AS top FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY abs(z) DESC, f) AS r FROM l WHERE abs(z) >= 1.5) q WHERE r <= 4 GROUP BY record_id)
+SELECT record_id, round(({" + ".join(f"abs(z_{n})" for n in analyst.OWN)}) / {len(analyst.OWN)}, 5) AS drift, abs(z_geo_distance_from_home_km) < 1.5 AS typical_place, coalesce(top, '') AS top FROM zz LEFT JOIN t USING (record_id)""")
+def drift_profiles(log: Log) -> DataFrame:
+    """How far each event lies from its user's norm over all features, and where furthest."""
+    own = list(analyst.OWN)
+    z = analyst.user_deviation(log.events.select("record_id", "user_id").join(own_features(log), "record_id"), own).select("record_id", *(F.round(n, 4).alias(n) for n in own))
+    out = analyst.drift_profile(z, own)
+    said = F.transform("top", lambda t: F.concat_ws(" ", t["feature"], F.when(t["z"] > 0, "above").otherwise("below")))
+    return out.select("record_id", F.round("drift", 5).alias("drift"), "typical_place", F.array_join(said, ", ").alias("top"))
+
+
+@query(f"""
+, {STRESSED}, sc2 AS (SELECT record_id, round(1 - p0, 4) AS anomaly, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'benign' WHEN p1 >= p2 THEN 'brute_force' ELSE 'lateral_movement' END AS predicted_class FROM pb WHERE scenario = 'noise 0' AND NOT is_train)
+SELECT ev.record_id, us.department, us.privilege_level, lb.is_attack, lb.attack_id, lb.attack_type, atk.severity AS campaign_severity, atk.num_events, {", ".join(f"round(fx.{n}, 6) AS {n}" for n in SHOWN)}, anomaly, predicted_class
+FROM ev JOIN sc2 USING (record_id) LEFT JOIN lb USING (record_id) LEFT JOIN us ON us.user_id = ev.user_id LEFT JOIN atk ON atk.attack_id = lb.attack_id LEFT JOIN fx ON fx.record_id = ev.record_id""")
+def test_detail(log: Log) -> DataFrame:
+    """Each test event with its label, person, campaign, features, and the fixed model's score and class."""
+    rows = shown_features(log).where("not is_train")
+    p = fixed_probabilities()
+    best = F.array_position("p", F.array_max("p")).cast("int") - 1
+    scores = rows.select("record_id", p.alias("p")).select("record_id", F.round(1 - F.get("p", F.lit(0)), 4).alias("anomaly"), F.get(F.array(F.lit("benign"), F.lit("brute_force"), F.lit("lateral_movement")), best).alias("predicted_class"))
+    attacks = log.attacks.select("attack_id", F.col("severity").alias("campaign_severity"), F.col("num_events"))
+    events = log.events.select("record_id", "user_id").join(scores.select("record_id"), "record_id", "left_semi")
+    out = analyst.full_detail(events, log.labels.select("record_id", "is_attack", "attack_id", "attack_type"), log.users.select("user_id", "department", "privilege_level"), attacks, rows.select("record_id", *(F.round(n, 6).alias(n) for n in SHOWN)), scores)
+    return out.drop("user_id")
+
+
 @query(f"""
 , {FLAG}, {FEATS}, pe AS (SELECT record_id, count(*) OVER w AS pe FROM (SELECT record_id, user_id, epoch_us(ts) AS t FROM ev) z WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 , s AS (SELECT record_id, concat_ws(' ', CASE WHEN is_new_edge > 0.5 THEN 'First use of this device by the account within the window.' END,
@@ -909,6 +945,18 @@ def node_degrees(log: Log) -> DataFrame:
     return analyst.node_degrees(analyst.entity_edges(hits(log)))
 
 
+@query(f"""
+, {FLAG}, t AS (SELECT * FROM fl ORDER BY score DESC, record_id LIMIT 150)
+, d AS (SELECT DISTINCT 'user:' || CAST(user_id AS STRING) AS a, 'device:' || device_id AS b FROM t UNION SELECT DISTINCT 'user:' || CAST(user_id AS STRING), 'resource:' || resource_accessed FROM t WHERE resource_accessed IS NOT NULL)
+, n AS (SELECT a AS node, b AS other FROM d UNION ALL SELECT b, a FROM d)
+, f AS (SELECT node, count(*) AS flagged FROM (SELECT 'user:' || CAST(user_id AS STRING) AS node FROM fl UNION ALL SELECT 'device:' || device_id FROM fl UNION ALL SELECT 'resource:' || resource_accessed FROM fl WHERE resource_accessed IS NOT NULL) z GROUP BY node)
+SELECT node, count(*) AS degree, string_agg(DISTINCT other, ',' ORDER BY other) AS neighbours, max(flagged) AS flagged FROM n JOIN f USING (node) GROUP BY node""")
+def node_inspection(log: Log) -> DataFrame:
+    """The nodes of the entity graph with their neighbours and their flagged events in the whole log."""
+    rows = hits(log)
+    return analyst.node_degrees(analyst.entity_edges(rows)).join(analyst.node_flags(rows), "node")
+
+
 CAMP = f"""ca AS (SELECT attack_id, min(attack_type) AS attack_type, min(severity) AS severity, count(*) AS events, count(DISTINCT user_id) AS users, count(DISTINCT department) AS departments, count(DISTINCT device_id) AS devices,
   epoch_us(min(ts)) AS "start", epoch_us(max(ts)) AS "end", CAST(count_if(score >= {THRESHOLD}) AS BIGINT) AS detected, count_if(score >= {THRESHOLD}) / count(*) AS rate FROM de WHERE attack_id IS NOT NULL GROUP BY attack_id)"""
 
