@@ -129,3 +129,43 @@ WITH RECURSIVE {_CRC_TABLE}, t AS (
 )
 SELECT f.word, f.form, e.top AS root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT g.word, g.top FROM g JOIN f ON g.top = f.word WHERE f.form IS NULL) e ON e.word = f.word
 """
+
+#: Base matches of each kind.
+SECRETS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+FROM d
+"""
+
+#: Sources stop at twice their size in the order of that size by weight; the rest have one level by weight.
+TARGETS = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS k, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w FROM s
+), c AS (
+  SELECT *, coalesce(sum(2.0 * source_size) OVER b, 0) AS capped, all_w - coalesce(sum(w) OVER b, 0) AS open_w FROM o WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT arg_min(level, k) AS level FROM (SELECT k, (1.5 * total - capped) / open_w AS level, 2.0 * source_size / w AS most FROM c) z WHERE level <= most
+)
+SELECT d.doc_id, size, source_size, round(least(2.0 * source_size, level * w), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l
+"""
+
+#: The longest rule whose host is the url's or one above it, and whose path begins the url's.
+RULES = """
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
+), t(rule, of, start, verdict) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), f AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN t ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY page_id
+)
+SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN f USING (page_id)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from authspan.llm import embeddings, lines, mixing, oracles, periods, pieces, quality, secrets, simhash, spelling, substrings, tokens, urls, warc
 
@@ -65,6 +66,22 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(_table(spark, sf_dir, "documents"))
 
 
+# The columns of three operators that SQL can state, by themselves.
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return op9_urls(spark, sf_dir).select("page_id", "host", "path", "rule", ruled.alias("verdict"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substrings": op2_substrings,
@@ -79,6 +96,9 @@ QUERIES = {
     "op11_tokens": op11_tokens,
     "op12_periods": op12_periods,
     "op13_spelling": op13_spelling,
+    "secret_counts": secret_counts,
+    "mix_targets": mix_targets,
+    "url_rules": url_rules,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op10_quality": quality.ORACLE,
     "op12_periods": oracles.PERIODS,
     "op13_spelling": oracles.SPELLING,
+    "secret_counts": oracles.SECRETS,
+    "mix_targets": oracles.TARGETS,
+    "url_rules": oracles.RULES,
 }

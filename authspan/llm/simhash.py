@@ -449,7 +449,8 @@ def grouped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
     # tiles of few members and bytes; each pair of a tag's tiles is a group
     members = scratch.save(members.join(blobs.select("id", F.length("blob").alias("bytes")), "id"), "members")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / shard, F.sum("bytes") / TILE_BYTES)).cast("int")
-    met = members.join(members.groupBy("tag").agg(parts.alias("tiles")), "tag").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int"))
+    dealt = members.groupBy("tag").agg(parts.alias("tiles"), F.count(F.lit(1)).alias("rows"))
+    met = split_join(members, dealt, ["tag"], "rows").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("tag", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id").join(comp, "id")
     met = met.join(blobs.hint("merge"), "id").join(distinct.select("id", *words), "id").select("tag", "lo", "hi", "id", "root", "blob", *words)
