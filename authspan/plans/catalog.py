@@ -859,7 +859,7 @@ def drift_profiles(log: Log) -> DataFrame:
 
 @query(f"""
 , {STRESSED}, sc2 AS (SELECT record_id, round(1 - p0, 4) AS anomaly, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'benign' WHEN p1 >= p2 THEN 'brute_force' ELSE 'lateral_movement' END AS predicted_class FROM pb WHERE scenario = 'noise 0' AND NOT is_train)
-SELECT ev.record_id, us.department, us.privilege_level, lb.is_attack, lb.attack_id, lb.attack_type, atk.severity AS campaign_severity, atk.num_events, {", ".join(f"round(fx.{n}, 6) AS {n}" for n in SHOWN)}, anomaly, predicted_class
+SELECT ev.record_id, us.department, us.privilege_level, lb.is_attack, lb.attack_id, lb.attack_type, atk.severity AS campaign_severity, coalesce(atk.num_events, 0) AS num_events, {", ".join(f"round(fx.{n}, 6) AS {n}" for n in SHOWN)}, anomaly, predicted_class
 FROM ev JOIN sc2 USING (record_id) LEFT JOIN lb USING (record_id) LEFT JOIN us ON us.user_id = ev.user_id LEFT JOIN atk ON atk.attack_id = lb.attack_id LEFT JOIN fx ON fx.record_id = ev.record_id""")
 def test_detail(log: Log) -> DataFrame:
     """Each test event with its label, person, campaign, features, and the fixed model's score and class."""
@@ -870,7 +870,7 @@ def test_detail(log: Log) -> DataFrame:
     attacks = log.attacks.select("attack_id", F.col("severity").alias("campaign_severity"), F.col("num_events"))
     events = log.events.select("record_id", "user_id").join(scores.select("record_id"), "record_id", "left_semi")
     out = analyst.full_detail(events, log.labels.select("record_id", "is_attack", "attack_id", "attack_type"), log.users.select("user_id", "department", "privilege_level"), attacks, rows.select("record_id", *(F.round(n, 6).alias(n) for n in SHOWN)), scores)
-    return out.drop("user_id")
+    return out.drop("user_id").fillna(0, ["num_events"])
 
 
 @query(f"""
