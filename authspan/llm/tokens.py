@@ -58,6 +58,10 @@ class TokenRules:
 STOP = re.compile(rb"[.,;:!?](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
 
+#: Parts that the normaliser and the pattern leave as they are: the library's merges alone give their ids.
+PLAIN = re.compile(rb"[a-z]+").fullmatch
+
+
 def plainer(text: bytes) -> bytes:
     """A text with the same ids and fewer distinct parts: marks stand alone and ASCII letters are lower case.
 
@@ -78,6 +82,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(rules.tokenizer)
         self.dtype = np.dtype("<u2" if max(self.library.get_vocab_size(), rules.end_id + 1) <= 1 << 16 else "<u4")
+        self.cells = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.library.get_vocab_size())]
+        self.merged = self.library.model.tokenize
         self.limit = rules.cached
         self.known: dict[bytes, bytes] = {}
 
@@ -87,10 +93,16 @@ class Encoder:
         if len(self.known) + len(new) > self.limit:
             self.known = {}
             new = list(set(chain.from_iterable(parts)))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        rest = []
+        for p in new:
+            if PLAIN(p):
+                self.known[p] = b"".join([self.cells[t.id] for t in self.merged(p.decode())])
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            self.known.update(zip(some, (np.array(e.ids, dtype=self.dtype).tobytes() for e in found), strict=True))
+            self.known.update(zip(some, (b"".join([self.cells[i] for i in e.ids]) for e in found), strict=True))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
