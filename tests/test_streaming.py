@@ -1,6 +1,7 @@
 """Streams give what the batch operators give, also after a restart."""
 
 import time
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -33,11 +34,32 @@ def test_stream_risk_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_session_alerts_run(spark, tmp_path):
-    stream = in_files(spark, tmp_path)
-    for name, df in (("b", alerts.burst_alerts(stream, "3 days", 2)), ("c", alerts.chain_alerts(stream, "1 day"))):
+def sessions(rows, gap):
+    """(key, start, members) of rows (key, ts, what) by key, cut where the next is gap or more later."""
+    out = []
+    for key, ts, what in sorted(rows, key=lambda r: r[:2]):
+        if out and out[-1][0] == key and ts - out[-1][2][-1][0] < gap:
+            out[-1][2].append((ts, what))
+        else:
+            out.append((key, ts, [(ts, what)]))
+    return out
+
+
+def test_session_alerts_are_those_of_closed_sessions(spark, tmp_path):
+    """What the watermark has passed is alerted, no more than once, and nothing else."""
+    stream, log = in_files(spark, tmp_path), Log(spark, DATA)
+    rows = log.events.select("user_id", "session_id", "ts", "auth_result", "resource_accessed").collect()
+    newest = max(r.ts for r in rows)
+    cases = {
+        "burst": (alerts.burst_alerts(stream, "3 days", 2), [(r.user_id, r.ts, None) for r in rows if r.auth_result == "failure"], timedelta(days=3), lambda m: len(m) >= 2, "user_id", "attempts"),
+        "chain": (alerts.chain_alerts(stream, "1 day"), [(r.session_id, r.ts, r.resource_accessed) for r in rows if r.resource_accessed], timedelta(days=1), lambda m: len({w for _, w in m}) >= 2, "session_id", "hops"),
+    }
+    for name, (df, events, gap, enough, key, size) in cases.items():
         alerts.run_available(df, f"{tmp_path}/{name}", f"{tmp_path}/k{name}")
-        assert spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}").count() > 0
+        got = sorted((r[key], r.start, r[size]) for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}").collect())
+        want = {(k, start, len(m)): m[-1][0] + gap for k, start, m in sessions(events, gap) if enough(m)}
+        assert len(got) == len(set(got)) and set(got) <= set(want)
+        assert {w for w, end in want.items() if end < newest - timedelta(hours=2)} <= set(got) and got
 
 
 def test_live_totals(spark, tmp_path):
