@@ -106,3 +106,19 @@ def test_new_edge_at_terminals_of_many_users(spark):
     linked = rows + [(0, "own2", 4), (n + 1, "kiosk1", 4), (n + 1, "own0", 5)]
     more = {r.record_id: round(1 / (1 - r.is_new_edge) - 1) for r in graph.new_edge(log(spark, linked), 4).collect()}
     assert more[len(rows)] == 2 and more[len(rows) + 2] == 2
+
+
+def test_shared_devices_by_tiles_against_a_count(spark, monkeypatch):
+    """Pairs of a terminal's users come from pairs of tiles, and no step sums or shuffles pairs."""
+    monkeypatch.setattr(graph, "TILE", 7)
+    rng = random.Random(4)
+    rows = [(rng.randrange(90), f"d{rng.randrange(2) if rng.random() < 0.4 else rng.randrange(60)}", 0) for _ in range(400)]
+    devices = {}
+    for u, d, _ in rows:
+        devices.setdefault(u, set()).add(d)
+    want = {(a, b): len(devices[a] & devices[b]) for a in devices for b in devices if a < b and devices[a] & devices[b]}
+    out = graph.shared_devices(log(spark, rows))
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert {(r.u1, r.u2): r.weight for r in got} == want and len(got) == len(want)
+    assert max(want.values()) > 1
