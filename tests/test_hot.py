@@ -122,3 +122,15 @@ def test_shared_devices_by_tiles_against_a_count(spark, monkeypatch):
     got = out.collect()
     assert {(r.u1, r.u2): r.weight for r in got} == want and len(got) == len(want)
     assert max(want.values()) > 1
+
+
+def test_communities_pass_over_shared_devices_only(spark, monkeypatch):
+    """Devices of one user tell nothing of communities: moves get none, and their users stay by themselves."""
+    rows = [(u, f"own{u}", 0) for u in range(40)] + [(u, f"shared{u // 5}", 1) for u in range(20)]
+    seen, moves = [], graph._moves
+    monkeypatch.setattr(graph, "_moves", lambda pairs, *more: seen.append(pairs) or moves(pairs, *more))
+    out = graph.epoch_communities(graph.live_pairs(log(spark, rows), 1))
+    groups = {r.user_id: r.community for r in out.collect()}
+    assert len(groups) == 40 and all(groups[u] == u for u in range(20, 40))
+    assert all(len({groups[u] for u in range(k, k + 5)}) == 1 for k in range(0, 20, 5))
+    assert all(p.count() == 20 for p in seen[:1])
