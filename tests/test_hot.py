@@ -4,11 +4,12 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from authspan.functions import columns as C
-from authspan.operators import behaviour, graph
+from authspan.operators import behaviour, evaluate, graph
 
 START = datetime(2024, 1, 1)
 
@@ -134,3 +135,21 @@ def test_communities_pass_over_shared_devices_only(spark, monkeypatch):
     assert len(groups) == 40 and all(groups[u] == u for u in range(20, 40))
     assert all(len({groups[u] for u in range(k, k + 5)}) == 1 for k in range(0, 20, 5))
     assert all(p.count() == 20 for p in seen[:1])
+
+
+def test_a_score_of_all_rows_is_ranked_in_chunks():
+    """One score of most rows: no more than a chunk's weights are held at a time, and the sums are those of all rows."""
+    draws = evaluate.draws
+    rng = np.random.default_rng(5)
+    s, y = np.sort(np.where(rng.random(3000) < 0.8, 0.5, rng.random(3000).round(2)))[::-1], rng.random(3000) < 0.3
+    w = draws(rng.integers(0, 1 << 62, 3000), 20, 1)
+    r = evaluate._Range(0, np.zeros(20), np.zeros(20))
+    frames = [f for a in range(0, 3000, 70) for f in r.add(s[a : a + 70], y[a : a + 70], w[a : a + 70])] + [r.end()]
+    assert sum(len(f) for f in frames) == 3 * 20
+    edges = [f for f in frames for _, f in f.groupby(f["s"].isna()) if f["s"].notna().all()]
+    ap = frames[-1]["ap"].to_numpy()[-20:] + sum(np.nan_to_num(e["p"] * (e["tp"] + e["p"]) / (e["tp"] + e["p"] + e["fp"] + e["n"])).astype(float) for e in edges)
+    want = np.zeros(20)
+    for v in np.unique(s):
+        tp, said = w[(s >= v) & y].sum(axis=0, dtype=float), w[s >= v].sum(axis=0, dtype=float)
+        want += np.where(said > 0, w[(s == v) & y].sum(axis=0) * tp / np.maximum(said, 1), 0)
+    assert np.allclose(ap, want)
