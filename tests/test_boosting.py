@@ -77,3 +77,15 @@ def test_folds_are_stratified_and_defaults_are_full(spark):
     assert n == 3 and all(per[0.0, k] == 90 and per[1.0, k] == 10 for k in range(3))
     assert learn.stratified(rows.where("label = 0 or record_id < 20"), 5)[1] == 2
     assert (boosting.BoostRules().rounds, boosting.BoostRules().depth) == (300, 6)
+
+
+def test_histograms_of_a_batch_against_sums_row_by_row():
+    """Bins and margins go through bytes unchanged, and a task's sums are those of its rows, without those of node -1."""
+    rng = np.random.default_rng(6)
+    x, m = rng.integers(0, 5, (50, 3)).astype(np.uint8), rng.standard_normal((50, 2))
+    assert (boosting.matrix(boosting.as_bytes(x), np.uint8, 50) == x).all() and (boosting.matrix(boosting.as_bytes(m), float, 50) == m).all()
+    node, place = rng.integers(-1, 2, 50), x.astype(np.int64) + np.arange(3) * 5
+    want = np.zeros((2, 2, 15))
+    for i in np.flatnonzero(node >= 0):
+        want[:, node[i], place[i]] += m[i][:, None]
+    assert np.allclose(boosting.histogram(place, m[:, 0], m[:, 1], node, 2, 15), want.reshape(2, -1))
