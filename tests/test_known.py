@@ -52,6 +52,25 @@ def test_leakage_audit_fails_on_leaky_ids(spark):
         learn.leakage_audit(rows.where("is_attack"), ["a"], holdouts=1)
 
 
+def test_online_scores_in_one_pass_with_the_weights_of_before(spark):
+    """Against a replay by numpy, with a feature named score; what is scored reads one table once, however many parts there are."""
+    rng = np.random.default_rng(7)
+    part, x, y = np.sort(rng.integers(0, 6, 900)), rng.normal(size=(900, 2)), rng.random(900) < 0.4
+    rows = spark.createDataFrame([(i, int(part[i]), float(x[i, 0]), float(x[i, 1]), bool(y[i]), i % 3 > 0) for i in range(900)], "record_id long, part int, score double, b double, is_attack boolean, is_train boolean")
+    out = learn.online(rows, "part", ["score", "b"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Union" not in plan and "Join" not in plan
+    got = {r.record_id: (r.score, r.predicted_class) for r in out.collect()}
+    assert len(got) == 900
+    w, full = np.zeros(3), np.column_stack([np.ones(900), x])
+    for p in range(6):
+        at = np.flatnonzero(part == p)
+        score = 1 / (1 + np.exp(-full[at] @ w))
+        assert all(got[i][0] == pytest.approx(s, abs=1e-12) and got[i][1] == ("attack" if s >= 0.5 - 1e-12 else "benign") for i, s in zip(at, score, strict=True))
+        learnt = at % 3 > 0
+        w = w - 0.5 * ((score - y[at])[learnt, None] * full[at][learnt]).mean(axis=0)
+
+
 def test_noise_has_the_asked_width(spark):
     rows = spark.range(20_000).select(F.col("id").alias("record_id"), (F.col("id") % 100).cast("double").alias("x"), F.lit(3.0).alias("k"))
     out = evaluate.noisy(rows, ["x", "k"], rows, 0.1).join(rows.toDF("record_id", "x0", "k0"), "record_id")
