@@ -52,6 +52,34 @@ def test_leakage_audit_fails_on_leaky_ids(spark):
         learn.leakage_audit(rows.where("is_attack"), ["a"], holdouts=1)
 
 
+def test_leakage_audit_sees_a_leak_that_leaves_attacks_rare(spark):
+    """3 % of attacks on one side and 12 % on the other: no leaf predicts attacks, yet their rates rank the rows."""
+    rows = spark.range(20_000).select(F.col("id").alias("record_id"), (F.col("id") % 2).alias("a"), F.pmod(F.xxhash64("id"), F.lit(7)).alias("b"))
+    rows = rows.withColumn("is_attack", F.pmod(F.xxhash64("record_id"), F.lit(100)) < F.when(F.col("a") == 0, 12).otherwise(3))
+    got = learn.leakage_audit(rows, ["b", "a"], holdouts=3).first()
+    assert got.holdouts == 3 and got.mean_auc == pytest.approx(0.663, abs=0.03) and got.std_auc > 0 and not got.passed
+
+
+def test_leakage_audit_against_stumps_by_numpy(spark):
+    """Few values of each column, so that cuts are exact: the best cut by Gini of each holdout, and the AUC of what is held out."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, (4000, 2))
+    y = rng.random(4000) < 0.05 + 0.02 * (x[:, 1] > 6)
+    rows = spark.createDataFrame([(i, bool(y[i]), float(x[i, 0]), int(x[i, 1])) for i in range(4000)], "record_id long, is_attack boolean, a double, b long")
+    got = learn.leakage_audit(rows, ["a", "b"], holdouts=5)
+    want = []
+    for i in range(5):
+        h = np.array([r[0] for r in rows.select(learn._uniform(42 + i, "record_id") < 0.3).collect()])
+        gini = lambda m: 2 * y[m].sum() * (~y[m]).sum() / max(1, m.sum())
+        cost, f, c = min((gini(~h & (x[:, f] <= c)) + gini(~h & (x[:, f] > c)), f, c) for f in (0, 1) for c in range(11))  # noqa: B023
+        low = x[:, f] <= c
+        p = np.where(low, y[~h & low].mean(), y[~h & ~low].mean())[h]
+        a, b = p[y[h]], p[~y[h]]
+        want.append(((a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum()) / (len(a) * len(b)))
+    got = got.first()
+    assert (got.mean_auc, got.min_auc, got.max_auc, got.std_auc) == pytest.approx((np.mean(want), min(want), max(want), np.std(want)), abs=1e-9)
+
+
 def test_online_scores_in_one_pass_with_the_weights_of_before(spark):
     """Against a replay by numpy, with a feature named score; what is scored reads one table once, however many parts there are."""
     rng = np.random.default_rng(7)
