@@ -80,27 +80,28 @@ def posture(rows: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(kind), how="left").join(F.broadcast(dept), how="left")
 
 
-def score_percentile(rows: DataFrame) -> DataFrame:
-    """record_id, score, and the share of rows strictly below, from counts of distinct scores."""
+def score_percentile(rows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """record_id, score, and the share of rows strictly below, from counts of distinct scores; of asked rows only, if given."""
     per = C.running(rows.groupBy("score").agg(F.count(F.lit(1)).alias("c")), [], [F.col("score")], {"upto": "c"})
     total = per.agg(F.sum("c").alias("all"))  # one row
     per = per.join(F.broadcast(total)).select(F.col("score").alias("s"), ((F.col("upto") - F.col("c")) / F.col("all")).alias("percentile"))
-    return rows.join(per, F.col("score") == F.col("s")).select("record_id", "score", "percentile")
+    return (rows if asked is None else asked).join(per, F.col("score") == F.col("s")).select("record_id", "score", "percentile")
 
 
-def prior_events(events: DataFrame) -> DataFrame:
-    """Events of the user strictly earlier in time, equal times left out; fewer than 5 are a thin history."""
+def prior_events(events: DataFrame, *keep: str) -> DataFrame:
+    """Events of the user strictly earlier in time, equal times left out; fewer than 5 are a thin history. keep: columns that stay."""
     w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
-    n = F.count(F.lit(1)).over(w)
-    return events.select("record_id", n.alias("prior_events"), (n < 5).alias("thin"))
+    out = events.select("record_id", *keep, F.count(F.lit(1)).over(w).alias("prior_events"))
+    return out.withColumn("thin", F.col("prior_events") < 5)
 
 
-def user_deviation(rows: DataFrame, names: list[str]) -> DataFrame:
+def user_deviation(rows: DataFrame, names: list[str], asked: DataFrame | None = None) -> DataFrame:
     """Per record and feature, its z against the user's other events: from the user's sums, without a scan
-    per row. Clipped to +-5; 0 where the others don't vary; users with fewer than 3 events are left out."""
+    per row. Clipped to +-5; 0 where the others don't vary; users with fewer than 3 events are left out. asked: those of
+    the rows to return, if not all."""
     sums = [f(c).alias(f"{p}_{c}") for c in names for p, f in (("s", F.sum), ("q", lambda c: F.sum(F.col(c) * F.col(c))))]
     per = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), *sums).where("n >= 3")
-    joined = rows.select("record_id", "user_id", *names).join(per, "user_id")
+    joined = (rows if asked is None else asked).select("record_id", "user_id", *names).join(per, "user_id")
     m = F.col("n") - 1
 
     def z(c: str) -> Column:

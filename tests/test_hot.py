@@ -153,3 +153,28 @@ def test_a_score_of_all_rows_is_ranked_in_chunks():
         tp, said = w[(s >= v) & y].sum(axis=0, dtype=float), w[s >= v].sum(axis=0, dtype=float)
         want += np.where(said > 0, w[(s == v) & y].sum(axis=0) * tp / np.maximum(said, 1), 0)
     assert np.allclose(ap, want)
+
+
+def test_a_window_slides_once_however_often_its_result_is_used(spark):
+    rows = log(spark, [(1, "a", h) for h in range(5)]).withColumns({"geo_lat": F.lit(0.0), "geo_lon": F.lit(0.0), "geo_city": F.lit("c"), "event_type": F.lit("login_attempt"), "auth_result": F.lit("failure")})
+    users = spark.createDataFrame([(1, 0.0, 0.0)], "user_id long, home_lat double, home_lon double")
+    plan = behaviour.behaviour(rows, users, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 2 and plan.count("first(") == 1  # cities and failures; the first switch
+
+
+@pytest.mark.parametrize("name", ["signals", "drift_profiles"])
+def test_features_share_one_written_log(spark, monkeypatch, name):
+    """The queries over all features make the log of the tables once, not once a family."""
+    from authspan.plans import catalog
+    from authspan.sources.adapter import Log
+
+    class Stop(Exception):
+        pass
+
+    def seen(given):
+        assert given.events._table and given.users._table and given.kept() is given
+        raise Stop
+
+    monkeypatch.setattr(catalog, "behaviour_features", seen)
+    with pytest.raises(Stop):
+        getattr(catalog, name)(Log(spark, "/root/testdata/sf0.001"))
