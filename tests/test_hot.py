@@ -162,7 +162,7 @@ def test_a_window_slides_once_however_often_its_result_is_used(spark):
     assert plan.count("collect_list(") == 2 and plan.count("first(") == 1  # cities and failures; the first switch
 
 
-@pytest.mark.parametrize("name", ["signals", "drift_profiles"])
+@pytest.mark.parametrize("name", ["shown_features", "signals", "drift_profiles"])
 def test_features_share_one_written_log(spark, monkeypatch, name):
     """The queries over all features make the log of the tables once, not once a family."""
     from authspan.plans import catalog
