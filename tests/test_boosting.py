@@ -89,3 +89,46 @@ def test_histograms_of_a_batch_against_sums_row_by_row():
     for i in np.flatnonzero(node >= 0):
         want[:, node[i], place[i]] += m[i][:, None]
     assert np.allclose(boosting.histogram(place, m[:, 0], m[:, 1], node, 2, 15), want.reshape(2, -1))
+
+
+def test_passes_over_blocks_equal_rounds_within_a_task(spark, monkeypatch):
+    """Cells of several tasks, past a written table, make the trees that one task makes of all cells."""
+    x, y = data()
+    rows = spark.createDataFrame([(i, int(c), i % 2, *map(float, np.nan_to_num(r))) for i, (r, c) in enumerate(zip(x, y, strict=True))], "record_id long, label int, fold int, a double, b double, c double")
+    cuts = boosting.sketched_cuts(rows, ["a", "b", "c"], RULES.bins)
+    one = boosting.fit(rows, ["a", "b", "c"], 3, fold="fold", folds=2, rules=RULES, cuts=cuts)
+    monkeypatch.setattr(boosting, "FEW", 0)
+    monkeypatch.setattr(boosting, "SHARE", 60)
+    monkeypatch.setattr(boosting, "SPAN", 2)
+    many = boosting.fit(rows, ["a", "b", "c"], 3, fold="fold", folds=2, rules=RULES, cuts=cuts)
+    for a, b in zip([t for m in one.trees for r in m for t in r], [t for m in many.trees for r in m for t in r], strict=True):
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and np.allclose(a[2], b[2], atol=1e-12)
+
+
+def test_rows_of_equal_bins_are_one_cell(spark, monkeypatch):
+    """However many rows fall on a few values, what is learnt from is a row for each."""
+    seen, blocks = [], boosting._blocks
+    monkeypatch.setattr(boosting, "_blocks", lambda cells, *more: seen.append(cells.count()) or blocks(cells, *more))
+    rows = spark.range(5000).selectExpr("id as record_id", "cast(id % 3 as int) as label", "cast(id % 5 as double) as a", "cast(id % 7 as double) as b")
+    boosting.fit(rows, ["a", "b"], 3, rules=RULES)
+    assert seen == [35]
+
+
+def test_registered_learners_fit_all_rounds(spark, monkeypatch):
+    """boosted_scores asks for no fewer rounds or levels than the reference: 300 of depth 6, out of five folds."""
+    from authspan.plans import catalog
+
+    class Stop(Exception):
+        pass
+
+    asked = []
+
+    def fit(*given, rules, folds=1, **more):
+        asked.append((rules.rounds, rules.depth, folds))
+        raise Stop
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    for name in ("boosted_scores",):
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert asked == [(300, 6, 5)]
