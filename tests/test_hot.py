@@ -125,6 +125,22 @@ def test_shared_devices_by_tiles_against_a_count(spark, monkeypatch):
     assert max(want.values()) > 1
 
 
+def test_each_pair_of_tiles_is_met_once(spark, monkeypatch):
+    """Users of terminals and of small devices: weights are those of a count, and no candidate is made both ways round."""
+    monkeypatch.setattr(graph, "TILE", 96)
+    rng = random.Random(6)
+    rows = [(u, f"kiosk{u % 2}", 0) for u in range(400)] + [(u, f"kiosk{(u + 1) % 2}", 0) for u in range(0, 400, 9)] + [(u, f"own{u // 3}", 0) for u in range(400)] + [(u, f"own{rng.randrange(90)}", 0) for u in range(200)]
+    devices = {}
+    for u, d, _ in rows:
+        devices.setdefault(u, set()).add(d)
+    want = {(a, b): len(devices[a] & devices[b]) for a in devices for b in devices if a < b and devices[a] & devices[b]}
+    out = graph.shared_devices(log(spark, rows))
+    got = out.collect()
+    assert {(r.u1, r.u2): r.weight for r in got} == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(ta" in plan and "explode(sequence(0, t#" in plan  # right tiles up to a user's own, not all
+
+
 def test_communities_pass_over_shared_devices_only(spark, monkeypatch):
     """Devices of one user tell nothing of communities: moves get none, and their users stay by themselves."""
     rows = [(u, f"own{u}", 0) for u in range(40)] + [(u, f"shared{u // 5}", 1) for u in range(20)]
