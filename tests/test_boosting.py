@@ -115,7 +115,7 @@ def test_rows_of_equal_bins_are_one_cell(spark, monkeypatch):
 
 
 def test_registered_learners_fit_all_rounds(spark, monkeypatch):
-    """boosted_scores asks for no fewer rounds or levels than the reference: 300 of depth 6, out of five folds."""
+    """boosted_scores and stress_grid ask for no fewer rounds or levels than the reference: 300 of depth 6, out of five folds."""
     from authspan.plans import catalog
 
     class Stop(Exception):
@@ -128,7 +128,8 @@ def test_registered_learners_fit_all_rounds(spark, monkeypatch):
         raise Stop
 
     monkeypatch.setattr(boosting, "fit", fit)
-    for name in ("boosted_scores",):
+    monkeypatch.setattr(catalog.graph, "all_features", lambda events, *more: events.select("record_id", *(F.lit(0.0).alias(n) for n in catalog.ALL_FEATURES)))
+    for name in ("boosted_scores", "stress_grid"):
         with pytest.raises(Stop):
             catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
-    assert asked == [(300, 6, 5)]
+    assert asked == [(300, 6, 5), (300, 6, 1)]
